@@ -91,3 +91,16 @@ def total(df: DataFrame, *exprs) -> list:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def kept_batches(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of df, all columns as they are, whose text the function made in each task keeps; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            for part in slices(batch):
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
