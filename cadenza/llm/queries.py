@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.bpe import bpe_digests
 from cadenza.llm.common import table
+from cadenza.llm.decontaminate import contamination
+from cadenza.llm.simhash import simhash_components
+from cadenza.llm.toxicity import fit_toxicity, severities
 
 
 def vocabulary(name: str) -> str:
@@ -17,12 +20,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return severities(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_bpe,)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op8_bpe, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
