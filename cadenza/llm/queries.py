@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import bpe_digests
+from cadenza.llm.chroma import align, contour_frames, fingerprints
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination
+from cadenza.llm.html_extract import extract_text
 from cadenza.llm.shard import sharded
 from cadenza.llm.simhash import simhash_components
 from cadenza.llm.toxicity import fit_toxicity, severities
@@ -24,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,6 +43,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severities(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding is read as a pitch contour of 64 frames around 440 Hz."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return align(fingerprints(vectors, "vec_id", "embedding", lambda x: contour_frames(440 * (1 + x))), "vec_id")
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -104,7 +116,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_simhash, op5_shard, op7_tokens, op8_bpe, op9_toxicity, op10_urls)}
+    return {f.__name__: f for f in (op1_html, op2_decontaminate, op3_simhash, op4_chroma, op5_shard, op7_tokens, op8_bpe, op9_toxicity, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
