@@ -12,6 +12,7 @@ from cadenza.llm.chroma import align, contour_frames, fingerprints
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.html_extract import extract_text
+from cadenza.llm.katz import katz_scores
 from cadenza.llm.shard import sharded
 from cadenza.llm.simhash import simhash_components
 from cadenza.llm.toxicity import fit_toxicity, severities
@@ -53,6 +54,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -116,7 +121,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_decontaminate, op3_simhash, op4_chroma, op5_shard, op7_tokens, op8_bpe, op9_toxicity, op10_urls)}
+    return {f.__name__: f for f in (op1_html, op2_decontaminate, op3_simhash, op4_chroma, op5_shard, op6_katz, op7_tokens, op8_bpe, op9_toxicity, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
