@@ -1,0 +1,8 @@
+"""Annotation analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of the package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules["cadenza"])
