@@ -8,11 +8,10 @@ knows the columns when it builds its plan. An annotation without observations is
 a header only.
 """
 
-from __future__ import annotations
-
 import json
 from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,7 +81,7 @@ class Corpus:
                 scalars |= {catalog.column(facet, n): F.col(f"__{facet}.{n}") for n in catalog.scalars(facet, tag)}
         rows = rows.withColumns(parsed)
         headers = rows.select("annotation", *HEADER, *[c.alias(n) for n, c in scalars.items()])
-        arrays = [(catalog.column(facet, n), f, F.col(f"__{facet}.{n}")) for facet, tag in tags.items() for n, f in catalog.lists(facet, tag).items()]
+        arrays = [(catalog.column(facet, n), f, json_items(n)(F.col(facet)) if f.json else F.col(f"__{facet}.{n}")) for facet, tag in tags.items() for n, f in catalog.lists(facet, tag).items()]
         zipped = F.arrays_zip(*[c.alias(n) for n, _, c in arrays])
         long = rows.select("annotation", F.posexplode(zipped).alias("obs_index", "o"))
         observations = long.select("annotation", F.col("obs_index").cast("long").alias("obs_index"), *[value_of(F.col(f"o.{n}"), f).alias(n) for n, f, _ in arrays])
@@ -98,8 +97,6 @@ class Corpus:
 
     def documents(self, ids: bool = True) -> DataFrame:
         """Documents (see DOCUMENT); with ids, each gets its content's if it has none."""
-        import pandas as pd
-
         tags = {f: self.tag(f) for f in catalog.FACETS}
         fields = {f: {**{n: x for n, x in catalog.scalars(f, t).items() if catalog.column(f, n) in self.headers.columns}, **self.fields(f)} for f, t in tags.items() if t}
 
@@ -128,6 +125,15 @@ class Corpus:
         return self.observations.select("annotation", "obs_index", *cols)
 
 
+def json_items(field: str):
+    """The items of a facet's free-form list, each as JSON text: 1, 1.0 and "1" stay different."""
+    @F.pandas_udf("array<string>")
+    def items(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in json.loads(t).get(field) or []])
+
+    return items
+
+
 def json_type(facet: str, tag: str):
     """What a facet's JSON is read as: fractions as pairs, free-form values as text."""
     from pyspark.sql import types as T

@@ -305,7 +305,7 @@ def melody_sign(spark, sf_dir):
 
 def _pairs(corpus, shift: int):
     """An annotation against the one whose key is larger by shift."""
-    other = corpus.headers.withColumn("annotation", F.col("annotation") - shift).withColumn("media_id", F.concat(F.lit("user:"), F.col("annotation").cast("string")))
+    other = corpus.headers.withColumn("annotation", F.col("annotation") - shift).withColumn("media_id", F.concat(F.substring_index("media_id", ":", 1), F.lit(":"), F.col("annotation").cast("string")))
     return corpus, corpus.with_(headers=other, observations=corpus.observations.withColumn("annotation", F.col("annotation") - shift))
 
 
