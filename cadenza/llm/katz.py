@@ -16,7 +16,7 @@ what P leaves without their words.
 
 Plan: a task turns its texts into blocks of some million tokens and sends each
 distinct pair once, with the places it occurs, to the bucket of its second word;
-tokens never travel one by one, and a frequent word is one entry a block. A
+tokens never travel one by one, and a frequent word's pairs are spread over buckets by their first word. A
 bucket then knows c(v,w) and c(w). Sums by document leave it as one vector a
 block; sums by context are a table of their own, (context, count, a), joined
 with the occurrences of pairs never seen. The word table and the context table
@@ -43,7 +43,8 @@ from cadenza.llm.common import by_batch, slices, text_or_empty, total, written
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 2_000_000
+HOT = 250_000  # tokens of a word whose pairs share a bucket
 START, END = np.uint64(1), np.uint64(2)  # no word hashes to these but by chance of 2^-63
 
 
@@ -91,6 +92,25 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
     return np.array([*out, TRUSTED])
 
 
+class HotWords:
+    """The words of HOT tokens or more, with their counts: at most a word for each HOT tokens."""
+
+    def __init__(self, rows: list[tuple[int, int]]):
+        words = np.array([w for w, _ in rows], dtype=np.int64).view(np.uint64)
+        order = np.argsort(words)
+        self.words = np.append(words[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.n = np.append(np.array([n for _, n in rows], dtype=np.int64)[order], 0)
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """The count of each word, 0 for those that aren't hot."""
+        at = np.searchsorted(self.words, words)
+        at = np.minimum(at, len(self.words) - 1)
+        return np.where(self.words[at] == words, self.n[at], 0)
+
+    def parts(self, words: np.ndarray) -> np.ndarray:
+        return (self.counts(words) // HOT + 1).astype(np.uint64)
+
+
 class Block:
     """Texts side by side, cut into the rows that go to the buckets."""
 
@@ -109,8 +129,8 @@ class Block:
         self.held.append(held)
         self.n += len(words) + 1
 
-    def rows(self, buckets: int) -> Iterator[tuple[int, bytes]]:
-        """(bucket, packed pairs): second words' hashes, pairs of each, first words' hashes, occurrences of each, documents, held documents."""
+    def rows(self, buckets: int, hot: "HotWords") -> Iterator[tuple[int, bytes]]:
+        """(bucket, packed pairs): second words' hashes, pairs of each, first words' hashes, occurrences of each, those in training texts, documents, documents in the block."""
         hashed = np.concatenate([np.array([START, END]), hashes(list(self.words))])
         sizes = np.array([len(t) + 1 for t in self.tokens])
         ends = np.cumsum(sizes) - 1
@@ -121,19 +141,24 @@ class Block:
         before = np.append(0, after[:-1])
         before[ends[:-1] + 1] = 0
         doc = np.repeat(np.arange(len(sizes)), sizes)
-        bucket = (hashed >> np.uint64(7)) % np.uint64(buckets)
-        order = np.lexsort((hashed, bucket))
+        # a frequent second word's pairs are spread by their first word
+        part = (hashed[before] >> np.uint64(7)) % hot.parts(hashed)[after]
+        bucket = (((hashed >> np.uint64(7))[after] % np.uint64(buckets) + part * np.uint64(7919)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(hashed)
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        code = place[after] * len(order) + before
+        n = len(order)
+        code = (bucket * n + place[after]) * n + before
         by_code = np.argsort(code, kind="stable")
         code, doc = code[by_code], doc[by_code]
         begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
         times = np.diff(begin, append=len(code))
-        second, first = np.divmod(code[begin], len(order))
+        second, first = np.divmod(code[begin], n)
+        of, second = np.divmod(second, n)
         second = order[second]
-        cuts = np.searchsorted(bucket[second], np.arange(buckets + 1))
-        held = np.flatnonzero(self.held)
+        cuts = np.searchsorted(of, np.arange(buckets + 1))
+        trains = np.append(0, np.cumsum(~np.array(self.held)[doc]))
+        train = trains[begin + times] - trains[begin]
         for q in range(buckets):
             a, b = cuts[q], cuts[q + 1]
             if a == b:
@@ -141,28 +166,21 @@ class Block:
             w = second[a:b]
             new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
             d0, d1 = begin[a], begin[b - 1] + times[b - 1]
-            yield q, pack(hashed[w[new]], smallest(np.diff(new, append=len(w))), hashed[first[a:b]], smallest(times[a:b]), smallest(doc[d0:d1]), smallest(np.append(held, len(self.ids))))
+            yield q, pack(hashed[w[new]], smallest(np.diff(new, append=len(w))), hashed[first[a:b]], smallest(times[a:b]), smallest(train[a:b]), smallest(doc[d0:d1]), smallest(np.array([len(self.ids)])))
 
 
 class Bucket:
     """All pairs of a bucket's second words, counted."""
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, blobs: list[bytes], hot: HotWords):
         parts = [unpack(x) for x in blobs]
-        self.docs = [int(p[5][-1]) for p in parts]
-        base = np.cumsum([0, *self.docs])
+        self.base = np.cumsum([0, *(int(p[6][0]) for p in parts)])
+        kind = smallest(self.base[-1:]).dtype.type
         self.w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
         self.v = np.concatenate([p[2] for p in parts])
         self.times = np.concatenate([p[3].astype(np.int64) for p in parts])
-        self.doc = np.concatenate([p[4].astype(np.int64) + base[i] for i, p in enumerate(parts)])  # a row for each occurrence
-        self.all_docs = int(base[-1])
-        self.base = base
-        held = np.zeros(self.all_docs, dtype=bool)
-        for i, p in enumerate(parts):
-            held[p[5][:-1].astype(np.int64) + base[i]] = True
-        trains = np.append(0, np.cumsum(~held[self.doc]))
-        ends = np.cumsum(self.times)
-        train = trains[ends] - trains[ends - self.times]
+        train = np.concatenate([p[4].astype(np.int64) for p in parts])
+        self.doc = np.concatenate([p[5].astype(kind) + kind(base) for base, p in zip(self.base, parts)])  # a row for each occurrence
         # the same pair of all blocks, and the same second word
         order = np.lexsort((self.v, self.w))
         w, v = self.w[order], self.v[order]
@@ -171,6 +189,8 @@ class Bucket:
         pair, word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
         pair_count = np.bincount(pair, weights=train[order]).astype(np.int64)
         word_count = np.bincount(word, weights=train[order]).astype(np.int64)
+        known = hot.counts(w[new_w])  # of a hot word only a part is here
+        word_count = np.where(known > 0, known, word_count)
         self.c = np.empty(len(order), dtype=np.int64)
         self.c[order] = pair_count[pair]
         self.c_w = np.empty(len(order), dtype=np.int64)
@@ -197,22 +217,29 @@ class Unigrams:
         return np.where(c > 0, self.mass(np.maximum(c, 1)), self.unknown)
 
 
-def bucket_rows(blocks: list[str], blobs: list[bytes], words: Unigrams) -> Iterator[tuple[str, str, bytes]]:
+def bucket_rows(blocks: list[str], blobs: list[bytes], words: Unigrams, hot: HotWords) -> Iterator[tuple[str, str, bytes]]:
     """(kind, block, packed) of a bucket: sums by document, occurrences of unseen pairs, sums by context, counts of counts."""
-    b = Bucket(blobs)
-    occ = np.repeat(np.arange(len(b.c)), b.times)
-    c, c_w, v, end = b.c[occ], b.c_w[occ], b.v[occ], b.w[occ] == END
-    seen = c > 0
-    value = np.where(seen, np.log10(np.maximum(c, 1)), np.log10(words.p(c_w)))
+    b = Bucket(blobs, hot)
+    seen, end = b.c > 0, b.w == END
+    value = np.where(seen, np.log10(np.maximum(b.c, 1)), np.log10(words.p(b.c_w)))
     # each token but the end is the context of the next: its count goes under the pair that follows
-    value -= np.where(~end & (c_w > 0), np.log10(np.maximum(c_w, 1)), 0)
-    sums = [np.bincount(b.doc, weights=x, minlength=b.all_docs) for x in (value, np.log10(c_w + 1), c_w > 0, *(seen & (np.minimum(c, LOW + 1) == r) for r in range(1, LOW + 2)))]
+    value -= np.where(~end & (b.c_w > 0), np.log10(np.maximum(b.c_w, 1)), 0)
+    ranks = np.minimum(b.c, LOW + 1)
+    docs, place = np.unique(b.doc, return_inverse=True)
+    # a sum at a time: each is spread over the occurrences
+    spread = (np.bincount(place, weights=np.repeat(x, b.times), minlength=len(docs)) for x in (value, np.log10(b.c_w + 1), b.c_w > 0, *(ranks == r for r in range(1, LOW + 2))))
+    sums = [x if i < 2 else smallest(x.astype(np.int64)) for i, x in enumerate(spread)]
+    lost = np.repeat(~seen, b.times)
+    lost_v, lost_doc = np.repeat(b.v, b.times)[lost], b.doc[lost]
+    order = np.argsort(lost_doc, kind="stable")
+    lost_v, lost_doc = lost_v[order], lost_doc[order]
+    cuts, lost_cuts = np.searchsorted(docs, b.base), np.searchsorted(lost_doc, b.base)
     for i, block in enumerate(blocks):
-        part = slice(b.base[i], b.base[i + 1])
-        yield "docs", block, pack(*[x[part] for x in sums[:2]], *[smallest(x[part].astype(np.int64)) for x in sums[2:]])
-        lost = np.flatnonzero(~seen & (b.doc >= b.base[i]) & (b.doc < b.base[i + 1]))
-        if len(lost):
-            yield "lost", block, pack(v[lost], smallest(b.doc[lost] - b.base[i]))
+        part = slice(cuts[i], cuts[i + 1])
+        yield "docs", block, pack(smallest(docs[part] - b.base[i]), *[x[part] for x in sums])
+        part = slice(lost_cuts[i], lost_cuts[i + 1])
+        if part.stop > part.start:
+            yield "lost", block, pack(lost_v[part], smallest(lost_doc[part] - b.base[i]))
     if len(b.pair_v):
         order = np.argsort(b.pair_v, kind="stable")
         pv, pc, low = b.pair_v[order], b.pair_c[order], words.mass(b.pair_c_w[order])
@@ -261,6 +288,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n, v, *of_counts = total(words, F.sum("n"), F.count("*"), *few)
     uni = Unigrams(n, v, dict(enumerate(of_counts, 1)))
     starts = rows.where("not held").count()
+    shipped = docs.sparkSession.sparkContext.broadcast(HotWords([tuple(r) for r in words.where(F.col("n") >= HOT).collect()]))
     release(docs)
 
     buckets = max(8, -(-int(uni.n * 1.2) // BUCKET_TOKENS))
@@ -273,7 +301,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         def flush():
             label = f"{name}-{number}"
-            for q, blob in block.rows(buckets):
+            for q, blob in block.rows(buckets, shipped.value):
                 yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.array([blob], pa.binary()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.bool_()))], ["q", "block", "blob", "ids", "n_tokens", "held"])
             # who is who in the block, to a bucket that does nothing else
             q = -1 - (int(name) * 31 + number) % buckets
@@ -294,7 +322,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if q < 0:
             return pd.DataFrame({"kind": "who", "block": pdf["block"], "blob": None, "ids": pdf["ids"], "n_tokens": pdf["n_tokens"], "held": pdf["held"]})
         pdf = pdf.sort_values("block")
-        got = list(bucket_rows(pdf["block"].tolist(), pdf["blob"].tolist(), uni))
+        got = list(bucket_rows(pdf["block"].tolist(), pdf["blob"].tolist(), uni, shipped.value))
         return pd.DataFrame({"kind": [x[0] for x in got], "block": [x[1] for x in got], "blob": [x[2] for x in got], "ids": None, "n_tokens": None, "held": None})
 
     sent = rows.mapInArrow(cut, "q int, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>")
@@ -343,10 +371,9 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = counted.where("kind = 'docs'").select("block", "blob")
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = None
-        for blob in pdf["blob"]:
-            x = [a.astype(np.float64) for a in unpack(blob)]
-            got = x if got is None else [s + t for s, t in zip(got, x)]
+        parts = [unpack(blob) for blob in pdf["blob"]]
+        doc = np.concatenate([p[0].astype(np.int64) for p in parts])
+        got = [np.bincount(doc, weights=np.concatenate([p[i] for p in parts])) for i in range(1, LOW + 5)]
         score = got[0] + sum(log_d[r] * got[3 + r] for r in range(LOW + 1)) - start
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "score": [score], "base": [got[1]], "known": [got[2].astype(np.int64)]})
 
