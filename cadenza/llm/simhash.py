@@ -381,7 +381,9 @@ def groups(prints: DataFrame, rule_for: Callable[[int], Rule], id_col: str) -> D
     rows = distinct.count()
     found = components(links(distinct, rule_for(rows), rows))
     named = distinct.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
-    best = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    named = written(named, "named")
+    # written, so that both sides of the join are plain exchanges and a large class can be split
+    best = written(named.groupBy("c").agg(F.min("least").alias("component_id")), "best")
     of_node = written(named.join(best, "c").select("node", "component_id", F.col("c").alias("class")), "classes")
     return prints.join(of_node, "node")
 
