@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -396,12 +397,11 @@ def bpe_decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: st
     """df with out_col, the text of ids_col (null ids: null); bytes that are no UTF-8 become U+FFFD."""
     data = _shipped(df, vocabulary)
 
-    @F.pandas_udf("string")
-    def decode(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = Decoder(Merges(data.value))
-        return ids.map(lambda x: None if x is None else decoder.feed(np.asarray(x, "<u4").tobytes()) + decoder.finish())
+        for part in parts:
+            yield part.map(lambda x: None if x is None else decoder.feed(as_bytes(x)) + decoder.finish())
 
-    import pandas as pd
-
-    decode.func.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    return df.withColumn(out_col, decode(F.col(ids_col)))
+    # the hints by hand: as text they say nothing to Spark
+    decode.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return df.withColumn(out_col, F.pandas_udf(decode, "string")(F.col(ids_col)))
