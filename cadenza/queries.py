@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza import catalog
 from cadenza.functions import identity, scalar
 from cadenza.operators import evaluate, filter_by, to_times, trim, violations
 from cadenza.plans import adapters as A
@@ -42,6 +43,7 @@ BOXES = """boxes as (select p_brand as annotation, row_number() over (partition
 PIXELS = """pixels as (select p_brand as annotation, row_number() over (partition by p_brand order by p_partkey) - 1 as obs_index,
   cast(p_partkey as double) as extent_x, p_retailprice as extent_y, cast(p_size as double) as extent_width,
   cast(p_size as double) as extent_height, p_type as payload_value from part)"""
+NAMESPACE = catalog.NAMESPACE.replace("-", "")
 LO, HI = SINCE + 2 * DAY, SINCE + 9 * DAY
 
 
@@ -254,10 +256,10 @@ def validate_grammar(spark, sf_dir):
     return part.select("p_partkey", "p_brand", scalar.is_key(F.col("p_brand")).alias("is_key"), (~scalar.is_chord(chord)).alias("no_chord"))
 
 
-ID_JSON = """'{"bopp_version":"1.0","media_id":"customer:' || c_custkey || '","payload":{"payload_type":"tag_open","value":["' || c_mktsegment || '"]}}'"""
+ID_JSON = """'{"VERSION":"1.0","media_id":"customer:' || c_custkey || '","payload":{"payload_type":"tag_open","value":["' || c_mktsegment || '"]}}'""".replace("VERSION", catalog.VERSION_FIELD)
 
 
-@query(f"""with j as (select c_custkey, sha1(from_hex('a9b3e1c042f84e898d62b9123456789a') || encode({ID_JSON})) as h from customer)
+@query(f"""with j as (select c_custkey, sha1(from_hex('{NAMESPACE}') || encode({ID_JSON})) as h from customer)
   select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast('0x' || substr(h, 17, 1) as int) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from j""")
 def id_hash(spark, sf_dir):
     """Identifiers by the canonical JSON, in the JVM."""
@@ -265,7 +267,7 @@ def id_hash(spark, sf_dir):
     return customer.select("c_custkey", identity.uuid5(F.expr(ID_JSON)).alias("id"))
 
 
-@query(f"""with j as (select c_custkey, sha1(from_hex('a9b3e1c042f84e898d62b9123456789a') || encode({ID_JSON})) as h from customer)
+@query(f"""with j as (select c_custkey, sha1(from_hex('{NAMESPACE}') || encode({ID_JSON})) as h from customer)
   select cast(c_custkey as varchar) as annotation, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast('0x' || substr(h, 17, 1) as int) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as id from j""")
 def id_documents(spark, sf_dir):
     """The same identifiers from whole documents."""

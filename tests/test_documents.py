@@ -148,3 +148,17 @@ def test_table_form(spark):
 def test_violations(spark):
     c = corpus(spark, "beat", "time", "likelihood", time=[1.0, 2.0], value=[0, 1], confidence=[0.5, 1.5])
     assert {(r["obs_index"], r["field"]) for r in violations(c).collect()} == {(0, "payload_value"), (1, "confidence_confidence")}
+
+
+def test_namespaces(tmp_path):
+    import json
+
+    from cadenza.sources import namespaces
+
+    (tmp_path / "in").write_text(json.dumps({"key": {"value": {"type": "string"}, "description": "Keys"}}))
+    namespaces.translate(str(tmp_path / "in"), str(tmp_path / "out"))
+    got = json.loads((tmp_path / "out").read_text())
+    assert got["properties"]["values"] == {"type": "array", "description": "Keys", "items": {"type": "string"}} and got["required"] == ["payload_type", "values"]
+    assert namespaces.schema_of("beat")["properties"]["value"]["items"] == {"type": "integer", "minimum": 1}
+    with pytest.raises(BadFormat):
+        namespaces.from_namespace({})
