@@ -142,3 +142,13 @@ def test_several_fields(spark):
     assert got(t, "payload_valence", "payload_arousal") == [[0.0, 0.5], [0.0, 0.8]]
     with pytest.raises(BadArgument):
         to_times(c, times=[0], fill_value={"valence": 0})
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    from cadenza.sources import load_corpus, save_corpus
+
+    save_corpus(corpus(spark, "tag_open", "time", time=[1.0, 3.0], value=["a", "b"]), str(tmp_path))
+    c = load_corpus(spark, str(tmp_path), "tag_open", "time")
+    plan = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    text = plan(filter_by(trim(c, start=2), lambda v: v == "b").observations.select("extent_time"))
+    assert "GreaterThanOrEqual(extent_time,2.0)" in text and "EqualTo(payload_value,b)" in text and "obs_index" not in text.split("ReadSchema")[1].split("\n")[0]
