@@ -9,7 +9,7 @@ from cadenza.errors import BadArgument, BadFormat, InvalidAnnotation, UnequalLen
 from cadenza.functions import identity
 from cadenza.operators.validate import create, violations
 from cadenza.plans.corpus import Corpus, check_columns, from_table
-from cadenza.sources import codecs, load_corpus, read_documents, read_file, save_corpus, write_documents, write_file
+from cadenza.sources import codecs, load_corpus, read_documents, read_file, read_lines, save_corpus, write_documents, write_file
 
 GOLDEN = "d9a1b46c-38d5-56bc-aacb-0e8641382d1a"
 
@@ -132,6 +132,13 @@ def test_corpus_files(spark, tmp_path):
     for kind in ("json", "csv", "msgpack"):
         write_documents(rows, str(tmp_path / f"out-{kind}"), kind)
     assert read_documents(spark, str(tmp_path / "out-json"), lines=True).count() == 3
+    lines = read_lines(spark, str(tmp_path / "out-json"))
+    assert lines.columns == rows.columns and {r["id"] for r in lines.collect()} == {d["id"] for d in docs}
+    assert Corpus.of_documents(lines, "onset", "time").documents().first()["id"] == GOLDEN
+    assert got(Corpus.of_documents(lines, "object", "time", "likelihood"), "payload_value")[0] == '{"color":"brown"}'
+    (tmp_path / "bad").write_text('{"media_id": "a:b"}\n')
+    with pytest.raises(Exception, match="no document"):
+        read_lines(spark, str(tmp_path / "bad")).collect()
     save_corpus(c, str(tmp_path / "corpus"))
     back = load_corpus(spark, str(tmp_path / "corpus"), "tag_open", "score_interval")
     assert got(back, "payload_value") == ["[intro]", "(chorus)"]
