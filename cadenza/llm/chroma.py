@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import by_batch, written
@@ -147,3 +147,15 @@ def align(prints: DataFrame, id_col: str, every: int = 50, min_votes: int = 4, m
     found = written(good.select("q", "match_id", "members", "frame_offset", "votes", "bit_error"), "matches")
     named = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("class").alias("q"))
     return named.join(found, "q").select("query_id", "match_id", "members", "frame_offset", "votes", "bit_error")
+
+
+def listed(matches: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of `align` as lists: query_id, part, n_matches (of the query in all), matches in the order of their ids.
+
+    A query with more than about `most` matches has several parts.
+    """
+    counts = matches.groupBy("query_id").agg(F.count("*").alias("n_matches"))
+    part = F.pmod(F.xxhash64("match_id"), F.ceil(F.col("n_matches") / most)).cast("int")
+    match = F.struct("match_id", "members", "frame_offset", "votes", "bit_error")
+    rows = matches.join(counts, "query_id").groupBy("query_id", "n_matches", part.alias("part"))
+    return rows.agg(F.array_sort(F.collect_list(match)).alias("matches")).select("query_id", "part", "n_matches", "matches")

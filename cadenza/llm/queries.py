@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import bpe_digests
-from cadenza.llm.chroma import align, contour_frames, fingerprints
+from cadenza.llm.chroma import align, contour_frames, fingerprints, listed
 from cadenza.llm.common import table
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.html_extract import extract_text
@@ -45,9 +45,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding is read as a pitch contour of 64 frames around 440 Hz."""
+    """Each embedding is read as a pitch contour of 64 frames around 440 Hz.
+
+    A family of k alike recordings gives k * k / 50 pairs of query and match, so
+    matches come as lists by query.
+    """
     vectors = table(spark, sf_dir, "embeddings")
-    return align(fingerprints(vectors, "vec_id", "embedding", lambda x: contour_frames(440 * (1 + x))), "vec_id")
+    return listed(align(fingerprints(vectors, "vec_id", "embedding", lambda x: contour_frames(440 * (1 + x))), "vec_id"))
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

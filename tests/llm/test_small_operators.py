@@ -183,6 +183,10 @@ def test_chroma(spark):
     assert got[0, 0]["members"] == 2 and got[0, 0]["bit_error"] == 0 and got[0, 1]["frame_offset"] == -20
     assert 0 <= got[0, 50]["bit_error"] < 0.2
     assert chroma.align(prints.limit(0), "vec_id").count() == 0
+    for most in (1000, 1):
+        lists = chroma.listed(chroma.align(prints, "vec_id"), most).collect()
+        assert {(r["query_id"], m["match_id"]) for r in lists for m in r["matches"]} == set(got)
+        assert all(r["n_matches"] == sum(q == r["query_id"] for q, _ in got) for r in lists)
     # against brute force over all offsets
     codes = {r["vec_id"]: r["codes"] for r in prints.collect()}
     for (q, m), r in got.items():
