@@ -103,15 +103,28 @@ def codes(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(recordings: DataFrame, id_col: str, column: str, to_frames) -> DataFrame:
-    """Per row: id, codes (array of int, null for silent windows). to_frames: from a recording's numbers to frames."""
+    """Per row: id, codes (array of int, null for silent windows).
+
+    to_frames: from numbers of some recordings of one length, a row each, to their
+    frames (such as `contour_frames`; for samples, `pcm_frames` of each).
+    """
     kind = recordings.schema[id_col].dataType.simpleString()
 
     def make():
         def batch(b: pa.RecordBatch) -> dict:
-            out = []
-            for x in b.column(1).to_pylist():
-                got, sound = codes(to_frames(np.array(x if x is not None else [], dtype=np.float64)))
-                out.append([int(c) if s else None for c, s in zip(got.astype(np.uint32).view(np.int32).tolist(), sound.tolist())])
+            rows = b.column(1).to_pylist()
+            out: list = [[] for _ in rows]
+            by_length: dict[int, list[int]] = {}
+            for i, x in enumerate(rows):
+                if x:
+                    by_length.setdefault(len(x), []).append(i)
+            for at in by_length.values():
+                for k in range(0, len(at), 256):
+                    part = at[k : k + 256]
+                    got, sound = codes(to_frames(np.array([rows[i] for i in part], dtype=np.float64)))
+                    values = np.where(sound, got.view(np.int32).astype(object), None).tolist()
+                    for i, v in zip(part, values):
+                        out[i] = v
             return {id_col: b.column(0), "codes": out}
 
         return batch

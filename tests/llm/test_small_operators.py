@@ -195,7 +195,11 @@ def test_chroma(spark):
         assert r["votes"] == sum(a == b for a, b in pairs)
 
 
-def test_pcm():
+def test_pcm(spark):
+    tone = [float(x) for x in np.sin(np.arange(40000) / 7)]
+    df = spark.createDataFrame([(1, tone), (2, tone[:100])], "id long, pcm array<double>")
+    got = {r["id"]: r["codes"] for r in chroma.fingerprints(df, "id", "pcm", lambda x: np.stack([chroma.pcm_frames(r) for r in x])).collect()}
+    assert len(got[1]) > 5 and got[2] == []
     t = np.arange(11025 * 4) / 11025
     frames = chroma.pcm_frames(np.sin(2 * np.pi * 440 * t))
     assert (frames.argmax(axis=1) == 0).all() and chroma.pcm_frames(np.zeros(10)).shape == (0, 12)
