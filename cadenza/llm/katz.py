@@ -16,7 +16,7 @@ what P leaves without their words.
 
 Plan: a task turns its texts into blocks of some million tokens and sends each
 distinct pair once, with the places it occurs, to the bucket of its second word;
-tokens never travel one by one, and a frequent word's pairs are spread over buckets by their first word. A
+tokens never travel one by one, half of the buckets at a time, and a frequent word's pairs are spread over buckets by their first word. A
 bucket then knows c(v,w) and c(w). Sums by document leave it as one vector a
 block; sums by context are a table of their own, (context, count, a), joined
 with the occurrences of pairs never seen. The word table and the context table
@@ -31,6 +31,9 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -42,8 +45,9 @@ from cadenza.llm.common import by_batch, slices, text_or_empty, total, written
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
 BUCKET_TOKENS = 2_000_000
+PASSES = 2  # over the texts: each sends its part of the buckets, so that less lies on disk at a time
 HOT = 250_000  # tokens of a word whose pairs share a bucket
 START, END = np.uint64(1), np.uint64(2)  # no word hashes to these but by chance of 2^-63
 
@@ -254,6 +258,18 @@ def training(id_col: str):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 7 != 2, F.lit(True))
 
 
+@contextmanager
+def same_splits(df: DataFrame):
+    """Within, files are split alike however many executors are left."""
+    conf, key = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
+    before = conf.get(key, None)
+    conf.set(key, str(max(1, df.rdd.getNumPartitions())))
+    try:
+        yield
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
 def release(df: DataFrame) -> None:
     """Lets Spark delete the shuffle files of queries that are over."""
     gc.collect()
@@ -291,21 +307,25 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shipped = docs.sparkSession.sparkContext.broadcast(HotWords([tuple(r) for r in words.where(F.col("n") >= HOT).collect()]))
     release(docs)
 
+    names = ["q", "block", "blob", "ids", "n_tokens", "held"]
     buckets = max(8, -(-int(uni.n * 1.2) // BUCKET_TOKENS))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number, block = 0, Block()
         name = f"{TaskContext.get().partitionId()}"
 
         def flush():
-            label = f"{name}-{number}"
+            # the name also tells what the block holds: a pass that cut the texts otherwise would not go unseen
+            label = f"{name}-{number}-{crc32(repr((block.n, block.ids)).encode())}"
+            none = lambda t: pa.nulls(1, pa.list_(t))
             for q, blob in block.rows(buckets, shipped.value):
-                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.array([blob], pa.binary()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.bool_()))], ["q", "block", "blob", "ids", "n_tokens", "held"])
+                if q % PASSES == turn:
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.array([blob], pa.binary()), none(pa.string()), none(pa.int64()), none(pa.bool_())], names)
             # who is who in the block, to a bucket that does nothing else
             q = -1 - (int(name) * 31 + number) % buckets
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.nulls(1, pa.binary()), pa.array([block.ids], pa.list_(pa.string())), pa.array([[len(t) + 1 for t in block.tokens]], pa.list_(pa.int64())), pa.array([block.held], pa.list_(pa.bool_()))], ["q", "block", "blob", "ids", "n_tokens", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.nulls(1, pa.binary()), pa.array([block.ids], pa.list_(pa.string())), pa.array([[len(t) + 1 for t in block.tokens]], pa.list_(pa.int64())), pa.array([block.held], pa.list_(pa.bool_()))], names)
 
         for batch in batches:
             for part in slices(batch):
@@ -325,9 +345,18 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         got = list(bucket_rows(pdf["block"].tolist(), pdf["blob"].tolist(), uni, shipped.value))
         return pd.DataFrame({"kind": [x[0] for x in got], "block": [x[1] for x in got], "blob": [x[2] for x in got], "ids": None, "n_tokens": None, "held": None})
 
-    sent = rows.mapInArrow(cut, "q int, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>")
-    counted = written(sent.groupBy("q").applyInPandas(count, "kind string, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>"), "counted")
-    release(docs)
+    passes = []
+    with same_splits(rows):
+        for turn in range(PASSES):
+            sent = rows.mapInArrow(partial(cut, turn), "q int, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>")
+            passes.append(written(sent.groupBy("q").applyInPandas(count, "kind string, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>"), "counted"))
+            release(docs)
+    who = [p.where("kind = 'who'").select("block") for p in passes]
+    if any(not who[0].exceptAll(w).isEmpty() or not w.exceptAll(who[0]).isEmpty() for w in who[1:]):
+        raise RuntimeError("the texts were read in another order by a later pass: write them to a table first")
+    counted = passes[0]
+    for p in passes[1:]:
+        counted = counted.unionByName(p.where("kind <> 'who'"))
 
     # counts of counts of pairs: a few numbers from each bucket
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
