@@ -41,13 +41,13 @@ def sigmoid(x):
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def graded(toxic: np.ndarray, rows: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 for labels that are 0 or 1; rows and words: which text holds which word."""
-    size = int(words.max(initial=-1)) + 1
-    bad = np.bincount(words[toxic[rows] > 0], minlength=size)
-    clean = np.bincount(words[toxic[rows] == 0], minlength=size)
+def graded(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3 for labels that are 0 or 1; rows and cols: which text holds which word."""
+    size = int(cols.max(initial=-1)) + 1
+    bad = np.bincount(cols[toxic[rows] > 0], minlength=size)
+    clean = np.bincount(cols[toxic[rows] == 0], minlength=size)
     own = (bad >= 3) & (clean == 0)
-    hits = np.bincount(rows[own[words]], minlength=len(toxic))
+    hits = np.bincount(rows[own[cols]], minlength=len(toxic))
     return np.where(toxic > 0, 1 + (hits > 2) + (hits > 4), 0)
 
 
@@ -70,21 +70,20 @@ class OrdinalModel:
         return sigmoid(np.array([self.score(t) for t in texts])[:, None] - np.array(self.thresholds)[None, :])
 
     @classmethod
-    def fit(cls, grades: np.ndarray, rows: np.ndarray, words: np.ndarray, l1: float = 3e-5, rounds: int = 400) -> "OrdinalModel":
-        """rows, words: which text holds which feature. l1: the penalty on the mean loss."""
+    def fit(cls, grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, l1: float = 3e-5, rounds: int = 400) -> "OrdinalModel":
+        """rows, cols: which text holds which feature; ids: the feature of a column. l1: the penalty on the mean loss."""
         levels = np.unique(grades)
         if len(levels) < 2:
             return cls({}, [])
         y = np.searchsorted(levels, grades)  # 0 .. K
         n, top = len(y), len(levels) - 1
-        ids, cols = np.unique(words, return_inverse=True)
         held = np.bincount(cols, minlength=len(ids))
         # a feature of fewer than 3 texts, or as common in toxic as in clean texts, can't keep a weight
         bad = np.bincount(cols[y[rows] > 0], minlength=len(ids))
         share = (y > 0).mean()
         odd = np.abs(bad - share * held) / np.sqrt(share * (1 - share) * held + 1e-9)
         use = np.flatnonzero((held >= 3) & (odd >= 2))
-        place = np.full(len(ids), -1)
+        place = np.full(len(ids), -1, dtype=np.int32)
         place[use] = np.arange(len(use))
         cols = place[cols]
         rows, cols = rows[cols >= 0], cols[cols >= 0]
@@ -121,20 +120,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_co
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "id")
 
     def make():
-        return lambda b: {"grade": b.column(0), "words": [features(t) for t in b.column(1).to_pylist()]}
+        return lambda b: {"grade": b.column(0), "words": [np.array(features(t), dtype=np.uint32).view(np.int32) for t in b.column(1).to_pylist()]}
 
-    got = by_batch(texts.select("grade", "t"), "grade double, words array<bigint>", make).limit(4 * sample).toArrow()
+    got = by_batch(texts.select("grade", "t"), "grade double, words array<int>", make).limit(4 * sample).toArrow()
     grades = got.column("grade").to_numpy()
-    words = [np.asarray(c.flatten()) for c in got.column("words").chunks]
-    sizes = [np.diff(np.asarray(c.offsets)) for c in got.column("words").chunks]
     if not len(grades):
         return OrdinalModel({}, [])
-    flat, sizes = np.concatenate(words), np.concatenate(sizes)
-    rows = np.repeat(np.arange(len(grades)), sizes)
+    words = np.concatenate([np.asarray(c.flatten()) for c in got.column("words").chunks]).view(np.uint32)
+    sizes = np.concatenate([np.diff(np.asarray(c.offsets)) for c in got.column("words").chunks])
+    del got
+    rows = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)
+    # most words are in one or two texts only: they can't keep a weight
+    often = np.bincount(words & 0x3FFFFF, minlength=1 << 22)[words & 0x3FFFFF] >= 3
+    rows, words = rows[often], words[often]
+    ids, cols = np.unique(words, return_inverse=True)
+    cols = cols.astype(np.int32)
     if len(np.unique(grades)) == 2:
-        _, cols = np.unique(flat, return_inverse=True)
         grades = graded((grades > grades.min()).astype(int), rows, cols)
-    return OrdinalModel.fit(grades, rows, flat)
+    return OrdinalModel.fit(grades, rows, cols, ids)
 
 
 def severities(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
