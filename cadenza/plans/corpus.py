@@ -49,13 +49,22 @@ class Corpus:
         return replace(self, **changes)
 
     def derived(self, transform: str, parameters: dict, **changes) -> "Corpus":
-        """The annotations made from these: their ids become the last parents, metadata tells the transform."""
+        """The annotations made from these: their ids become the last parents, metadata tells the transform.
+
+        The new ids depend on the whole content; `documents` and `identified` compute them.
+        """
         metadata = json.dumps({"metadata_type": "derived", "transform": transform, "parameters": parameters}, ensure_ascii=False)
         own = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.array().cast("array<string>"))
         parents = F.concat(F.coalesce("parents", F.array().cast("array<string>")), own)
         headers = self.headers.withColumns({"parents": F.when(F.size(parents) > 0, parents), "metadata": F.lit(metadata), "id": F.lit(None).cast("string")})
         return self.with_(headers=headers, **changes)
 
+    def identified(self) -> "Corpus":
+        """With the ids of the content in the headers: between two transforms, so that the second names the first's result as a parent."""
+        ids = self.documents().select(F.col("annotation").alias("__key"), F.col("id").alias("__id"))
+        key = F.col("annotation").cast("string") == F.col("__key")
+        return self.with_(headers=self.headers.join(ids, key, "left").withColumn("id", F.col("__id")).drop("__key", "__id"))
+
     # layouts
 
     @classmethod

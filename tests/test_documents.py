@@ -169,3 +169,16 @@ def test_namespaces(tmp_path):
     assert namespaces.schema_of("beat")["properties"]["value"]["items"] == {"type": "integer", "minimum": 1}
     with pytest.raises(BadFormat):
         namespaces.from_namespace({})
+
+
+def test_lineage_ids(spark, tmp_path):
+    """A golden parent, its trimmed child, and the child's child."""
+    from cadenza.operators import filter_by, trim
+
+    write_file(onset(), str(tmp_path / "x.json"))
+    parent = Corpus.of_documents(read_documents(spark, str(tmp_path / "x.json")), "onset", "time")
+    child = trim(parent, start=0.25).identified()
+    head = child.headers.first()
+    assert head["parents"] == [GOLDEN] and head["id"] == "3eb61db5-4dee-5926-9040-58accf92961e"
+    last = filter_by(child, lambda v: v == "1").documents().first()
+    assert last["parents"] == [GOLDEN, head["id"]]
