@@ -9,9 +9,9 @@ whose 64 counts all exceed the radius is abandoned. Of the links in a bucket
 only a spanning forest leaves the task, so a group of k copies yields k rows.
 
 With 64 bits and radius r, r + 1 bands make the search exact. Wider fingerprints
-are for similarity: the share of equal bits estimates the cosine of two shingle
-bags, and with their sizes the Jaccard similarity; bands of bits drawn at random
-then find a pair at the threshold with the probability `recall`.
+are for similarity, and made of distinct shingles: the share of equal bits
+estimates the cosine of two sets. They only propose; within the components of
+the proposed links the sets themselves are compared.
 
 Rows: a null text is empty; texts without words have fingerprint zero and are
 linked like any other; texts of fewer words than a shingle have their whole word
@@ -39,6 +39,7 @@ from cadenza.llm.components import components
 SEED = 42
 BUFFER = 1 << 15  # rows compared together, and the largest bucket that isn't cut
 CHUNK = 1 << 13  # rows in a chunk of a larger one
+SETS = 1 << 12  # shingle sets compared together
 ENTRIES = 1 << 15  # words of 64 pairs counted side by side
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -54,11 +55,22 @@ def shingles(text: str, size: int) -> list[bytes]:
     return [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending."""
+    import xxhash
+
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], dtype=np.uint64))
+
+
 def fingerprint(text: str, size: int, words: int) -> tuple[bytes, int]:
     """A fingerprint of 64 * words bits, most significant first, and the number of shingles."""
     import xxhash
 
-    hashes = [xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)]
+    return majority([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], words)
+
+
+def majority(hashes, words: int) -> tuple[bytes, int]:
+    """The fingerprint of shingle hashes, and their number."""
     n = len(hashes)
     if not n:
         return bytes(8 * words), 0
@@ -94,6 +106,30 @@ def fingerprints(docs: DataFrame, size: int, words: int, id_col: str = "doc_id",
     return by_batch(rows, f"`{id_col}` {kind}, row bigint, fp binary, n int, node bigint", make)
 
 
+def set_prints(docs: DataFrame, size: int, words: int, jaccard: float, id_col: str, text_col: str) -> DataFrame:
+    """As `fingerprints`, of distinct shingles; node is a hash of their set.
+
+    prefix: the set's smallest hashes, so many that sets at jaccard or more have
+    one of them in common (such sets share ceil(jaccard * n) at least).
+    """
+    import xxhash
+
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        def batch(b: pa.RecordBatch) -> dict:
+            sets = [shingle_set(t, size) for t in b.column(2).to_pylist()]
+            got = [majority(x, words) for x in sets]
+            nodes = [xxhash.xxh64_digest(x.tobytes(), SEED) for x in sets]
+            heads = [x[: len(x) - math.ceil(jaccard * len(x) - 1e-9) + 1].view(np.int64) for x in sets]
+            return {id_col: b.column(0), "row": b.column(1), "fp": [f for f, _ in got], "n": np.array([n for _, n in got], dtype=np.int32), "node": np.frombuffer(b"".join(nodes), dtype=">i8").astype(np.int64), "prefix": heads}
+
+        return batch
+
+    rows = docs.select(id_col, row_key(docs, id_col, text_col).alias("row"), text_or_empty(text_col).alias("t"))
+    return by_batch(rows, f"`{id_col}` {kind}, row bigint, fp binary, n int, node bigint, prefix array<bigint>", make)
+
+
 def row_key(docs: DataFrame, id_col: str, text_col: str):
     return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")), docs[id_col].cast("string"))
 
@@ -359,8 +395,12 @@ def compare_buckets(bands: DataFrame, rule: Rule, keys: list[str], sides: bool =
 
 def links(distinct: DataFrame, rule: Rule, rows: int) -> DataFrame:
     """distinct(node, fp, n) -> edges (a, b): enough of the links that every component holds together."""
-    n = tasks(distinct, rows * len(rule.bands), 1 << 20)
-    bands = in_bands(distinct, rule).repartition(n, "bucket").sortWithinPartitions("bucket")
+    return bucket_links(in_bands(distinct, rule), rule, tasks(distinct, rows * len(rule.bands), 1 << 20))
+
+
+def bucket_links(bands: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """(bucket, node, fp, n) -> edges (a, b) of rows in the same bucket, in n tasks."""
+    bands = bands.repartition(n, "bucket").sortWithinPartitions("bucket")
     got = written(compare_buckets(bands, rule, ["bucket"]), "links")
     edges = got.where("b is not null").select("a", "b")
     large = got.where("b is null").select("bucket", "chunk", F.col("a").alias("node"), "fp", "n")
@@ -375,11 +415,89 @@ def links(distinct: DataFrame, rule: Rule, rows: int) -> DataFrame:
     return edges.unionByName(compare_buckets(pairs, rule, ["bucket", "i", "j"], sides=True).select("a", "b"))
 
 
-def groups(prints: DataFrame, rule_for: Callable[[int], Rule], id_col: str) -> DataFrame:
-    """prints (of `fingerprints`, written) with component: the smallest id reachable over links."""
-    distinct = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("least")), "nodes")
+def similar(x: np.ndarray, sizes: np.ndarray, n: int, jaccard: float) -> np.ndarray:
+    """Whether sets with x hashes in common with one of n are that similar to it."""
+    return x / np.maximum(sizes + n - x, 1) >= jaccard
+
+
+def exact_forest(sets: list[np.ndarray], jaccard: float) -> tuple[list[int], list[int]]:
+    """Links (i, j) that hold together the sets joined over pairs at jaccard or more.
+
+    A search from set to set: each is counted against those not reached yet by the
+    lists of the sets that hold its hashes, which are made anew as half are reached.
+    """
+    sizes = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    of = np.repeat(np.arange(len(sets)), sizes)
+    own = np.split(code, np.cumsum(sizes)[:-1])
+    out_a: list[int] = []
+    out_b: list[int] = []
+    free = np.ones(len(sets), dtype=bool)
+    indexed = 0
+    for seed in range(len(sets)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        stack = [seed]
+        while stack and free.any():
+            live = np.count_nonzero(free)
+            if not indexed or 2 * live < indexed:
+                at = free[of]
+                order = np.argsort(code[at], kind="stable")
+                holders, indexed = of[at][order], live
+                begins = np.append(0, np.cumsum(np.bincount(code[at], minlength=code.max() + 1)))
+            x = stack.pop()
+            first, count = begins[own[x]], begins[own[x] + 1] - begins[own[x]]
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+            shared = np.bincount(holders[place], minlength=len(sets))
+            near = np.flatnonzero(free & similar(shared, sizes, sizes[x], jaccard))
+            free[near] = False
+            out_a += [x] * len(near)
+            out_b += near.tolist()
+            stack += near.tolist()
+    return out_a, out_b
+
+
+def exact_links(candidates: DataFrame, sets: DataFrame, jaccard: float) -> DataFrame:
+    """candidates(node, component), sets(node, hashes) -> edges (a, b): nodes of a component joined over pairs at jaccard or more.
+
+    Components beyond `SETS` nodes are dealt into chunks, and each pair of chunks is a group of its own.
+    """
+    chunks = candidates.groupBy("component").agg(F.ceil(F.count("*") / SETS).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    rows = candidates.join(chunks, "component").select("node", "component", "chunks", chunk.alias("chunk"))
+    other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("chunks") - 1), F.array("chunk"))))
+    rows = rows.select("node", "component", "chunk", other.alias("other")).select("node", "component", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        a, b = exact_forest([np.frombuffer(x, dtype="<u8") for x in table.column("hashes").to_pylist()], jaccard)
+        return pa.table({"a": nodes[a].astype(np.int64), "b": nodes[b].astype(np.int64)})
+
+    return rows.join(sets, "node").groupBy("component", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def sets_of(docs: DataFrame, prints: DataFrame, candidates: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, hashes): the shingle sets of the candidates, from one text of each."""
+    one = prints.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    texts = docs.select(row_key(docs, id_col, text_col).alias("row"), text_or_empty(text_col).alias("t"))
+    texts = texts.join(written(one, "texts").hint("shuffle_hash"), "row").select("node", "t")
+
+    def make():
+        def batch(b: pa.RecordBatch) -> dict:
+            return {"node": b.column(0), "hashes": [shingle_set(t, size).tobytes() for t in b.column(1).to_pylist()]}
+
+        return batch
+
+    return written(by_batch(texts, "node bigint, hashes binary", make).dropDuplicates(["node"]), "sets")
+
+
+def groups(prints: DataFrame, links_of: Callable[[DataFrame, int], DataFrame], id_col: str) -> DataFrame:
+    """prints (written) with component: the smallest id reachable over the links of distinct nodes and their number."""
+    more = [F.first(c).alias(c) for c in prints.columns if c == "prefix"]
+    distinct = written(prints.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("least"), *more), "nodes")
     rows = distinct.count()
-    found = components(links(distinct, rule_for(rows), rows))
+    found = components(links_of(distinct, rows))
     named = distinct.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     named = written(named, "named")
     # written, so that both sides of the join are plain exchanges and a large class can be split
@@ -391,19 +509,24 @@ def groups(prints: DataFrame, rule_for: Callable[[int], Rule], id_col: str) -> D
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (64 bits in hex), component_id, links over at most `radius` differing bits."""
     prints = written(fingerprints(docs, size, 1, id_col, text_col), "prints")
-    out = groups(prints, lambda rows: Rule.within(radius), id_col)
+    out = groups(prints, lambda nodes, rows: links(nodes, Rule.within(radius), rows), id_col)
     return out.select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, jaccard: float = 0.8, words: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of near copies, all columns: the one with the smallest id.
 
-    Texts are near copies if the Jaccard similarity of their shingles, as their
-    fingerprints of 64 * words bits estimate it, is jaccard or more (less 0.03
-    for the estimate's error); groups are the components of these links.
+    Texts are near copies if the Jaccard similarity of their sets of shingles is
+    jaccard or more; groups are the components of these links. Fingerprints of
+    the sets, 64 * words bits, only say which texts are compared.
     """
-    prints = written(fingerprints(docs, size, words, id_col, text_col), "prints")
-    grouped = groups(prints, lambda rows: Rule.similar(jaccard, words, rows), id_col)
+    prints = written(set_prints(docs, size, words, jaccard, id_col, text_col), "prints")
+
+    def links_of(nodes: DataFrame, rows: int) -> DataFrame:
+        candidates = components(links(nodes, Rule.similar(jaccard, words, rows), rows))
+        return exact_links(candidates, sets_of(docs, prints, candidates, size, id_col, text_col), jaccard)
+
+    grouped = groups(prints, links_of, id_col)
     # null ids come last; of rows with one id the text's hash decides
     order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), "row")
     kept = grouped.groupBy("class").agg(F.min(order)["row"].alias("row")).select("row")

@@ -120,6 +120,31 @@ def test_near_copies(docs, odd):
     assert simhash.without_near_copies(odd.limit(0)).count() == 0
 
 
+def test_shared_line_is_no_copy(docs):
+    """Texts that repeat one line and differ in the rest are no near copies."""
+    line = " ".join(f"line{k}" for k in range(10))
+    rows = [(i, " ".join([line] * 10 + [f"t{i}w{k}" for k in range(100)])) for i in range(12)]
+    assert simhash.without_near_copies(docs(rows)).count() == 12
+
+
+def test_exact_forest(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, (4, 60)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.choice([0, 0.05, 0.15]), rng.integers(0, 1 << 60, 60).astype(np.uint64), base[i % 4])) for i in range(80)]
+    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    got = list(zip(*simhash.exact_forest(sets, 0.8)))
+    assert all(near(i, j) for i, j in got)
+
+    def parts(edges):
+        root = list(range(80))
+        for _ in range(80):
+            for i, j in edges:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    assert parts(got) == parts([(i, j) for i in range(80) for j in range(i) if near(i, j)])
+
+
 def test_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 2001)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
