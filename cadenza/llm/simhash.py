@@ -10,8 +10,10 @@ only a spanning forest leaves the task, so a group of k copies yields k rows.
 
 With 64 bits and radius r, r + 1 bands make the search exact. Wider fingerprints
 are for similarity, and made of distinct shingles: the share of equal bits
-estimates the cosine of two sets. They only propose; within the components of
-the proposed links the sets themselves are compared.
+estimates the cosine of two sets. Such sets meet in buckets of equal hashes: at
+the threshold or above they share one of the smallest hashes of each (`prefix`).
+Fingerprints only propose, by a radius that no such pair exceeds; within the
+components of the proposed links the sets themselves are compared.
 
 Rows: a null text is empty; texts without words have fingerprint zero and are
 linked like any other; texts of fewer words than a shingle have their whole word
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_batch, tasks, text_or_empty, written
+from cadenza.llm.common import by_batch, tasks, text_or_empty, total, written
 from cadenza.llm.components import components
 
 SEED = 42
@@ -252,23 +254,20 @@ class Rule:
         return cls(1, radius, np.array_split(np.arange(64), radius + 1))
 
     @classmethod
-    def similar(cls, jaccard: float, words: int, rows: int, recall: float = 0.99, bucket: int = 1024, slack: float = 0.03) -> "Rule":
-        """Jaccard similarity as estimated at least jaccard - slack. Bands grow with the rows so that buckets don't."""
-        equal = 1 - math.acos(2 * jaccard / (1 + jaccard)) / math.pi
-        width = max(4, math.ceil(math.log2(max(rows, 1) / bucket + 1)))
-        n = math.ceil(math.log(1 - recall) / math.log(1 - equal**width))
-        draw = np.random.default_rng(SEED)
-        low = jaccard - slack
-        radius = math.floor(64 * words * math.acos(2 * low / (1 + low)) / math.pi)
-        return cls(words, radius, [draw.choice(64 * words, width, replace=False) for _ in range(n)], low)
+    def near(cls, jaccard: float, words: int) -> "Rule":
+        """Sets that may be similar: fingerprints at most 0.3 of their bits apart, sizes in proportion.
+
+        At 0.8, a bit differs with probability 0.1875 at most (4 shingles against
+        the same and one more; ties count as 0), 0.15 in long texts; of 1024 bits
+        over 307 differ with probability 2e-18 then.
+        """
+        return cls(words, math.floor(64 * words * 0.3), [], jaccard)
 
     def linked(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
         """Of pairs within the radius, those that the rule links."""
         if self.jaccard is None:
             return np.ones(len(a), dtype=bool)
-        apart = np.bitwise_count(a.view("<u8") ^ b.view("<u8")).sum(axis=1)
-        shared = np.cos(np.pi * apart / (64 * self.words)) * np.sqrt(n_a * 1.0 * n_b)
-        return shared >= self.jaccard * (n_a + n_b - shared)
+        return np.minimum(n_a, n_b) / np.maximum(np.maximum(n_a, n_b), 1) >= self.jaccard
 
 
 def forest(rule: Rule, nodes, fps, sizes, first, last) -> tuple[np.ndarray, np.ndarray]:
@@ -325,6 +324,36 @@ def in_bands(distinct: DataFrame, rule: Rule) -> DataFrame:
     return by_batch(distinct.select("node", "fp", "n"), "bucket bigint, node bigint, fp binary, n int", make)
 
 
+def shared_only(rows: DataFrame) -> DataFrame:
+    """(bucket, node), sorted by bucket within partitions: without the buckets of a single row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, node, same = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether the row before it has its bucket
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                bucket = np.append(bucket, batch.column(0).to_numpy())
+                node = np.append(node, batch.column(1).to_numpy())
+            if not len(bucket):
+                continue
+            equal = bucket[1:] == bucket[:-1]
+            before, after = np.append(same, equal), np.append(equal, False)
+            done = len(bucket) - (batch is not None)
+            keep = np.flatnonzero((before | after)[:done])
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], names=["bucket", "node"])
+            bucket, node, same = bucket[done:], node[done:], bool(before[-1])
+
+    return rows.mapInArrow(run, "bucket bigint, node bigint")
+
+
+def prefix_links(nodes: DataFrame, rule: Rule) -> DataFrame:
+    """nodes(node, fp, n, prefix) -> edges (a, b): enough of the links of nodes with a hash of their prefixes in common."""
+    n = tasks(nodes, int(total(nodes, F.sum(F.size("prefix")))[0]), 1 << 20)
+    buckets = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition(n, "bucket").sortWithinPartitions("bucket")
+    shared = written(shared_only(buckets), "shared")
+    return bucket_links(shared.join(nodes.select("node", "fp", "n"), "node").select("bucket", "node", "fp", "n"), rule, n)
+
+
 LINKS = "a bigint, b bigint, bucket bigint, chunk int, fp binary, n int"
 
 
@@ -523,7 +552,7 @@ def without_near_copies(docs: DataFrame, size: int = 5, jaccard: float = 0.8, wo
     prints = written(set_prints(docs, size, words, jaccard, id_col, text_col), "prints")
 
     def links_of(nodes: DataFrame, rows: int) -> DataFrame:
-        candidates = components(links(nodes, Rule.similar(jaccard, words, rows), rows))
+        candidates = components(prefix_links(nodes, Rule.near(jaccard, words)))
         return exact_links(candidates, sets_of(docs, prints, candidates, size, id_col, text_col), jaccard)
 
     grouped = groups(prints, links_of, id_col)

@@ -127,6 +127,16 @@ def test_shared_line_is_no_copy(docs):
     assert simhash.without_near_copies(docs(rows)).count() == 12
 
 
+def test_short_near_copies(docs):
+    """Texts of a few words at 0.8 to 0.9, each of which is a copy of the one before it."""
+    rows, words = [], [8, 9, 10, 13, 24, 44]
+    for k in range(60):
+        own = [f"t{k}w{i}" for i in range(words[k % 6])]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own, "more"]))]
+    got = {r["doc_id"] for r in simhash.without_near_copies(docs(rows)).collect()}
+    assert got == set(range(0, 120, 2))
+
+
 def test_exact_forest(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 60, (4, 60)).astype(np.uint64)
