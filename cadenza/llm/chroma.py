@@ -5,9 +5,8 @@ PCM samples by a Fourier transform (`pcm_frames`) or from a pitch contour
 (`contour_frames`). Frames are summed into an integral image; a bank of 16
 rectangle filters compares the energy of two areas each, reading four corners
 an area; every comparison is quantised to two bits in Gray code, which makes a
-32-bit integer for each window of 16 frames. Recordings are aligned by the
-offsets at which their integers agree: the histogram's best offset is checked by
-the share of differing bits over the whole overlap.
+32-bit integer for each window of 16 frames. Recordings are aligned by the share
+of differing bits over the whole overlap, at every offset.
 
 Rows: a null or empty recording, null or non-finite samples within it (which
 count as silence) and windows without any energy have no integers; recordings
@@ -22,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_batch, written
+from cadenza.llm.common import by_batch, tasks, written
 
 BINS, SPAN = 12, 16  # pitch classes; frames in a window
 #: Thresholds of the logarithm of an area's energy against the other's.
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
+FOUND = pa.schema([("q", pa.int64()), ("class", pa.int64()), ("frame_offset", pa.int32()), ("votes", pa.int64()), ("bit_error", pa.float64())])
 
 
 def bank() -> list[tuple[int, int, int, int, int]]:
@@ -132,32 +132,90 @@ def fingerprints(recordings: DataFrame, id_col: str, column: str, to_frames) ->
     return by_batch(recordings.select(id_col, column), f"`{id_col}` {kind}, codes array<int>", make)
 
 
-def align(prints: DataFrame, id_col: str, every: int = 50, min_votes: int = 4, max_error: float = 0.2, min_overlap: int = 16) -> DataFrame:
+def padded(lists: list) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of codes as columns of one length, and where they have a code."""
+    out = np.zeros((max(map(len, lists), default=0), len(lists)), dtype=np.uint32)
+    has = np.zeros(out.shape, dtype=bool)
+    for k, x in enumerate(lists):
+        has[: len(x), k] = [c is not None for c in x]
+        out[: len(x), k] = np.array([c or 0 for c in x], dtype=np.int64).astype(np.uint32)
+    return out, has
+
+
+def alignments(asked: list, others: list, max_error: float, min_overlap: int) -> list[tuple[int, int, int, int, float]]:
+    """(i, j, offset, votes, error) of each of the asked against each of the others, at its best offset if that is within the bounds.
+
+    All offsets are tried. Half of the windows are compared first; the rest only
+    where these don't exceed the error of the whole overlap by themselves.
+    """
+    (a, has_a), (b, has_b) = padded(asked), padded(others)
+    whole = bool(has_a.all() and has_b.all())
+    best: dict[tuple[int, int], tuple] = {}
+    for offset in range(min_overlap - len(a), len(b) - min_overlap + 1):
+        begin, end = max(0, -offset), min(len(a), len(b) - offset)
+        if end - begin < min_overlap:
+            continue
+        y, has_y = b[begin + offset : end + offset], has_b[begin + offset : end + offset]
+        half = (end - begin + 1) // 2
+        for i in range(a.shape[1]):
+            x, has_x = a[begin:end, i, None], has_a[begin:end, i, None]
+            if whole:
+                overlap = np.full(y.shape[1], end - begin)
+                apart = np.bitwise_count(x[:half] ^ y[:half]).sum(axis=0, dtype=np.uint32)
+            else:
+                both = has_x & has_y
+                overlap = both.sum(axis=0)
+                apart = (np.bitwise_count(x[:half] ^ y[:half]) * both[:half]).sum(axis=0, dtype=np.uint32)
+            at = np.flatnonzero((overlap >= min_overlap) & (apart / np.maximum(overlap * 32, 1) <= max_error))
+            if not len(at):
+                continue
+            both = has_x & has_y[:, at]
+            differ = x ^ y[:, at]
+            error = (np.bitwise_count(differ) * both).sum(axis=0, dtype=np.int64) / (overlap[at] * 32)
+            votes = ((differ == 0) & both).sum(axis=0)
+            for j, v, e in zip(at.tolist(), votes.tolist(), error.tolist()):
+                if e <= max_error:
+                    rank = (-v, e, abs(offset), offset)
+                    if (i, j) not in best or rank < best[i, j]:
+                        best[i, j] = rank
+    return [(i, j, o, -v, e) for (i, j), (v, e, _, o) in best.items()]
+
+
+def blocked(classes: DataFrame, rows: int, name: str) -> DataFrame:
+    """Classes and their codes in lists of about so many rows."""
+    n = max(1, -(-classes.count() // rows))
+    block = F.pmod(F.xxhash64("class", F.lit(name)), F.lit(n))
+    lists = classes.groupBy(block.alias("block")).agg(F.collect_list(F.struct("class", "codes")).alias("x"))
+    return written(lists.select(F.col("x.class").alias(f"{name}_class"), F.col("x.codes").alias(f"{name}_codes")), f"blocks-{name}")
+
+
+def align(prints: DataFrame, id_col: str, every: int = 50, max_error: float = 0.2, min_overlap: int = 16) -> DataFrame:
     """Recordings that align with a query, queries being the rows whose id is divisible by `every`.
 
     prints(id, codes). Columns: query_id, match_id (the smallest id of a class of
-    equal fingerprints), members, frame_offset, votes, bit_error. Of each class the offset
-    with the most votes (the smallest such) is taken; it counts with min_votes
-    equal codes and at most max_error differing bits over min_overlap windows or
-    more. The query's own class is among the matches, at offset 0, if it has
-    any code.
+    equal fingerprints), members, frame_offset, votes, bit_error. Every class is
+    compared at every offset; one counts with at most max_error differing bits
+    over min_overlap windows or more. Of these the offset with the most equal codes
+    (votes) is taken, then the least error, then the smallest offset. The query's
+    own class is among the matches if it has min_overlap codes.
     """
     rows = written(prints.select(F.col(id_col).alias("id"), "codes", F.xxhash64("codes").alias("class")), "codes")
     classes = written(rows.groupBy("class").agg(F.min("id").alias("match_id"), F.count("*").alias("members"), F.first("codes").alias("codes")), "classes")
     asked = rows.where(F.col("id") % every == 0).select("class").distinct()
-    spread = classes.select("class", F.posexplode("codes").alias("at", "code")).where("code is not null")
-    query = spread.join(asked, "class", "left_semi").select(F.col("class").alias("q"), F.col("at").alias("q_at"), "code")
-    votes = query.join(spread, "code").groupBy("q", "class", (F.col("at") - F.col("q_at")).alias("frame_offset")).agg(F.count("*").alias("votes"))
-    top = votes.where(F.col("votes") >= min_votes).groupBy("q", "class").agg(F.max_by("frame_offset", F.struct("votes", -F.abs("frame_offset"), -F.col("frame_offset"))).alias("frame_offset"), F.max("votes").alias("votes"))
-    both = top.join(classes.select(F.col("class").alias("q"), F.col("codes").alias("a")), "q").join(classes, "class")
-    shifted = F.when(F.col("frame_offset") >= 0, F.arrays_zip(F.col("a").alias("x"), F.slice("codes", F.col("frame_offset") + 1, F.greatest(F.size("codes"), F.lit(1))).alias("y"))).otherwise(
-        F.arrays_zip(F.slice("a", 1 - F.col("frame_offset"), F.greatest(F.size("a"), F.lit(1))).alias("x"), F.col("codes").alias("y"))
-    )
-    pairs = F.filter(shifted, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    checked = both.withColumn("pairs", pairs).withColumn("overlap", F.size("pairs"))
-    apart = F.aggregate("pairs", F.lit(0), lambda n, p: n + F.bit_count(p["x"].bitwiseXOR(p["y"])))
-    good = checked.where(F.col("overlap") >= min_overlap).withColumn("bit_error", apart / (F.col("overlap") * 32)).where(F.col("bit_error") <= max_error)
-    found = written(good.select("q", "match_id", "members", "frame_offset", "votes", "bit_error"), "matches")
+    sound = classes.where(F.size("codes") >= min_overlap).select("class", "codes")
+    pairs = blocked(sound, 2048, "b").crossJoin(blocked(sound.join(asked, "class", "left_semi"), 64, "a"))
+    pairs = pairs.repartition(tasks(pairs, 0, 1))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b_class, b_codes, a_class, a_codes = (batch.column(c)[k].as_py() for c in range(4))
+                got = alignments(a_codes, b_codes, max_error, min_overlap)
+                columns = ([a_class[g[0]] for g in got], [b_class[g[1]] for g in got], *([g[c] for g in got] for c in (2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, FOUND)], schema=FOUND)
+
+    found = pairs.mapInArrow(run, "q bigint, class bigint, frame_offset int, votes bigint, bit_error double")
+    found = written(found.join(classes.select("class", "match_id", "members"), "class").drop("class"), "matches")
     named = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("class").alias("q"))
     return named.join(found, "q").select("query_id", "match_id", "members", "frame_offset", "votes", "bit_error")
 

@@ -195,6 +195,25 @@ def test_chroma(spark):
         assert r["votes"] == sum(a == b for a, b in pairs)
 
 
+def test_chroma_noise(spark):
+    """Noisy copies are found wherever the rule accepts them, at any offset and without equal codes."""
+    rng = np.random.default_rng(6)
+    songs = rng.uniform(-0.3, 0.3, (6, 84))
+    rows = [(50 * k, s[:64]) for k, s in enumerate(songs)] + [(50 * k + 1, (s + rng.normal(0, 0.03, 84))[(k % 3) * 7 :][:64]) for k, s in enumerate(songs)]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>")
+    prints = chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
+    codes = {r["vec_id"]: np.array(r["codes"], dtype=np.int32).view(np.uint32) for r in prints.collect()}
+    votes = {}
+    for q in codes:
+        for m in codes:
+            for o in range(-33, 34):
+                a, b = codes[q][max(0, -o) : 49 - max(0, o)], codes[m][max(0, o) : 49 + min(0, o)]
+                if q % 50 == 0 and np.bitwise_count(a ^ b).sum() / 32 / len(a) <= 0.2:
+                    votes[q, m] = max(votes.get((q, m), 0), int((a == b).sum()))
+    got = {(r["query_id"], r["match_id"]): r["votes"] for r in chroma.align(prints, "vec_id").collect()}
+    assert got == votes and len(got) > 6 and min(got.values()) < 4
+
+
 def test_pcm(spark):
     tone = [float(x) for x in np.sin(np.arange(40000) / 7)]
     df = spark.createDataFrame([(1, tone), (2, tone[:100])], "id long, pcm array<double>")
