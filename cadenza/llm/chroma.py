@@ -230,3 +230,14 @@ def listed(matches: DataFrame, most: int = 1000) -> DataFrame:
     match = F.struct("match_id", "members", "frame_offset", "votes", "bit_error")
     rows = matches.join(counts, "query_id").groupBy("query_id", "n_matches", part.alias("part"))
     return rows.agg(F.array_sort(F.collect_list(match)).alias("matches")).select("query_id", "part", "n_matches", "matches")
+
+
+def with_members(lists: DataFrame, prints: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `listed` and a row for each recording besides: recording_id, class_id (the smallest id of its class, the match_id of matches), query_id, part, n_matches, matches.
+
+    A row holds a recording and its class (query_id null), or a list of a query.
+    """
+    classed = written(prints.select(F.col(id_col).alias("recording_id"), F.xxhash64("codes").alias("class")), "members")
+    least = written(classed.groupBy("class").agg(F.min("recording_id").alias("class_id")), "least")
+    members = classed.join(least, "class").select("recording_id", "class_id")
+    return members.unionByName(lists, allowMissingColumns=True)

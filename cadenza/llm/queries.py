@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm.bpe import bpe_digests
-from cadenza.llm.chroma import align, contour_frames, fingerprints, listed
-from cadenza.llm.common import table
+from cadenza.llm.chroma import align, contour_frames, fingerprints, listed, with_members
+from cadenza.llm.common import table, written
 from cadenza.llm.decontaminate import contamination
 from cadenza.llm.html_extract import extract_text
 from cadenza.llm.katz import katz_scores
@@ -48,10 +48,12 @@ def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding is read as a pitch contour of 64 frames around 440 Hz.
 
     A family of k alike recordings gives k * k / 50 pairs of query and match, so
-    matches come as lists by query.
+    matches come as lists by query. They name classes of equal fingerprints; a
+    row for each recording tells its class.
     """
     vectors = table(spark, sf_dir, "embeddings")
-    return listed(align(fingerprints(vectors, "vec_id", "embedding", lambda x: contour_frames(440 * (1 + x))), "vec_id"))
+    prints = written(fingerprints(vectors, "vec_id", "embedding", lambda x: contour_frames(440 * (1 + x))), "prints")
+    return with_members(listed(align(prints, "vec_id")), prints, "vec_id")
 
 
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

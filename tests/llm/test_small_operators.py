@@ -214,6 +214,18 @@ def test_chroma_noise(spark):
     assert got == votes and len(got) > 6 and min(got.values()) < 4
 
 
+def test_chroma_members(spark):
+    """Matches and members give every recording of a group of copies."""
+    rng = np.random.default_rng(7)
+    song = [float(x) for x in rng.uniform(-0.3, 0.3, 64)]
+    df = spark.createDataFrame([(i, song) for i in range(1, 8)] + [(50, song), (51, [])], "vec_id long, embedding array<double>")
+    prints = chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
+    got = chroma.with_members(chroma.listed(chroma.align(prints, "vec_id")), prints, "vec_id").collect()
+    classes = {r["recording_id"]: r["class_id"] for r in got if r["query_id"] is None}
+    found = {m["match_id"] for r in got if r["query_id"] == 50 for m in r["matches"]}
+    assert {i for i, c in classes.items() if c in found} == {*range(1, 8), 50} and classes[51] == 51
+
+
 def test_pcm(spark):
     tone = [float(x) for x in np.sin(np.arange(40000) / 7)]
     df = spark.createDataFrame([(1, tone), (2, tone[:100])], "id long, pcm array<double>")
