@@ -63,3 +63,10 @@ def test_matching():
         a, b = rng.random(8), rng.random(7)
         edges = [np.flatnonzero(np.abs(b - x) <= 0.1).tolist() for x in a]
         assert metrics.event_hits(a, b, 0.1) == len(metrics.matching(edges, 7))
+
+
+def test_hierarchy_frame_size():
+    """The frames stay as given in a track of over a minute."""
+    levels = lambda b: [(np.array([[0.0, 120.0]]), ["x"]), (np.array([[0.0, b], [b, 120.0]]), ["a", "b"])]
+    got = metrics.hierarchy(levels(60.1), levels(60.2))
+    assert 0.9 < got["L-Measure"] < 1 and 0.9 < got["T-Measure full"] < 1
