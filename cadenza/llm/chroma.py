@@ -5,13 +5,30 @@ PCM samples by a Fourier transform (`pcm_frames`) or from a pitch contour
 (`contour_frames`). Frames are summed into an integral image; a bank of 16
 rectangle filters compares the energy of two areas each, reading four corners
 an area; every comparison is quantised to two bits in Gray code, which makes a
-32-bit integer for each window of 16 frames. Recordings are aligned by the share
-of differing bits over the whole overlap, at every offset.
+32-bit integer for each window of 16 frames.
+
+Two recordings are aligned by an offset histogram: each pair of windows votes for
+its offset with the bits in which it agrees. All offsets are counted at once, as
+a correlation of bits by Fourier transform; offsets whose share of differing bits
+over the whole overlap may be within the bound are then counted exactly on the
+integers. No index of equal or partial codes stands before it: at 0.2 differing
+bits over 16 windows no part of a code is certain to be equal, and strangers
+agree in two thirds of their bits, so an index that finds nine tenths of the
+alignments compares most pairs anyway.
+
+Queries are a stated part of the rows, compared with all rows in blocks of both.
+What leaves a block is a row for each recording in it that aligns (how often, and
+its best partner) and a spanning forest of the links, never the pairs: a family
+of k alike recordings gives k rows.
 
 Rows: a null or empty recording, null or non-finite samples within it (which
 count as silence) and windows without any energy have no integers; recordings
 with the same integers form a class, compared once; repeated ids are recordings
-of their own; other columns are not read.
+of their own; other columns are not read, whatever their names. A recording of
+fewer integers than the least overlap aligns with nothing. Recordings may differ
+in length; one is held whole in memory, with 300 bytes a frame while its integers
+are made and 600 while it is compared. Of equally good partners the one with the
+smaller class hash is given. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,14 +37,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from cadenza.llm.common import by_batch, tasks, written
+from cadenza.llm.common import by_batch, written
+from cadenza.llm.components import components
 
 BINS, SPAN = 12, 16  # pitch classes; frames in a window
 #: Thresholds of the logarithm of an area's energy against the other's.
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
-FOUND = pa.schema([("q", pa.int64()), ("class", pa.int64()), ("frame_offset", pa.int32()), ("votes", pa.int64()), ("bit_error", pa.float64())])
+BLOCK = (256, 2048)  # queries and classes compared in a task
+BLOCK_CODES = 1 << 17  # integers in a block, or one recording's
+CELLS = 1 << 21  # numbers of an offset histogram held at a time
+LINKED = "role string, class bigint, n bigint, votes bigint, bit_error double, frame_offset int, other bigint, link bigint"
 
 
 def bank() -> list[tuple[int, int, int, int, int]]:
@@ -132,112 +155,220 @@ def fingerprints(recordings: DataFrame, id_col: str, column: str, to_frames) ->
     return by_batch(recordings.select(id_col, column), f"`{id_col}` {kind}, codes array<int>", make)
 
 
-def padded(lists: list) -> tuple[np.ndarray, np.ndarray]:
-    """Lists of codes as columns of one length, and where they have a code."""
-    out = np.zeros((max(map(len, lists), default=0), len(lists)), dtype=np.uint32)
-    has = np.zeros(out.shape, dtype=bool)
-    for k, x in enumerate(lists):
-        has[: len(x), k] = [c is not None for c in x]
-        out[: len(x), k] = np.array([c or 0 for c in x], dtype=np.int64).astype(np.uint32)
-    return out, has
-
-
-def alignments(asked: list, others: list, max_error: float, min_overlap: int) -> list[tuple[int, int, int, int, float]]:
-    """(i, j, offset, votes, error) of each of the asked against each of the others, at its best offset if that is within the bounds.
-
-    All offsets are tried. Half of the windows are compared first; the rest only
-    where these don't exceed the error of the whole overlap by themselves.
+class Recordings:
+    """Integers of some recordings side by side, the shorter first: codes and has (whether there is one), a row each."""
+
+    def __init__(self, lists: pa.Array):
+        sizes = np.diff(lists.offsets.to_numpy())
+        self.order = np.argsort(sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        flat = lists.flatten()
+        values = flat.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint32)
+        there = np.asarray(flat.is_valid())
+        at = np.arange(self.sizes.max(initial=0))
+        inside = at < self.sizes[:, None]
+        starts = (np.cumsum(sizes) - sizes)[self.order]
+        place = np.where(inside, starts[:, None] + at, 0)
+        self.has = inside & there[place] if len(flat) else inside
+        self.codes = np.where(self.has, values[place], np.uint32(0)) if len(flat) else np.zeros(inside.shape, np.uint32)
+
+    def runs(self, most: int) -> list[tuple[int, int]]:
+        """Ranges of at most so many recordings whose lengths are within a factor of two."""
+        scale = np.frexp(self.sizes.astype(np.float64))[1]
+        cuts = [0, *(np.flatnonzero(np.diff(scale)) + 1).tolist(), len(scale)]
+        return [(x, min(x + most, b)) for a, b in zip(cuts, cuts[1:]) for x in range(a, b, max(1, most))]
+
+    def part(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        width = int(self.sizes[begin:end].max(initial=0))
+        return self.codes[begin:end, :width], self.has[begin:end, :width]
+
+
+def fast_length(n: int) -> int:
+    """The least length from n on whose only factors are 2, 3 and 5."""
+    best = 1 << max(n - 1, 0).bit_length()
+    five = 1
+    while five < best:
+        three = five
+        while three < best:
+            best = min(best, three << max(-(-n // three) - 1, 0).bit_length())
+            three *= 3
+        five *= 5
+    return best
+
+
+def spectrum(codes: np.ndarray, has: np.ndarray, size: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Transforms along time of each bit as 1 or -1 (0 without an integer), as (frequency, recording, bit), and of has."""
+    bits = (codes[:, None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1)
+    signs = np.where(has[:, None, :], 1 - 2 * bits.astype(np.int8), np.int8(0)).astype(kind)
+    turn = lambda x: np.ascontiguousarray(np.moveaxis(np.fft.rfft(x, size, axis=-1), -1, 0))
+    return turn(signs), turn(has[:, None, :].astype(kind))
+
+
+def histograms(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """For each of a and each of b, by offset modulo size: the agreeing less the differing votes."""
+    return np.fft.irfft(np.conj(a) @ b.transpose(0, 2, 1), size, axis=0)
+
+
+def alignments(asked: Recordings, others: Recordings, max_error: float, min_overlap: int) -> tuple[np.ndarray, ...]:
+    """(i, j, offset, votes, error), as columns, of each of the asked and each of the others that align, at the best offset.
+
+    An offset counts with at most max_error differing bits over min_overlap windows
+    or more; the best has the most equal integers (votes), then the least error,
+    then the least distance. Positions are those in the lists given.
     """
-    (a, has_a), (b, has_b) = padded(asked), padded(others)
-    whole = bool(has_a.all() and has_b.all())
-    best: dict[tuple[int, int], tuple] = {}
-    for offset in range(min_overlap - len(a), len(b) - min_overlap + 1):
-        begin, end = max(0, -offset), min(len(a), len(b) - offset)
-        if end - begin < min_overlap:
-            continue
-        y, has_y = b[begin + offset : end + offset], has_b[begin + offset : end + offset]
-        half = (end - begin + 1) // 2
-        for i in range(a.shape[1]):
-            x, has_x = a[begin:end, i, None], has_a[begin:end, i, None]
-            if whole:
-                overlap = np.full(y.shape[1], end - begin)
-                apart = np.bitwise_count(x[:half] ^ y[:half]).sum(axis=0, dtype=np.uint32)
-            else:
-                both = has_x & has_y
-                overlap = both.sum(axis=0)
-                apart = (np.bitwise_count(x[:half] ^ y[:half]) * both[:half]).sum(axis=0, dtype=np.uint32)
-            at = np.flatnonzero((overlap >= min_overlap) & (apart / np.maximum(overlap * 32, 1) <= max_error))
-            if not len(at):
-                continue
-            both = has_x & has_y[:, at]
-            differ = x ^ y[:, at]
-            error = (np.bitwise_count(differ) * both).sum(axis=0, dtype=np.int64) / (overlap[at] * 32)
-            votes = ((differ == 0) & both).sum(axis=0)
-            for j, v, e in zip(at.tolist(), votes.tolist(), error.tolist()):
-                if e <= max_error:
-                    rank = (-v, e, abs(offset), offset)
-                    if (i, j) not in best or rank < best[i, j]:
-                        best[i, j] = rank
-    return [(i, j, o, -v, e) for (i, j), (v, e, _, o) in best.items()]
-
-
-def blocked(classes: DataFrame, rows: int, name: str) -> DataFrame:
-    """Classes and their codes in lists of about so many rows."""
-    n = max(1, -(-classes.count() // rows))
-    block = F.pmod(F.xxhash64("class", F.lit(name)), F.lit(n))
-    lists = classes.groupBy(block.alias("block")).agg(F.collect_list(F.struct("class", "codes")).alias("x"))
-    return written(lists.select(F.col("x.class").alias(f"{name}_class"), F.col("x.codes").alias(f"{name}_codes")), f"blocks-{name}")
+    found: list[tuple[np.ndarray, ...]] = []
+    for a0, a1 in asked.runs(64):
+        code_a, has_a = asked.part(a0, a1)
+        for b0, b1 in others.runs(len(others.sizes)):
+            size = fast_length(max(1, code_a.shape[1] + int(others.sizes[b1 - 1]) - 1))
+            step = max(1, CELLS // (size * (a1 - a0)))
+            for b2 in range(b0, b1, step):
+                code_b, has_b = others.part(b2, min(b1, b2 + step))
+                if min(code_a.shape[1], code_b.shape[1]) >= min_overlap:
+                    got = _aligned(code_a, has_a, code_b, has_b, size, max_error, min_overlap)
+                    found.append((asked.order[a0 + got[0]], others.order[b2 + got[1]], *got[2:]))
+    if not found:
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64, np.float64))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _aligned(code_a, has_a, code_b, has_b, size: int, max_error: float, min_overlap: int) -> tuple[np.ndarray, ...]:
+    kind = np.float32 if size <= 2048 else np.float64
+    spec_a, mask_a = spectrum(code_a, has_a, size, kind)
+    spec_b, mask_b = spectrum(code_b, has_b, size, kind)
+    offsets = np.arange(min_overlap - code_a.shape[1], code_b.shape[1] - min_overlap + 1)
+    votes = histograms(spec_a, spec_b, size)[offsets % size]
+    if has_a.all() and has_b.all():
+        overlap = (np.minimum(code_a.shape[1], code_b.shape[1] - offsets) - np.maximum(0, -offsets)).astype(kind)[:, None, None]
+    else:
+        overlap = np.round(histograms(mask_a, mask_b, size)[offsets % size])
+    # of 32 * overlap votes; half a vote for rounding
+    o, i, j = np.nonzero((votes >= (1 - 2 * max_error) * 32 * overlap - 0.5) & (overlap >= min_overlap))
+    off = offsets[o]
+    equal, apart, windows = np.zeros(len(o), np.int64), np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
+    for k in range(0, len(o), max(1, CELLS // code_a.shape[1])):
+        s = slice(k, k + max(1, CELLS // code_a.shape[1]))
+        place = np.arange(code_a.shape[1]) + off[s, None]
+        inside = (place >= 0) & (place < code_b.shape[1])
+        place = np.where(inside, place, 0)
+        both = has_a[i[s]] & has_b[j[s, None], place] & inside
+        differ = code_a[i[s]] ^ code_b[j[s, None], place]
+        equal[s], windows[s] = ((differ == 0) & both).sum(axis=1), both.sum(axis=1)
+        apart[s] = (np.bitwise_count(differ) * both).sum(axis=1, dtype=np.int64)
+    error = apart / np.maximum(32 * windows, 1)
+    ok = np.flatnonzero((error <= max_error) & (windows >= min_overlap))
+    order = ok[np.lexsort((off[ok], np.abs(off[ok]), error[ok], -equal[ok], j[ok], i[ok]))]
+    first = order[np.append(True, (i[order[1:]] != i[order[:-1]]) | (j[order[1:]] != j[order[:-1]]))] if len(order) else order
+    return i[first], j[first], off[first].astype(np.int32), equal[first], error[first]
+
+
+def fingerprint_classes(prints: DataFrame, id_col: str, every: int) -> tuple[DataFrame, DataFrame]:
+    """(rows(id, class), classes(class, least, members, asked, first_asked, codes)): recordings of equal integers form a class."""
+    every_code = F.transform("codes", lambda c: F.coalesce(c.cast("long"), F.lit(1 << 40)))  # a hash leaves nulls out
+    rows = written(prints.select(F.col(id_col).alias("id"), "codes", F.xxhash64(every_code).alias("class")), "codes")
+    asks = F.col("id") % every == 0
+    classes = rows.groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("members"), F.count_if(asks).alias("asked"), F.min(F.when(asks, F.col("id"))).alias("first_asked"), F.first("codes").alias("codes"))
+    return rows.select("id", "class"), written(classes, "classes")
+
+
+def blocked(classes: DataFrame, rows: int, name: str) -> tuple[DataFrame, int]:
+    """Classes with their integers as lists of about so many, and the number of lists."""
+    n, codes = classes.agg(F.count("*"), F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()
+    n = max(1, -(-n // rows), -(-codes // BLOCK_CODES))
+    block = F.pmod(F.xxhash64("class", F.lit(name)), F.lit(n)).cast("int")
+    lists = classes.groupBy(block.alias(f"{name}_block")).agg(F.collect_list(F.struct("class", "members", "asked", "codes")).alias(name))
+    return written(lists, f"blocks-{name}"), n
 
 
 def align(prints: DataFrame, id_col: str, every: int = 50, max_error: float = 0.2, min_overlap: int = 16) -> DataFrame:
-    """Recordings that align with a query, queries being the rows whose id is divisible by `every`.
-
-    prints(id, codes). Columns: query_id, match_id (the smallest id of a class of
-    equal fingerprints), members, frame_offset, votes, bit_error. Every class is
-    compared at every offset; one counts with at most max_error differing bits
-    over min_overlap windows or more. Of these the offset with the most equal codes
-    (votes) is taken, then the least error, then the smallest offset. The query's
-    own class is among the matches if it has min_overlap codes.
+    """A row for each recording of prints(id, codes), queries being those whose id is divisible by `every`.
+
+    Columns: id; class_id, the smallest id reachable over links (itself included);
+    n_equal, the other recordings of the same integers (0 for one that aligns with nothing); n_links: of a query the
+    other recordings that align with it, of another recording the queries that do;
+    and of the best of these with other integers best_id (the smallest id of its
+    class; of its class's queries, for a recording that is none), frame_offset
+    (added to a window of the recording gives the partner's), votes (equal
+    integers) and bit_error. Links are equal integers and alignments of queries.
     """
-    rows = written(prints.select(F.col(id_col).alias("id"), "codes", F.xxhash64("codes").alias("class")), "codes")
-    classes = written(rows.groupBy("class").agg(F.min("id").alias("match_id"), F.count("*").alias("members"), F.first("codes").alias("codes")), "classes")
-    asked = rows.where(F.col("id") % every == 0).select("class").distinct()
-    sound = classes.where(F.size("codes") >= min_overlap).select("class", "codes")
-    pairs = blocked(sound, 2048, "b").crossJoin(blocked(sound.join(asked, "class", "left_semi"), 64, "a"))
-    pairs = pairs.repartition(tasks(pairs, 0, 1))
+    rows, classes = fingerprint_classes(prints, id_col, every)
+    # a class with fewer integers than the overlap links nothing, not even its equals
+    windows = F.size(F.filter("codes", lambda c: c.isNotNull()))
+    classes = classes.withColumn("sound", F.coalesce(windows >= min_overlap, F.lit(False)))
+    sound = classes.where("sound").select("class", "members", "asked", "codes")
+    b_blocks, n_b = blocked(sound, BLOCK[1], "b")
+    a_blocks, n_a = blocked(sound.where("asked > 0"), BLOCK[0], "a")
+    # each block of queries goes to each block of classes, a pair to a task
+    pairs = b_blocks.withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1)))).join(a_blocks.hint("shuffle_hash"), "a_block").select("a_block", "b_block", "a", "b")
+    pairs = pairs.repartition(max(n_a * n_b, 1), "a_block", "b_block")
+
+    schema = to_arrow_schema(StructType.fromDDL(LINKED))
 
     def run(batches):
+        def out(role, own, n, votes, error, offset, other, link):
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((role, own, n, votes, error, offset, other, link), schema)], schema=schema)
+
         for batch in batches:
             for k in range(batch.num_rows):
-                b_class, b_codes, a_class, a_codes = (batch.column(c)[k].as_py() for c in range(4))
-                got = alignments(a_codes, b_codes, max_error, min_overlap)
-                columns = ([a_class[g[0]] for g in got], [b_class[g[1]] for g in got], *([g[c] for g in got] for c in (2, 3, 4)))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, FOUND)], schema=FOUND)
-
-    found = pairs.mapInArrow(run, "q bigint, class bigint, frame_offset int, votes bigint, bit_error double")
-    found = written(found.join(classes.select("class", "match_id", "members"), "class").drop("class"), "matches")
-    named = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("class").alias("q"))
-    return named.join(found, "q").select("query_id", "match_id", "members", "frame_offset", "votes", "bit_error")
-
-
-def listed(matches: DataFrame, most: int = 1000) -> DataFrame:
-    """The rows of `align` as lists: query_id, part, n_matches (of the query in all), matches in the order of their ids.
-
-    A query with more than about `most` matches has several parts.
-    """
-    counts = matches.groupBy("query_id").agg(F.count("*").alias("n_matches"))
-    part = F.pmod(F.xxhash64("match_id"), F.ceil(F.col("n_matches") / most)).cast("int")
-    match = F.struct("match_id", "members", "frame_offset", "votes", "bit_error")
-    rows = matches.join(counts, "query_id").groupBy("query_id", "n_matches", part.alias("part"))
-    return rows.agg(F.array_sort(F.collect_list(match)).alias("matches")).select("query_id", "part", "n_matches", "matches")
-
-
-def with_members(lists: DataFrame, prints: DataFrame, id_col: str) -> DataFrame:
-    """The rows of `listed` and a row for each recording besides: recording_id, class_id (the smallest id of its class, the match_id of matches), query_id, part, n_matches, matches.
-
-    A row holds a recording and its class (query_id null), or a list of a query.
-    """
-    classed = written(prints.select(F.col(id_col).alias("recording_id"), F.xxhash64("codes").alias("class")), "members")
-    least = written(classed.groupBy("class").agg(F.min("recording_id").alias("class_id")), "least")
-    members = classed.join(least, "class").select("recording_id", "class_id")
-    return members.unionByName(lists, allowMissingColumns=True)
+                a, b = (batch.column(batch.schema.get_field_index(c))[k].values for c in ("a", "b"))
+                a_class, b_class = (x.field("class").to_numpy() for x in (a, b))
+                i, j, offset, votes, error = alignments(Recordings(a.field("codes")), Recordings(b.field("codes")), max_error, min_overlap)
+                for role, own, other, own_class, other_class, weight, sign in (("asks", i, j, a_class, b_class, b.field("members").to_numpy(), 1), ("asked", j, i, b_class, a_class, a.field("asked").to_numpy(), -1)):
+                    times = np.bincount(own, weights=weight[other], minlength=len(own_class)).astype(np.int64)
+                    there = np.flatnonzero(times)
+                    best = np.full(len(own_class), -1)
+                    new = np.flatnonzero(own_class[own] != other_class[other])
+                    new = new[np.lexsort((sign * offset[new], np.abs(offset[new]), other_class[other[new]], error[new], -votes[new], own[new]))]
+                    begins = new[np.append(True, own[new[1:]] != own[new[:-1]])] if len(new) else new
+                    best[own[begins]] = begins
+                    best = best[there]
+                    at = lambda x, none=best < 0, best=best: pa.array(x[np.maximum(best, 0)] if len(x) else np.zeros(len(best), x.dtype), mask=none)
+                    if len(there):
+                        yield out([role] * len(there), own_class[there], times[there], at(votes), at(error), at(sign * offset), at(other_class[other] if len(other) else other), pa.nulls(len(there), pa.int64()))
+                x, y = forest(a_class[i], b_class[j])
+                if len(x):
+                    yield out(["link"] * len(x), x, *(pa.nulls(len(x), schema.field(c).type) for c in ("n", "votes", "bit_error", "frame_offset", "other")), y)
+
+    found = written(pairs.mapInArrow(run, LINKED), "aligned")
+    linked = components(found.where("role = 'link'").select(F.col("class").alias("a"), F.col("link").alias("b")))
+    named = classes.select("class", "least", "sound", "members", "first_asked").join(linked.withColumnRenamed("node", "class"), "class", "left")
+    named = written(named.withColumn("component", F.coalesce("component", "class")), "named")
+    least = written(named.groupBy("component").agg(F.min("least").alias("class_id")), "least")
+    named = written(named.join(least, "component"), "classed")
+    rank = F.struct((-F.col("votes")).alias("v"), F.col("bit_error").alias("e"), F.abs("frame_offset").alias("d"), F.col("frame_offset").alias("o"), F.col("other").alias("c"))
+    counts = found.where("role <> 'link'").groupBy("role", "class").agg(F.sum("n").alias("n"), F.min(F.when(F.col("other").isNotNull(), rank)).alias("best"))
+    partner = classes.select(F.col("class").alias("other"), F.col("least").alias("other_least"), "first_asked")
+    best_id = F.when(F.col("role") == "asks", F.col("other_least")).otherwise(F.col("first_asked"))
+    counts = counts.withColumn("other", F.col("best.c")).join(partner, "other", "left").select("role", "class", "n", "best", best_id.alias("best_id"))
+    of = lambda role, p: written(counts.where(F.col("role") == role).select("class", F.col("n").alias(f"{p}_n"), F.col("best").alias(f"{p}_best"), F.col("best_id").alias(f"{p}_id")), role)
+    info = written(named.drop("first_asked").join(of("asks", "q"), "class", "left").join(of("asked", "d"), "class", "left"), "info")
+    out = rows.join(info, "class")
+    asks = F.col("id") % every == 0
+    either = lambda x: F.when(asks, F.col(f"q_{x}")).otherwise(F.col(f"d_{x}"))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.when(F.col("sound"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+        F.when(F.col("sound"), F.col("members") - 1).otherwise(0).alias("n_equal"),
+        # a query's own class aligns with it too: it is not its own partner
+        (F.coalesce(either("n"), F.lit(0)) - F.when(asks & F.col("sound"), 1).otherwise(0)).alias("n_links"),
+        either("id").alias("best_id"),
+        either("best")["o"].alias("frame_offset"),
+        (-either("best")["v"]).alias("votes"),
+        either("best")["e"].alias("bit_error"),
+    )
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (x, y) that hold together what the links (a, b) do: a star for each component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]

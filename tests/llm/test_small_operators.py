@@ -172,58 +172,90 @@ def test_urls(spark):
     assert urllist.temporal_filter(empty, entries).count() == 0
 
 
-def test_chroma(spark):
+def prints_of(spark, rows):
+    df = spark.createDataFrame([(i, None if x is None else [float(y) for y in x], 1, "x") for i, x in rows], "vec_id long, embedding array<double>, `class` int, codes string")
+    return chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
+
+
+def exhaustive(prints, every=50, max_error=0.2, least=16):
+    """What align gives, by comparing every query with every recording at every offset."""
+    rows = [(r["vec_id"], None if r["codes"] is None else tuple(r["codes"])) for r in prints.collect()]
+    sound = [c is not None and sum(x is not None for x in c) >= least for _, c in rows]
+
+    def best(a, b):
+        found = []
+        for o in range(-len(a), len(b)):
+            both = [(x, b[w + o]) for w, x in enumerate(a) if 0 <= w + o < len(b) and x is not None and b[w + o] is not None]
+            if len(both) >= least:
+                error = sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in both) / 32 / len(both)
+                if error <= max_error:
+                    found.append((-sum(x == y for x, y in both), error, abs(o), o))
+        return min(found, default=None)
+
+    out = {i: [set(), None] for i, _ in rows}
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for k, (q, a) in enumerate(rows):
+        for m, (i, b) in enumerate(rows):
+            if k == m or not (sound[k] and sound[m]):
+                continue
+            if a == b:
+                root[find(m)] = find(k)
+            if q % every:
+                continue
+            got = best(a, b)
+            if got:
+                root[find(m)] = find(k)
+                out[q][0].add(m)
+                if a != b:
+                    least_m = min(j for j, c in rows if c == b)
+                    out[q][1] = min(filter(None, (out[q][1], (*got, least_m))))
+                if i % every:
+                    out[i][0].add(k)
+                    if a != b:
+                        least_q = min(j for j, c in rows if c == a and j % every == 0)
+                        turned = (got[0], got[1], got[2], -got[3], least_q)
+                        out[i][1] = min(filter(None, (out[i][1], turned)))
+    classes = {}
+    for k, (i, _) in enumerate(rows):
+        classes[i] = min(rows[m][0] for m in range(len(rows)) if find(m) == find(k))
+    return {i: (classes[i], sum(c == d for d in [x for _, x in rows]) - 1 if sound[k] else 0, len(out[i][0]), None if out[i][1] is None else -out[i][1][0], None if out[i][1] is None else out[i][1][1]) for k, (i, c) in enumerate(rows)}
+
+
+def test_chroma(spark, monkeypatch):
+    """Equal, shifted, noisy, shorter and strange recordings against an exhaustive search: nothing is missed and nothing added."""
     rng = np.random.default_rng(4)
-    song = rng.uniform(-0.3, 0.3, 200)
-    rows = [(0, song[:64]), (1, song[20:84]), (2, song[:64]), (3, rng.uniform(-0.3, 0.3, 64)), (4, None), (5, []), (6, [float("nan")] * 64), (50, song[:64] + rng.normal(0, 1e-4, 64)), (100, rng.uniform(-0.3, 0.3, 64))]
-    df = spark.createDataFrame([(i, None if x is None else [float(y) for y in x], 1) for i, x in rows], "vec_id long, embedding array<double>, label int")
-    prints = chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
-    got = {(r["query_id"], r["match_id"]): r for r in chroma.align(prints, "vec_id").collect()}
-    assert {k for k in got if k[0] == 0} == {(0, 0), (0, 1), (0, 50)} and {k for k in got if k[0] == 100} == {(100, 100)}
-    assert got[0, 0]["members"] == 2 and got[0, 0]["bit_error"] == 0 and got[0, 1]["frame_offset"] == -20
-    assert 0 <= got[0, 50]["bit_error"] < 0.2
+    songs = rng.uniform(-0.3, 0.3, (4, 120))
+    rows = [(0, songs[0][:64]), (1, songs[0][20:84]), (2, songs[0][:64]), (50, songs[0][:64] + rng.normal(0, 1e-4, 64)), (4, None), (5, []), (6, [float("nan")] * 64), (7, [float("nan")] * 64)]
+    rows += [(50 * k + 100 + n, (s + rng.normal(0, 0.02 + 0.01 * k, 120))[(n % 4) * 9 :][: 64 - 6 * n]) for k, s in enumerate(songs) for n in range(5)]
+    rows += [(400, np.concatenate([songs[1][:40], [-2.0] * 20, songs[1][40:90]])), (401, songs[1][:90]), (402, songs[2][:31]), (403, songs[2][:30]), (404, songs[2])]
+    prints = prints_of(spark, rows)
+    want = exhaustive(prints)
+    for block, cells in (((256, 2048), 1 << 21), ((2, 3), 1 << 10)):
+        monkeypatch.setattr(chroma, "BLOCK", block)
+        monkeypatch.setattr(chroma, "CELLS", cells)
+        got = {r["vec_id"]: r for r in chroma.align(prints, "vec_id").collect()}
+        assert len(got) == len(rows)
+        assert {i: (r["class_id"], r["n_equal"], r["n_links"], r["votes"]) for i, r in got.items()} == {i: x[:4] for i, x in want.items()}
+        assert all(r["bit_error"] == want[i][4] or math.isclose(r["bit_error"], want[i][4]) for i, r in got.items())
+        assert got[0]["n_equal"] == 2 and got[0]["n_links"] > 2 and got[4]["class_id"] == 4 and got[7]["class_id"] == 7
+        assert got[1]["frame_offset"] == 20 and got[1]["best_id"] in (0, 50)
+    assert sum(x[3] is not None and x[3] < 4 for x in want.values()) > 5  # found without equal integers
     assert chroma.align(prints.limit(0), "vec_id").count() == 0
-    for most in (1000, 1):
-        lists = chroma.listed(chroma.align(prints, "vec_id"), most).collect()
-        assert {(r["query_id"], m["match_id"]) for r in lists for m in r["matches"]} == set(got)
-        assert all(r["n_matches"] == sum(q == r["query_id"] for q, _ in got) for r in lists)
-    # against brute force over all offsets
-    codes = {r["vec_id"]: r["codes"] for r in prints.collect()}
-    for (q, m), r in got.items():
-        pairs = [(a, codes[m][i + r["frame_offset"]]) for i, a in enumerate(codes[q]) if 0 <= i + r["frame_offset"] < len(codes[m])]
-        assert r["bit_error"] == sum(((a & 0xFFFFFFFF) ^ (b & 0xFFFFFFFF)).bit_count() for a, b in pairs) / 32 / len(pairs)
-        assert r["votes"] == sum(a == b for a, b in pairs)
-
-
-def test_chroma_noise(spark):
-    """Noisy copies are found wherever the rule accepts them, at any offset and without equal codes."""
-    rng = np.random.default_rng(6)
-    songs = rng.uniform(-0.3, 0.3, (6, 84))
-    rows = [(50 * k, s[:64]) for k, s in enumerate(songs)] + [(50 * k + 1, (s + rng.normal(0, 0.03, 84))[(k % 3) * 7 :][:64]) for k, s in enumerate(songs)]
-    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in rows], "vec_id long, embedding array<double>")
-    prints = chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
-    codes = {r["vec_id"]: np.array(r["codes"], dtype=np.int32).view(np.uint32) for r in prints.collect()}
-    votes = {}
-    for q in codes:
-        for m in codes:
-            for o in range(-33, 34):
-                a, b = codes[q][max(0, -o) : 49 - max(0, o)], codes[m][max(0, o) : 49 + min(0, o)]
-                if q % 50 == 0 and np.bitwise_count(a ^ b).sum() / 32 / len(a) <= 0.2:
-                    votes[q, m] = max(votes.get((q, m), 0), int((a == b).sum()))
-    got = {(r["query_id"], r["match_id"]): r["votes"] for r in chroma.align(prints, "vec_id").collect()}
-    assert got == votes and len(got) > 6 and min(got.values()) < 4
-
-
-def test_chroma_members(spark):
-    """Matches and members give every recording of a group of copies."""
+
+
+def test_chroma_copies(spark):
+    """A group of copies: a row each, and repeated ids are recordings of their own."""
     rng = np.random.default_rng(7)
-    song = [float(x) for x in rng.uniform(-0.3, 0.3, 64)]
-    df = spark.createDataFrame([(i, song) for i in range(1, 8)] + [(50, song), (51, [])], "vec_id long, embedding array<double>")
-    prints = chroma.fingerprints(df, "vec_id", "embedding", lambda x: chroma.contour_frames(440 * (1 + x)))
-    got = chroma.with_members(chroma.listed(chroma.align(prints, "vec_id")), prints, "vec_id").collect()
-    classes = {r["recording_id"]: r["class_id"] for r in got if r["query_id"] is None}
-    found = {m["match_id"] for r in got if r["query_id"] == 50 for m in r["matches"]}
-    assert {i for i, c in classes.items() if c in found} == {*range(1, 8), 50} and classes[51] == 51
+    song = rng.uniform(-0.3, 0.3, 64)
+    got = chroma.align(prints_of(spark, [(i, song) for i in range(1, 8)] + [(50, song), (50, song), (51, [])]), "vec_id").collect()
+    assert sorted((r["vec_id"], r["class_id"], r["n_equal"], r["n_links"]) for r in got) == [(i, 1, 8, 2) for i in range(1, 8)] + [(50, 1, 8, 8)] * 2 + [(51, 51, 0, 0)]
+    assert all(r["best_id"] is None for r in got)
+
+
+def test_fast_length():
+    smooth = [n for n in range(1, 2000) if all(p in (2, 3, 5) for p in range(2, n + 1) if n % p == 0 and all(p % k for k in range(2, p)))]
+    assert [chroma.fast_length(n) for n in range(1, 1900)] == [next(s for s in smooth if s >= n) for n in range(1, 1900)]
 
 
 def test_pcm(spark):
