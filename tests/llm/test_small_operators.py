@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cadenza.llm import chroma, html_extract, katz, shard, toxicity, urllist, wordpiece
+from cadenza.llm import chroma, katz, shard, toxicity, urllist, wordpiece
 from cadenza.llm.queries import vocabulary
 
 PATH = vocabulary("byte_bpe_50k.json")
@@ -268,53 +268,3 @@ def test_pcm(spark):
     assert (frames.argmax(axis=1) == 0).all() and chroma.pcm_frames(np.zeros(10)).shape == (0, 12)
     a, b = (chroma.codes(chroma.pcm_frames(np.sin(2 * np.pi * f * t)))[0] for f in (440, 554.37))
     assert len(a) and (a != b).any()
-
-
-PAGE = (
-    "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav><script>var x='</p>';</script>"
-    "<div class='cookie-notice'>We use cookies</div><article><header><h1>Head &amp; line</h1></header><p>First <b>par</b>agraph&nbsp;one<br>two<p>Second <!-- no --> text"
-    "<form>Send</form><ul><li>a<li>b</ul></article><section id=comments><article>A reader</article></section><aside>Side</aside><footer>&copy; us</footer>"
-)
-
-
-def test_page():
-    got = html_extract.blocks(PAGE)
-    assert " ".join(t for t, inside in got if inside) == "Head & line First paragraph one two Second text a b"
-    assert html_extract.blocks("") == [] and html_extract.blocks("plain") == [("plain", False)]
-    assert [t for t, _ in html_extract.blocks("<p>cut <b off")] == ["cut"]
-
-
-def brute_repeated(streams, run, pages):
-    seen = {}
-    for k, s in enumerate(streams):
-        for i in range(len(s) - run + 1):
-            seen.setdefault(tuple(s[i : i + run]), set()).add(k)
-    out = []
-    for s in streams:
-        mask = [False] * len(s)
-        for i in range(len(s) - run + 1):
-            if len(seen[tuple(s[i : i + run])]) >= pages:
-                mask[i : i + run] = [True] * run
-        out.append(mask)
-    return out
-
-
-def test_suffix_array():
-    rng = np.random.default_rng(5)
-    for _ in range(80):
-        streams = [rng.integers(0, 3, rng.integers(0, 30)) for _ in range(rng.integers(1, 6))]
-        run, pages = int(rng.integers(1, 6)), int(rng.integers(1, 4))
-        assert [m.tolist() for m in html_extract.repeated(streams, run, pages)] == brute_repeated([s.tolist() for s in streams], run, pages)
-
-
-def test_pages(spark):
-    menu, foot = "<div>" + " ".join(f"m{i}" for i in range(12)) + "</div>", "<div>" + " ".join(f"f{i}" for i in range(10)) + "</div>"
-    own = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(5)]
-    rows = [(k, f"http://h.org/{k}", f"<html><body>{menu}<div>{own[k]}</div>{foot}") for k in range(5)]
-    rows += [(10, "http://g.org/", PAGE), (11, None, None), (12, "http://g.org/x", ""), (10, "http://g.org/", PAGE)]
-    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, text string, host string")
-    got = {(r["page_id"], r["url"]): r for r in html_extract.extract_text(df).collect()}
-    assert all(got[k, f"http://h.org/{k}"]["text"] == own[k] for k in range(5))
-    assert got[11, None]["text"] == "" and got[12, "http://g.org/x"]["n_chars"] == 0
-    assert got[10, "http://g.org/"]["text"].startswith("Head & line")
-    assert html_extract.extract_text(df).count() == len(rows) and html_extract.extract_text(df.limit(0)).count() == 0
