@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import decontaminate as D
 
 
@@ -24,10 +26,41 @@ def brute_tiles(item, text, least):
 
 def test_tiles():
     rng = random.Random(0)
-    for _ in range(400):
-        item = [rng.randint(1, 5) for _ in range(rng.randint(0, 25))]
-        text = [rng.randint(1, 5) for _ in range(rng.randint(0, 30))]
-        assert sorted(D.tiles(item, text, 3)) == sorted(brute_tiles(item, text, 3))
+    for k in range(3000):
+        letters, longest = rng.randint(2, 8), 25 if k % 10 else 90
+        item = [rng.randint(1, letters) for _ in range(rng.randint(0, longest))]
+        text = [rng.randint(1, letters) for _ in range(rng.randint(0, longest))]
+        least = rng.choice((2, 3, 5))
+        assert D.tiles(item, text, least) == brute_tiles(item, text, least)
+
+
+def test_tiles_in_pieces(monkeypatch):
+    """Passages cut, turned and repeated, found in few pairs at a time."""
+    monkeypatch.setattr(D, "PAIRS", 7)
+    rng = random.Random(1)
+    for _ in range(300):
+        item = [rng.randint(1, 40) for _ in range(rng.randint(10, 70))]
+        text = []
+        while len(text) < 80:
+            a = rng.randrange(len(item))
+            text += item[a : a + rng.randint(1, 20)] + [rng.randint(1, 40) for _ in range(rng.randint(0, 3))]
+        assert D.tiles(item, text, 4) == brute_tiles(item, text, 4)
+
+
+def test_repetitive():
+    """The same word without end; a stretch again and again, of which only the first copies are compared."""
+    assert D.tiles([1] * 400, [1] * 20_000, 5) == [(0, 0, 400)]
+    assert D.tiles([2, 3, 4, 5, 6, 7] + [1] * 100, [1] * 20_000, 5) == [(6, 0, 100)]
+    items = D.Items([("k", "a b c d e f g h i j k l m n o p"), ("t", "a b c d e f")], 5)
+    rng = random.Random(2)
+    for _ in range(60):
+        text = []
+        for _ in range(40):
+            a = rng.randrange(10)
+            text += list("abcdefghijklmnop")[a : a + rng.randint(5, 9)] + ["z"]
+        for key, n, got in items.match(" ".join(text)):
+            item = "abcdefghijklmnop"[:n]
+            assert sorted(got) == sorted(brute_tiles(list(item), text, 5))
 
 
 def words(n, seed):
@@ -56,3 +89,6 @@ def test_leaks(spark, docs, odd):
     assert [len(r["tiles"]) for r in got if r["doc_id"] == 12] == [2]
     assert D.contamination(odd.limit(0), bench).count() == 0
     assert D.decontaminated(odd, bench.limit(0)).count() == odd.count()
+    assert D.contamination(odd, bench.limit(0)).count() == 0
+    clash = docs(rows).withColumn("text_hash", F.lit(1)).withColumn("Text_Size", F.lit(2))
+    assert D.decontaminated(clash, bench, max_bytes=600).columns == clash.columns
