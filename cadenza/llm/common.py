@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -22,11 +23,14 @@ ASCII_SPACE = r"\x09-\x0D\x20"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the one in spark.checkpoint.dir; where the session has none (tests on
-    one machine) a temporary folder is set.
+    It is the one in spark.checkpoint.dir. Where the session has none, a temporary
+    folder is made if all runs on one machine; a cluster must name one.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
