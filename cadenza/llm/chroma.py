@@ -49,7 +49,7 @@ STEPS = (-0.25, 0.0, 0.25)
 GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 BLOCK = (256, 2048)  # queries and classes compared in a task
 BLOCK_CODES = 1 << 17  # integers in a block, or one recording's
-CELLS = 1 << 21  # numbers of an offset histogram held at a time
+CELLS = 1 << 20  # numbers of an offset histogram held at a time
 LINKED = "role string, class bigint, n bigint, votes bigint, bit_error double, frame_offset int, other bigint, link bigint"
 
 
@@ -196,16 +196,17 @@ def fast_length(n: int) -> int:
     return best
 
 
-def spectrum(codes: np.ndarray, has: np.ndarray, size: int, kind) -> tuple[np.ndarray, np.ndarray]:
+def spectrum(codes: np.ndarray, has: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Transforms along time of each bit as 1 or -1 (0 without an integer), as (frequency, recording, bit), and of has."""
-    bits = (codes[:, None, :] >> np.arange(32, dtype=np.uint32)[:, None]) & np.uint32(1)
-    signs = np.where(has[:, None, :], 1 - 2 * bits.astype(np.int8), np.int8(0)).astype(kind)
-    turn = lambda x: np.ascontiguousarray(np.moveaxis(np.fft.rfft(x, size, axis=-1), -1, 0))
-    return turn(signs), turn(has[:, None, :].astype(kind))
+    kind = np.float32 if size <= 2048 else np.float64
+    bits = np.unpackbits(codes.astype("<u4").view(np.uint8).reshape(*codes.shape, 4), axis=-1, bitorder="little")
+    signs = np.where(has[..., None], 1 - 2 * bits.astype(np.int8), np.int8(0)).astype(kind)
+    turn = lambda x: np.ascontiguousarray(np.moveaxis(np.fft.rfft(x, size, axis=1), 1, 0))
+    return turn(signs), turn(has[..., None].astype(kind))
 
 
-def histograms(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """For each of a and each of b, by offset modulo size: the agreeing less the differing votes."""
+def histograms(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """For each of a and each of b (spectra), by offset modulo size: the agreeing less the differing votes."""
     return np.fft.irfft(np.conj(a) @ b.transpose(0, 2, 1), size, axis=0)
 
 
@@ -217,37 +218,51 @@ def alignments(asked: Recordings, others: Recordings, max_error: float, min_over
     then the least distance. Positions are those in the lists given.
     """
     found: list[tuple[np.ndarray, ...]] = []
-    for a0, a1 in asked.runs(64):
-        code_a, has_a = asked.part(a0, a1)
+    for a0, a1 in asked.runs(BLOCK[0]):
+        a = asked.part(a0, a1)
+        spectra: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b0, b1 in others.runs(len(others.sizes)):
-            size = fast_length(max(1, code_a.shape[1] + int(others.sizes[b1 - 1]) - 1))
+            # offsets of less than min_overlap windows may fold onto others like them
+            size = fast_length(max(1, a[0].shape[1] + int(others.sizes[b1 - 1]) - min_overlap))
+            if min(a[0].shape[1], int(others.sizes[b1 - 1])) < min_overlap:
+                continue
+            if size not in spectra:
+                spectra = {size: spectrum(*a, size)}
             step = max(1, CELLS // (size * (a1 - a0)))
             for b2 in range(b0, b1, step):
-                code_b, has_b = others.part(b2, min(b1, b2 + step))
-                if min(code_a.shape[1], code_b.shape[1]) >= min_overlap:
-                    got = _aligned(code_a, has_a, code_b, has_b, size, max_error, min_overlap)
-                    found.append((asked.order[a0 + got[0]], others.order[b2 + got[1]], *got[2:]))
+                i, j, *rest = _aligned(a, spectra[size], others.part(b2, min(b1, b2 + step)), size, max_error, min_overlap)
+                if len(i):
+                    found.append((asked.order[a0 + i], others.order[b2 + j], *rest))
     if not found:
         return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32, np.int64, np.float64))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _aligned(code_a, has_a, code_b, has_b, size: int, max_error: float, min_overlap: int) -> tuple[np.ndarray, ...]:
-    kind = np.float32 if size <= 2048 else np.float64
-    spec_a, mask_a = spectrum(code_a, has_a, size, kind)
-    spec_b, mask_b = spectrum(code_b, has_b, size, kind)
-    offsets = np.arange(min_overlap - code_a.shape[1], code_b.shape[1] - min_overlap + 1)
-    votes = histograms(spec_a, spec_b, size)[offsets % size]
-    if has_a.all() and has_b.all():
-        overlap = (np.minimum(code_a.shape[1], code_b.shape[1] - offsets) - np.maximum(0, -offsets)).astype(kind)[:, None, None]
-    else:
-        overlap = np.round(histograms(mask_a, mask_b, size)[offsets % size])
-    # of 32 * overlap votes; half a vote for rounding
-    o, i, j = np.nonzero((votes >= (1 - 2 * max_error) * 32 * overlap - 0.5) & (overlap >= min_overlap))
-    off = offsets[o]
-    equal, apart, windows = np.zeros(len(o), np.int64), np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
-    for k in range(0, len(o), max(1, CELLS // code_a.shape[1])):
-        s = slice(k, k + max(1, CELLS // code_a.shape[1]))
+def _aligned(a, spectra, b, size: int, max_error: float, min_overlap: int) -> tuple[np.ndarray, ...]:
+    (code_a, has_a), (code_b, has_b), (spec_a, mask_a) = a, b, spectra
+    spec_b, mask_b = spectrum(code_b, has_b, size)
+    pairs = len(code_a) * len(code_b)
+    votes = histograms(spec_a, spec_b, size)
+    whole = has_a.all() and has_b.all()
+    windows = None if whole else np.round(histograms(mask_a, mask_b, size))
+    hits = []
+    for lo, hi in ((0, code_b.shape[1] - min_overlap + 1), (min_overlap - code_a.shape[1], 0)):  # offsets from 0 on stand first, those below 0 last
+        if hi <= lo:
+            continue
+        offsets = np.arange(lo, hi)
+        at = slice(lo, hi) if lo >= 0 else slice(size + lo, size + hi)
+        if whole:
+            overlap = (np.minimum(code_a.shape[1], code_b.shape[1] - offsets) - np.maximum(0, -offsets))[:, None, None]
+            close = votes[at] >= ((1 - 2 * max_error) * 32 * overlap - 0.5).astype(votes.dtype)  # half a vote for rounding
+        else:
+            close = (votes[at] >= (1 - 2 * max_error) * 32 * windows[at] - 0.5) & (windows[at] >= min_overlap)
+        k = np.flatnonzero(close)
+        hits.append((offsets[k // pairs], k % pairs // len(code_b), k % len(code_b)))
+    off, i, j = (np.concatenate(x) for x in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
+    equal, apart, windows = np.zeros(len(off), np.int64), np.zeros(len(off), np.int64), np.zeros(len(off), np.int64)
+    step = max(1, CELLS // code_a.shape[1])
+    for k in range(0, len(off), step):
+        s = slice(k, k + step)
         place = np.arange(code_a.shape[1]) + off[s, None]
         inside = (place >= 0) & (place < code_b.shape[1])
         place = np.where(inside, place, 0)
