@@ -3,18 +3,27 @@
 A text's features are its distinct words (lower case, by CRC-32). The model has
 one weight for each feature, shared by all thresholds: P(grade >= k) is
 sigmoid(x.w - t[k]) with t[1] <= t[2] <= ...; severity is the expected grade, the
-sum of these. It is fitted on at most `sample` labelled texts (20,000 unless
-told otherwise; those whose id has the smallest hash), by proximal gradient
-steps scaled by feature, with an L1 penalty, so that few features keep a weight.
-
-Where labels tell toxic from clean only, `graded` makes grades of them: 0 for
-clean; 1, 2 or 3 for toxic texts by how many words of the toxic texts' own they
-hold (up to 2, up to 4, more), these words being those of the sample that at
-least 3 toxic texts and no clean one hold.
-
-Rows: a null text is empty and gets the severity of a text without features; a
-label without a text or with a null grade is left out, of several labels of an
-id the largest grade holds; without two different grades all severities are 0.
+sum of these. It is fitted by proximal gradient steps scaled by feature, with an
+L1 penalty, so that few features keep a weight.
+
+The fit is on a sample: labelled ids in the order of their hash, as many as
+`sample` (20,000 unless told otherwise) and until their texts have `max_features`
+distinct words together (8,000,000), which bounds the driver's memory whatever
+the texts' lengths. Of several texts of an id the one with the smallest hash
+counts, of several labels the largest grade.
+
+Labels of more than two grades are fitted as they are. Where labels tell toxic
+from clean only, `refined` splits the toxic texts into grades 1 to 3 by evidence
+that doesn't come from the text itself: the sample is cut in two by id, a model of
+two grades is fitted on each half, and each toxic text is graded by the other
+half's score of it, a third of them in each grade. The first threshold is thus
+that of the labels; the others order the toxic texts by how sure a stranger is.
+
+Rows: a null or empty text gets the severity of a text without features; a very
+long text is held whole in its task, its features are its distinct words; a label
+without a text or with a null grade is left out; repeated rows are each scored;
+without two different grades all severities are 0; other columns are not read
+(`severities`) or kept, whatever their names (`without_toxic`).
 """
 
 from __future__ import annotations
@@ -27,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_batch, kept_batches, text_or_empty
+from cadenza.llm.common import by_batch, kept_batches, text_or_empty, written
 
 WORD = re.compile(r"\w+")
 
@@ -41,16 +50,6 @@ def sigmoid(x):
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def graded(toxic: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 for labels that are 0 or 1; rows and cols: which text holds which word."""
-    size = int(cols.max(initial=-1)) + 1
-    bad = np.bincount(cols[toxic[rows] > 0], minlength=size)
-    clean = np.bincount(cols[toxic[rows] == 0], minlength=size)
-    own = (bad >= 3) & (clean == 0)
-    hits = np.bincount(rows[own[cols]], minlength=len(toxic))
-    return np.where(toxic > 0, 1 + (hits > 2) + (hits > 4), 0)
-
-
 class OrdinalModel:
     """Weights by feature and ascending thresholds."""
 
@@ -69,6 +68,10 @@ class OrdinalModel:
             return np.zeros((len(texts), 1))
         return sigmoid(np.array([self.score(t) for t in texts])[:, None] - np.array(self.thresholds)[None, :])
 
+    def plain(self) -> tuple:
+        """What the model is made of, for shipping: its class isn't known on executors."""
+        return self.weights, self.thresholds
+
     @classmethod
     def fit(cls, grades: np.ndarray, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray, l1: float = 3e-5, rounds: int = 400) -> "OrdinalModel":
         """rows, cols: which text holds which feature; ids: the feature of a column. l1: the penalty on the mean loss."""
@@ -112,40 +115,67 @@ class OrdinalModel:
         return cls({int(ids[use[j]]): float(w[j]) for j in np.flatnonzero(w)}, theta.tolist())
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> OrdinalModel:
-    """The model of labels(id, grade) joined with docs; grades of two kinds only go through `graded`."""
+def refined(toxic: np.ndarray, half: np.ndarray, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Grades 0 to 3 for labels that are 0 or 1: thirds of the toxic texts of each half by the other half's model.
+
+    half: the half that a text is in; rows, cols, ids as in `OrdinalModel.fit`.
+    """
+    out = np.where(toxic > 0, 1, 0)
+    for h in (0, 1):
+        learn = half[rows] != h
+        number = np.cumsum(half != h) - 1
+        model = OrdinalModel.fit(toxic[half != h], number[rows[learn]], cols[learn], ids)
+        weight = np.zeros(len(ids))
+        if model.weights:
+            place = {x: k for k, x in enumerate(ids.tolist())}
+            weight[[place[x] for x in model.weights]] = list(model.weights.values())
+        score = np.bincount(rows, weights=weight[cols], minlength=len(toxic))
+        own = np.flatnonzero((toxic > 0) & (half == h))
+        low, high = np.quantile(score[own], [1 / 3, 2 / 3]) if len(own) else (0.0, 0.0)
+        out[own] = 1 + (score[own] > low) + (score[own] > high)
+    return out
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_features: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic") -> OrdinalModel:
+    """The model of labels(id, grade) joined with docs; grades of two kinds only go through `refined`."""
     known = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("double").alias("grade")).where("grade is not null and id is not null")
     chosen = known.groupBy("id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most `sample` rows: a proven bound for the broadcast
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t")).join(F.broadcast(chosen), "id")
 
     def make():
-        return lambda b: {"grade": b.column(0), "words": [np.array(features(t), dtype=np.uint32).view(np.int32) for t in b.column(1).to_pylist()]}
-
-    got = by_batch(texts.select("grade", "t"), "grade double, words array<int>", make).limit(4 * sample).toArrow()
-    grades = got.column("grade").to_numpy()
-    if not len(grades):
+        return lambda b: {"mark": b.column(0), "own": b.column(1), "grade": b.column(2), "words": [np.array(features(t), dtype=np.uint32).view(np.int32) for t in b.column(3).to_pylist()]}
+
+    got = by_batch(texts.select(F.xxhash64("id").alias("mark"), F.xxhash64("t").alias("own"), "grade", "t"), "mark bigint, own bigint, grade double, words array<int>", make)
+    first = F.min(F.struct("own", F.size("words").alias("n"), "words"))  # repeated ids: the text with the smallest hash
+    got = written(got.groupBy("mark", "grade").agg(first.alias("x")).select("mark", "grade", "x.n", "x.words"), "labelled")
+    # the order of the hashes, as far as the words go: a row for each of the sample
+    sizes = got.select("mark", "n").toPandas().sort_values("mark")
+    few = sizes["n"].cumsum() <= max_features
+    if not few.any():
         return OrdinalModel({}, [])
-    words = np.concatenate([np.asarray(c.flatten()) for c in got.column("words").chunks]).view(np.uint32)
-    sizes = np.concatenate([np.diff(np.asarray(c.offsets)) for c in got.column("words").chunks])
-    del got
-    rows = np.repeat(np.arange(len(grades), dtype=np.int32), sizes)
+    table = got.where(F.col("mark") <= int(sizes["mark"][few].max())).sort("mark").select("mark", "grade", "words").toArrow()
+    grades, half = table.column("grade").to_numpy(), table.column("mark").to_numpy() % 2
+    words = np.concatenate([np.asarray(c.flatten()) for c in table.column("words").chunks]).view(np.uint32)
+    counts = np.concatenate([np.diff(np.asarray(c.offsets)) for c in table.column("words").chunks])
+    del table
+    rows = np.repeat(np.arange(len(grades), dtype=np.int32), counts)
     # most words are in one or two texts only: they can't keep a weight
     often = np.bincount(words & 0x3FFFFF, minlength=1 << 22)[words & 0x3FFFFF] >= 3
     rows, words = rows[often], words[often]
     ids, cols = np.unique(words, return_inverse=True)
     cols = cols.astype(np.int32)
     if len(np.unique(grades)) == 2:
-        grades = graded((grades > grades.min()).astype(int), rows, cols)
+        grades = refined((grades > grades.min()).astype(int), half, rows, cols, ids)
     return OrdinalModel.fit(grades, rows, cols, ids)
 
 
 def severities(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, severity (expected grade), p_toxic = P(grade >= 1), grade (the most that P(grade >= k) >= 0.5 allows), toxic (p_toxic >= reject)."""
-    data = docs.sparkSession.sparkContext.broadcast(model)  # no larger than the sample's features
+    data = docs.sparkSession.sparkContext.broadcast(model.plain())  # no larger than the sample's features
 
     def make():
-        own = data.value
+        own = OrdinalModel(*data.value)
 
         def batch(b: pa.RecordBatch) -> dict:
             p = own.at_least(b.column(1).to_pylist())
@@ -159,10 +189,10 @@ def severities(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, id_col
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, reject: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with P(grade >= 1) below reject."""
-    data = docs.sparkSession.sparkContext.broadcast(model)
+    data = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def make():
-        own = data.value
+        own = OrdinalModel(*data.value)
         return lambda texts: (own.at_least(texts)[:, 0] < reject).tolist()
 
     return kept_batches(docs, text_col, make)

@@ -116,33 +116,82 @@ def test_katz(docs, odd, monkeypatch, hot):
     assert katz.katz_scores(odd.limit(0)).count() == 0
 
 
-def test_toxicity(spark, docs, odd):
-    rng = random.Random(3)
-    bad = ["idiot", "scum", "trash", "moron", "loser", "clown", "stupid", "worthless"]
+BAD = ["idiot", "scum", "trash", "moron", "loser", "clown", "stupid", "worthless"]
+
 
-    def text(toxic):
-        words = [f"w{rng.randint(0, 400)}" for _ in range(80)]
-        for _ in range(rng.randint(1, 8) if toxic else 0):
-            words[rng.randint(0, 79)] = rng.choice(bad)
-        return " ".join(words)
+def rude(rng, n):
+    words = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    for k in rng.sample(range(80), n):
+        words[k] = rng.choice(BAD)
+    return " ".join(words)
 
+
+def test_toxicity(spark, docs, odd):
+    rng = random.Random(3)
     toxic = [i % 5 == 0 for i in range(1500)]
-    rows = [(i, text(t)) for i, t in enumerate(toxic)]
+    rows = [(i, rude(rng, rng.randint(1, 8) if t else 0)) for i, t in enumerate(toxic)]
     labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic[:1000])] + [(None, 1, 1), (3, 1, None), (99999, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit_toxicity(docs(rows), labels)
+    # other texts of a labelled id: the one with the smallest hash counts, whatever the order of the rows
+    again = [(7, rude(rng, 0)) for _ in range(30)]
+    model = toxicity.fit_toxicity(docs(rows + again), labels)
+    assert toxicity.fit_toxicity(docs(again + rows[::-1]).repartition(5), labels).plain() == model.plain()
     assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 3
-    held = [r for r in toxicity.severities(docs(rows), model).collect() if r["doc_id"] >= 1000]
+    got = toxicity.severities(docs(rows), model).collect()
+    held = [r for r in got if r["doc_id"] >= 1000]
     assert sum(r["toxic"] == toxic[r["doc_id"]] for r in held) / len(held) > 0.97
-    mild, severe = ([r["severity"] for r in held if sum(w in bad for w in rows[r["doc_id"]][1].split()) in n] for n in ((1, 2), (6, 7, 8)))
-    assert np.mean(severe) > np.mean(mild)
+    mild, severe = ([r["severity"] for r in held if sum(w in BAD for w in rows[r["doc_id"]][1].split()) in n] for n in ((1, 2), (6, 7, 8)))
+    assert np.mean(severe) > np.mean(mild) + 0.5
+    # the model's formula, word by word
+    for r in got[::40] + got[1000:1010]:
+        x = sum(model.weights.get(zlib.crc32(w.encode()), 0) for w in set(rows[r["doc_id"]][1].split()))
+        p = [1 / (1 + math.exp(t - x)) for t in model.thresholds]
+        assert math.isclose(r["severity"], sum(p), rel_tol=1e-9) and math.isclose(r["p_toxic"], p[0], rel_tol=1e-9)
+        assert r["grade"] == sum(q >= 0.5 for q in p) and r["toxic"] == (p[0] >= 0.5)
     assert toxicity.severities(odd, model).count() == odd.count()
     assert toxicity.without_toxic(odd, model).columns == odd.columns
+    few = toxicity.fit_toxicity(docs(rows), labels, max_features=8000)  # about a hundred texts
+    assert few.plain() != model.plain()
     none = toxicity.fit_toxicity(docs(rows), labels.limit(0))
-    assert {r["severity"] for r in toxicity.severities(odd, none).collect()} == {0.0}
+    assert {r["severity"] for r in toxicity.severities(docs(rows), none).collect()} == {0.0}
     assert toxicity.without_toxic(odd, none).count() == odd.count()
     assert toxicity.severities(odd.limit(0), model).count() == 0
 
 
+def test_ordinal_grades(spark, docs):
+    """Grades that the table holds, with the cumulative link's own law: the fit orders texts and is no worse than a plain slow one."""
+    rng = random.Random(5)
+    strength = {w: 0.6 + 0.5 * k for k, w in enumerate(BAD)}
+    rows, grade = [], []
+    for i in range(1200):
+        text = rude(rng, rng.randint(0, 5))
+        x = sum(strength.get(w, 0) for w in set(text.split()))
+        u = rng.random()
+        grade.append(sum(u < 1 / (1 + math.exp(t - x)) for t in (1.5, 4.0, 7.0)))
+        rows.append((i, text))
+    labels = spark.createDataFrame(list(enumerate(grade)), "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs(rows), labels)
+    got = {r["doc_id"]: r for r in toxicity.severities(docs(rows), model).collect()}
+    by_grade = [np.mean([got[i]["severity"] for i, g in enumerate(grade) if g == k]) for k in range(4)]
+    assert by_grade == sorted(by_grade) and by_grade[3] > by_grade[0] + 1.5
+    weights = [model.weights.get(zlib.crc32(w.encode()), 0) for w in BAD]
+    assert np.corrcoef(weights, list(strength.values()))[0, 1] > 0.9
+    # log-likelihood against plain gradient ascent over the true features
+    x = np.array([[float(w in set(t.split())) for w in BAD] for _, t in rows])
+    y = np.array(grade)
+
+    def likelihood(w, t):
+        p = np.column_stack([np.ones(len(y)), 1 / (1 + np.exp(np.array(t) - (x @ w)[:, None])), np.zeros(len(y))])
+        k = np.arange(len(y))
+        return np.log(np.maximum(p[k, y] - p[k, y + 1], 1e-12)).mean()
+
+    w, t = np.zeros(8), np.array([0.5, 1.5, 2.5])
+    for _ in range(400):
+        z = np.concatenate([w, t])
+        grad = np.array([(likelihood((z + e)[:8], (z + e)[8:]) - likelihood((z - e)[:8], (z - e)[8:])) / 2e-4 for e in np.eye(11) * 1e-4])
+        w, t = w + 3 * grad[:8], t + 3 * grad[8:]
+    assert likelihood(np.array(weights), model.thresholds) > likelihood(w, t) - 0.02
+
+
 def test_urls(spark):
     day = datetime.date(2024, 1, 1)
     at = lambda n: day + datetime.timedelta(n)
