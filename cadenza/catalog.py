@@ -24,10 +24,7 @@ VERSION_LOOSE = r"^1(?:\.\d+)*$"
 MEDIA_ID = r"^[a-zA-Z0-9]+:.*$"
 VERSION = r"^1\.\d+$"
 ID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-5[0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
-DEGREE = r"\*?((b*|#*)([1-9]|1[0-3]?))"
-QUALITY = "maj|min|dim|aug|1|5|sus2|sus4|maj6|min6|7|maj7|min7|dim7|hdim7|minmaj7|aug7|9|maj9|min9|11|maj11|min11|13|maj13|min13"
-DEGREES = rf"\({DEGREE}(,{DEGREE})*\)"
-CHORD = rf"^((N|X)|(([A-G](b*|#*))((:({QUALITY})({DEGREES})?)|(:{DEGREES}))?((/((b*|#*)([1-9]|1[0-3]?)))?)?))$"
+CHORD = r"^((N|X)|(([A-G](b*|#*))((:(maj|min|dim|aug|1|5|sus2|sus4|maj6|min6|7|maj7|min7|dim7|hdim7|minmaj7|aug7|9|maj9|min9|11|maj11|min11|13|maj13|min13)(\(\*?((b*|#*)([1-9]|1[0-3]?))(,\*?((b*|#*)([1-9]|1[0-3]?)))*\))?)|(:\(\*?((b*|#*)([1-9]|1[0-3]?))(,\*?((b*|#*)([1-9]|1[0-3]?)))*\)))?((/((b*|#*)([1-9]|1[0-3]?)))?)?))$"
 KEY_MODE = "^N|([A-G][b#]?)(:(major|minor|ionian|dorian|phrygian|lydian|mixolydian|aeolian|locrian))?$"
 RELATIONS = ("cover", "quote", "medley_part", "sample", "interpolation", "remix", "live_performance")
 
@@ -46,6 +43,8 @@ class Field:
     one_of: tuple[str, ...] | None = None
     scalar: bool = False
     optional: bool = False
+    axis: str | None = None  # of an extent: the axis that the field lies on
+    role: str | None = None  # on its axis: at, length, low or high
 
     @property
     def type(self) -> T.DataType:
@@ -59,16 +58,22 @@ class Field:
 
 _f, _pos = Field("float"), Field("float", 0)
 
+
+def _on(axis: str, role: str, kind: str = "float", least: float | None = None) -> Field:
+    return Field(kind, least, axis=axis, role=role)
+
+
+#: Tags, their fields and constraints, as the format has them.
 CATALOG: dict[str, dict[str, dict[str, Field]]] = {
     "extent": {
-        "time": {"time": _f},
-        "time_interval": {"time": _f, "duration": _pos},
-        "time_frequency_box": {"time": _pos, "duration": _pos, "freq_min": _pos, "freq_max": _pos},
-        "pixel_box": {"x": _f, "y": _f, "width": _pos, "height": _pos},
-        "score_quarter": {"quarter": Field("fraction")},
-        "score_interval": {"quarter": Field("fraction"), "duration": Field("fraction", 0)},
-        "midi_tick": {"tick": _f},
-        "midi_interval": {"tick": _f, "duration": _pos},
+        "time": {"time": _on("time", "at")},
+        "time_interval": {"time": _on("time", "at"), "duration": _on("time", "length", least=0)},
+        "time_frequency_box": {"time": _on("time", "at", least=0), "duration": _on("time", "length", least=0), "freq_min": _on("frequency", "low", least=0), "freq_max": _on("frequency", "high", least=0)},
+        "pixel_box": {"x": _on("x", "at"), "y": _on("y", "at"), "width": _on("x", "length", least=0), "height": _on("y", "length", least=0)},
+        "score_quarter": {"quarter": _on("quarter", "at", "fraction")},
+        "score_interval": {"quarter": _on("quarter", "at", "fraction"), "duration": _on("quarter", "length", "fraction", 0)},
+        "midi_tick": {"tick": _on("tick", "at")},
+        "midi_interval": {"tick": _on("tick", "at"), "duration": _on("tick", "length", least=0)},
     },
     "payload": {
         "beat": {"value": Field("int", 1)},
@@ -96,6 +101,7 @@ CATALOG: dict[str, dict[str, dict[str, Field]]] = {
 }
 
 _s = Field("str", scalar=True)
+#: Kinds of metadata and their fields.
 METADATA: dict[str, dict[str, Field]] = {
     "algorithm": {"algorithm_id": _s, "version": _s, "parameters": Field("dict", scalar=True)},
     "crowd": {"platform": _s, "num_annotators": Field("int", 1, scalar=True), "consensus": _s},
@@ -139,6 +145,21 @@ def registry(version: str | None = None) -> dict:
     return {**CATALOG, "complex": {(facet, tag): [n for n, f in fs.items() if f.kind in ("any", "dict", "fraction")] for facet, tags in CATALOG.items() for tag, fs in tags.items()}}
 
 
+def axes(extent: str) -> dict[str, dict[str, str]]:
+    """The axes of an extent: the field of each role on them."""
+    out: dict[str, dict[str, str]] = {}
+    for name, f in fields("extent", extent).items():
+        if f.axis:
+            out.setdefault(f.axis, {})[f.role] = name
+    return out
+
+
+def main_axis(extent: str) -> str | None:
+    """The time axis, or the only one; None where neither is."""
+    own = axes(extent)
+    return "time" if "time" in own else next(iter(own)) if len(own) == 1 else None
+
+
 def struct_type(facet: str, tag: str) -> T.StructType:
     """A tag's struct of arrays (and scalars)."""
     return T.StructType([T.StructField(n, f.type if f.scalar else T.ArrayType(f.type)) for n, f in fields(facet, tag).items()])

@@ -17,7 +17,7 @@ from cadenza.errors import BadArgument
 from cadenza.operators import metrics
 from cadenza.plans.corpus import Corpus
 
-#: The task that a reference payload stands for.
+#: The task that a reference payload stands for.
 TASKS = {"onset": "onset", "beat": "beat", "tempo": "tempo", "chord": "chord", "segment_open": "segment", "tag_open": "segment", "note_hz": "transcription", "note_midi": "transcription", "pitch_contour": "melody", "multi_segment": "hierarchy"}
 NEEDS = {"onset": "events", "beat": "events", "chord": "spans", "segment": "spans", "transcription": "spans", "melody": "time", "hierarchy": "time_interval", "tempo": None}
 

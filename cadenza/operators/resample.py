@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza import catalog
+from cadenza.documents import check_value
 from cadenza.errors import BadArgument, InvalidAnnotation
 from cadenza.plans.corpus import Corpus, with_index
 
@@ -31,7 +32,8 @@ def to_times(corpus: Corpus, *, times: list[float] | None = None, sample_rate: f
     of several, overlap takes the highest index ('latest'), the lowest ('first')
     or all ('multiple'). Without extent observation 0 holds everywhere. Gaps get
     fill_value: a value for a payload with one field, else a dict by field (its
-    `confidence` too; 0.0 unless given).
+    `confidence` too; 0.0 unless given). A value that the catalog doesn't allow (no
+    value at all is one, but for free-form fields) is an error where a gap occurs.
     """
     if (times is None) == (sample_rate is None):
         raise BadArgument("give either times or sample_rate")
@@ -41,6 +43,7 @@ def to_times(corpus: Corpus, *, times: list[float] | None = None, sample_rate: f
         raise BadArgument(f"unknown method {method!r}")
     if overlap not in ("latest", "first", "multiple"):
         raise BadArgument(f"unknown overlap {overlap!r}")
+    corpus = corpus.as_parent("to_times")
     if corpus.extent_type not in (None, *POINTS, *SPANS):
         raise BadArgument(f"extent {corpus.extent_type!r} can't be put on a time grid")
     if corpus.extent_type is None and sample_rate is not None:
@@ -92,19 +95,23 @@ def _fill(corpus: Corpus, fill_value) -> dict[str, Column]:
     for facet in ("payload", "confidence"):
         for n, field in corpus.fields(facet).items():
             x = values.get(n, 0.0 if facet == "confidence" and n == "confidence" else None)
-            _check_fill(n, field, x)
-            out[catalog.column(facet, n)] = F.lit(json.dumps(x, ensure_ascii=False) if field.json else x).cast(field.type)
+            wrong = _wrong_fill(n, field, x)
+            if wrong:
+                out[catalog.column(facet, n)] = F.raise_error(F.lit(wrong)).cast(field.type)
+            else:
+                out[catalog.column(facet, n)] = F.lit(json.dumps(x, ensure_ascii=False) if field.json else x).cast(field.type)
     return out
 
 
-def _check_fill(name: str, field: catalog.Field, x) -> None:
-    if x is None or field.json:
-        return
-    right = {"str": str, "int": int, "float": (int, float), "fraction": (list, tuple)}[field.kind]
-    if not isinstance(x, right) or isinstance(x, bool):
-        raise InvalidAnnotation(f"fill value {x!r} does not suit {name}")
-    if field.least is not None and x < field.least or field.most is not None and x > field.most:
-        raise InvalidAnnotation(f"fill value {x!r} is out of range for {name}")
+def _wrong_fill(name: str, field: catalog.Field, x) -> str | None:
+    """What is wrong with a fill value; optional fields may be left out."""
+    if x is None and (field.optional or field.kind == "any"):
+        return None
+    try:
+        check_value(name, field, x)
+    except InvalidAnnotation as e:
+        return f"fill value: {e}"
+    return None
 
 
 def _explicit(corpus: Corpus, times: list[float]) -> DataFrame:

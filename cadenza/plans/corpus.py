@@ -9,6 +9,7 @@ a header only.
 """
 
 import json
+import warnings
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -31,6 +32,9 @@ class Corpus:
     payload_type: str
     extent_type: str | None = None
     confidence_type: str | None = None
+    #: What is known of the headers' ids before any is read: given, none (no annotation has one) or pending
+    #: (those of a transform's result, to be computed from its content).
+    ids: str = "given"
 
     def tag(self, facet: str) -> str | None:
         return getattr(self, f"{facet}_type")
@@ -46,24 +50,40 @@ class Corpus:
         return [catalog.column(f, n) for f in catalog.FACETS for n in catalog.scalars(f, self.tag(f)) if catalog.column(f, n) in self.headers.columns]
 
     def with_(self, **changes) -> "Corpus":
+        if "headers" in changes:
+            changes.setdefault("ids", "given")
         return replace(self, **changes)
 
+    def as_parent(self, transform: str) -> "Corpus":
+        """Ready to be the parent of what a transform makes: a result of another gets its ids first.
+
+        That takes a pass over the content; `without_lineage` spares it. Annotations
+        that are known to have no id leave no lineage, with a warning.
+        """
+        if self.ids == "none":
+            warnings.warn(f"{transform}: the annotations have no ids, their results will have no parents", UserWarning, stacklevel=3)
+        return self.identified() if self.ids == "pending" else self
+
+    def without_lineage(self) -> "Corpus":
+        """The same, whose ids are not computed to name it as a parent."""
+        return self.with_(ids="given")
+
     def derived(self, transform: str, parameters: dict, **changes) -> "Corpus":
         """The annotations made from these: their ids become the last parents, metadata tells the transform.
 
-        The new ids depend on the whole content; `documents` and `identified` compute them.
+        The new ids depend on the whole content; `documents`, `identified` and the next transform compute them.
         """
         metadata = json.dumps({"metadata_type": "derived", "transform": transform, "parameters": parameters}, ensure_ascii=False)
         own = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.array().cast("array<string>"))
         parents = F.concat(F.coalesce("parents", F.array().cast("array<string>")), own)
         headers = self.headers.withColumns({"parents": F.when(F.size(parents) > 0, parents), "metadata": F.lit(metadata), "id": F.lit(None).cast("string")})
-        return self.with_(headers=headers, **changes)
+        return self.with_(**{"headers": headers, "ids": "pending"} | changes)
 
     def identified(self) -> "Corpus":
-        """With the ids of the content in the headers: between two transforms, so that the second names the first's result as a parent."""
+        """With the ids of the content in the headers."""
         ids = self.documents().select(F.col("annotation").alias("__key"), F.col("id").alias("__id"))
         key = F.col("annotation").cast("string") == F.col("__key")
-        return self.with_(headers=self.headers.join(ids, key, "left").withColumn("id", F.col("__id")).drop("__key", "__id"))
+        return self.with_(headers=self.headers.join(ids, key, "left").withColumn("id", F.col("__id")).drop("__key", "__id"), ids="given")
 
     # layouts
 
@@ -74,7 +94,10 @@ class Corpus:
             nothing = {c: F.lit(None).cast(t) for c, t in HEADER.items()}
             made = nothing | {"media_id": F.concat(F.lit(media), F.col("annotation").cast("string")), "version": F.lit(catalog.DEFAULT_VERSION)}
             headers = observations.select("annotation").distinct().withColumns(made)
-        out = cls(headers, observations, payload_type, extent_type, confidence_type)
+            known = "none"
+        else:
+            known = "given"
+        out = cls(headers, observations, payload_type, extent_type, confidence_type, known)
         return out.with_(observations=observations.select("annotation", "obs_index", *out.columns()))
 
     @classmethod
