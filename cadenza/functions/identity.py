@@ -61,3 +61,8 @@ def uuid5(text: Column) -> Column:
     variant = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1
     digit = F.substr(F.lit("89ab"), variant, F.lit(1))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(digit, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def id_state(text: Column, id_: Column) -> Column:
+    """check_id in the JVM: missing, right or wrong, from the canonical JSON without the id."""
+    return F.when(id_.isNull() | (id_ == ""), "missing").when(id_ == uuid5(text), "right").otherwise("wrong")

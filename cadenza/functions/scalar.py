@@ -42,6 +42,11 @@ def is_id(value: Column) -> Column:
     return value.rlike(catalog.ID)
 
 
+def registry_key(version: Column) -> Column:
+    """'v1' for versions of the first series, null for others."""
+    return F.when(version.rlike(catalog.VERSION_LOOSE), "v1")
+
+
 def intervals_from_points(df: DataFrame, time: str = "extent_time", by: str = "annotation", order: str = "obs_index") -> DataFrame:
     """df without each group's last point, with `until`: the next point's time."""
     return df.withColumn("until", F.lead(time).over(Window.partitionBy(by).orderBy(order))).where("until is not null")
@@ -50,3 +55,9 @@ def intervals_from_points(df: DataFrame, time: str = "extent_time", by: str = "a
 def levels(df: DataFrame, level: str = "payload_level", by: str = "annotation") -> DataFrame:
     """The distinct levels of each group in ascending order."""
     return df.groupBy(by).agg(F.sort_array(F.collect_set(level)).alias("levels"))
+
+
+def by_level(df: DataFrame, level: str = "payload_level", label: str = "payload_label", by: str = "annotation", order: str = "obs_index") -> DataFrame:
+    """The labels of each group's levels, in the order of the observations."""
+    rows = F.array_sort(F.collect_list(F.struct(order, label)))
+    return df.groupBy(by, F.col(level).alias("level")).agg(rows.alias("rows")).select(by, "level", F.col(f"rows.{label}").alias("labels"))

@@ -48,6 +48,27 @@ def pixels(spark: SparkSession, sf_dir: str) -> Corpus:
     return Corpus.build(rows, "tag_open", "pixel_box", media="brand:")
 
 
+def ticks(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Parts of a brand: key and size as MIDI ticks."""
+    rows = with_index(read(spark, sf_dir, "part"), "p_brand", "p_partkey")
+    rows = rows.select(F.col("p_brand").alias("annotation"), "obs_index", F.col("p_partkey").cast("double").alias("extent_tick"), F.col("p_size").cast("double").alias("extent_duration"), F.col("p_type").alias("payload_value"))
+    return Corpus.build(rows, "lyrics", "midi_interval", media="brand:")
+
+
+def quarters(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Parts of a brand: a quarter of the key and a third of the size as places in a score."""
+    fraction = lambda n, d: F.struct(n.cast("long").alias("num"), F.lit(d).cast("long").alias("den"))
+    rows = with_index(read(spark, sf_dir, "part"), "p_brand", "p_partkey")
+    rows = rows.select(F.col("p_brand").alias("annotation"), "obs_index", fraction(F.col("p_partkey"), 4).alias("extent_quarter"), fraction(F.col("p_size"), 3).alias("extent_duration"), F.col("p_type").alias("payload_value"))
+    return Corpus.build(rows, "lyrics", "score_interval", media="brand:")
+
+
+def segment_labels(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Customers without extent: the market segment as a tag."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("annotation"), F.lit(0).cast("long").alias("obs_index"), F.col("c_mktsegment").alias("payload_value"))
+    return Corpus.build(rows, "tag_open", media="customer:")
+
+
 def texts(spark: SparkSession, sf_dir: str) -> Corpus:
     """Documents as lyrics without extent."""
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("annotation"), F.lit(0).cast("long").alias("obs_index"), F.col("text").alias("payload_value"))

@@ -9,28 +9,15 @@ from pyspark.sql import functions as F
 
 from cadenza import catalog
 from cadenza.functions import identity, scalar
-from cadenza.operators import evaluate, filter_by, to_times, trim, violations
+from cadenza.operators import filter_by, to_times, trim, violations
 from cadenza.plans import adapters as A
+from cadenza.registry import QUERIES, SQL, query
 
 DAY = 86400.0
 SINCE = 1704067200.0  # 2024-01-01
 GRID = [SINCE + DAY * x for x in (0.5, 3.0, 7.25, 7.25, 20.0, 40.0)]  # in the caller's order, one repeated
 DAYS = [9200.0, 9400.5, 10000.0, 10950.0, 11500.0]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 POINTS = """points as (select user_id as annotation, row_number() over (partition by user_id order by ts, event_id) - 1 as obs_index,
   epoch_us(ts) / 1e6 as extent_time, event_type as payload_value, value / 500 as confidence_confidence from events)"""
 SPANS = """spans as (select l_orderkey as annotation,
@@ -114,6 +101,47 @@ def trim_pixel_y(spark, sf_dir):
     return trim(A.pixels(spark, sf_dir), start=950.0, target_field="y").observations
 
 
+@query(f"""with {BOXES} select * replace (greatest(extent_time, 90.5) - 90.5 as extent_time, least(extent_time + extent_duration, 1500.0) - greatest(extent_time, 90.5) as extent_duration)
+  from boxes where extent_time + extent_duration > 90.5 and extent_time < 1500.0""")
+def trim_box_time(spark, sf_dir):
+    return trim(A.boxes(spark, sf_dir), start=90.5, end=1500.0, reset=True).observations
+
+
+TICKS = """ticks as (select p_brand as annotation, row_number() over (partition by p_brand order by p_partkey) - 1 as obs_index,
+  cast(p_partkey as double) as extent_tick, cast(p_size as double) as extent_duration, p_type as payload_value from part)"""
+QUARTERS = """quarters as (select p_brand as annotation, row_number() over (partition by p_brand order by p_partkey) - 1 as obs_index,
+  p_partkey / 4.0 as q, p_size / 3.0 as d, p_type as payload_value from part)"""
+
+
+@query(f"with {TICKS} select annotation, obs_index, extent_tick - 120.0 as extent_tick, payload_value from ticks where extent_tick >= 120.0 and extent_tick <= 960.0")
+def trim_tick(spark, sf_dir):
+    ticks = A.ticks(spark, sf_dir)
+    return trim(A.Corpus.build(ticks.observations, "lyrics", "midi_tick"), start=120.0, end=960.0, reset=True).observations
+
+
+@query(f"""with {TICKS} select * replace (greatest(extent_tick, 120.0) as extent_tick, least(extent_tick + extent_duration, 960.0) - greatest(extent_tick, 120.0) as extent_duration)
+  from ticks where extent_tick + extent_duration > 120.0 and extent_tick < 960.0""")
+def trim_tick_interval(spark, sf_dir):
+    return trim(A.ticks(spark, sf_dir), start=120.0, end=960.0).observations
+
+
+def _value(name: str):
+    return F.round(F.col(f"{name}.num") / F.col(f"{name}.den"), 6).alias(name)
+
+
+@query(f"with {QUARTERS} select annotation, obs_index, round(q - 7.25, 6) as extent_quarter, payload_value from quarters where q >= 7.25 and q <= 300.5")
+def trim_quarter(spark, sf_dir):
+    rows = trim(A.Corpus.build(A.quarters(spark, sf_dir).observations, "lyrics", "score_quarter"), start=7.25, end=300.5, reset=True).observations
+    return rows.select("annotation", "obs_index", _value("extent_quarter"), "payload_value")
+
+
+@query(f"""with {QUARTERS} select annotation, obs_index, round(greatest(q, 7.25), 6) as extent_quarter, round(least(q + d, 300.5) - greatest(q, 7.25), 6) as extent_duration, payload_value
+  from quarters where round(q + d, 9) > 7.25 and q < 300.5""")
+def trim_quarter_interval(spark, sf_dir):
+    rows = trim(A.quarters(spark, sf_dir), start=7.25, end=300.5).observations
+    return rows.select("annotation", "obs_index", _value("extent_quarter"), _value("extent_duration"), "payload_value")
+
+
 @query("select cast(doc_id as bigint) as annotation, cast(0 as bigint) as obs_index, text as payload_value from documents")
 def trim_no_extent(spark, sf_dir):
     return trim(A.texts(spark, sf_dir), start=1.0).observations
@@ -154,6 +182,12 @@ def filter_python(spark, sf_dir):
     return filter_by(A.points(spark, sf_dir), lambda v: len(v) == 6, python=True).observations
 
 
+@query(f"with {POINTS} select * from points where confidence_confidence >= 0.5 and payload_value <> 'view' and extent_time < {HI}")
+def filter_record_python(spark, sf_dir):
+    """A record's fields by item and by attribute, in plain Python."""
+    return filter_by(A.points(spark, sf_dir), lambda r: r["confidence"] >= 0.5 and r.value != "view" and r.time < HI, facet="all", python=True).observations
+
+
 GRID_SQL = "grid as (select * from (values " + ", ".join(f"(cast({i} as bigint), cast({t} as double))" for i, t in enumerate(GRID)) + ") g(obs_index, extent_time)), users as (select distinct user_id as annotation from events)"
 PREVIOUS = f"""with {POINTS}, {GRID_SQL}
   select u.annotation, g.obs_index, g.extent_time, {{value}} as payload_value, {{confidence}} as confidence_confidence
@@ -163,9 +197,9 @@ PREVIOUS = f"""with {POINTS}, {GRID_SQL}
   left join points p on p.annotation = u.annotation and p.obs_index = m.i"""
 
 
-@query(PREVIOUS.format(value="p.payload_value", confidence="coalesce(p.confidence_confidence, 0.0)"))
+@query(PREVIOUS.format(value="coalesce(p.payload_value, 'none')", confidence="coalesce(p.confidence_confidence, 0.0)"))
 def times_previous(spark, sf_dir):
-    return to_times(A.points(spark, sf_dir), times=GRID).observations
+    return to_times(A.points(spark, sf_dir), times=GRID, fill_value="none").observations
 
 
 @query(PREVIOUS.format(value="coalesce(p.payload_value, 'none')", confidence="coalesce(p.confidence_confidence, 0.05)"))
@@ -228,6 +262,38 @@ def times_global(spark, sf_dir):
     return to_times(A.texts(spark, sf_dir), times=[0.0, 1.5, 3.0]).observations
 
 
+@query("select distinct user_id as annotation, 0 as n, 'time' as extent_type from events")
+def times_empty_grid(spark, sf_dir):
+    """No times: all annotations stay, without observations."""
+    out = to_times(A.points(spark, sf_dir), times=[])
+    counts = out.observations.groupBy("annotation").agg(F.count("*").alias("n"))
+    return out.headers.join(counts, "annotation", "left").select("annotation", F.coalesce("n", F.lit(0)).alias("n"), F.lit(out.extent_type).alias("extent_type"))
+
+
+@query("""with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as k from orders),
+  first as (select o_custkey, o_orderpriority from orders join (select o_custkey as c, o_orderkey as key from o where k = 1) on o_custkey = c and o_orderkey = key)
+  select c_custkey as annotation, g.obs_index, g.extent_time, coalesce(o_orderpriority, 'none') as payload_value from customer
+  cross join (values (cast(0 as bigint), cast(2.0 as double)), (1, 1.0)) g(obs_index, extent_time) left join first on o_custkey = c_custkey""")
+def times_empty_source(spark, sf_dir):
+    """Customers with and without orders: the first order's priority holds from 0 on, customers without any get the fill."""
+    orders = A.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderpriority", "o_orderkey").alias("payload_value"))
+    rows = orders.select(F.col("o_custkey").alias("annotation"), F.lit(0).cast("long").alias("obs_index"), F.lit(0.0).alias("extent_time"), "payload_value")
+    customers = A.segment_labels(spark, sf_dir).headers
+    return to_times(A.Corpus.build(rows, "lyrics", "time", headers=customers), times=[2.0, 1.0], fill_value="none").observations
+
+
+@query(f"""with {SPANS}, {DAYS_SQL}, cover as (
+    select s.annotation, g.obs_index as k, max(s.obs_index) as i from spans s join grid g on s.extent_time <= g.extent_time and g.extent_time <= s.extent_time + s.extent_duration group by 1, 2)
+  select o.annotation, g.obs_index, g.extent_time, case s.payload_value when 'A' then 'A:min' when 'N' then 'G:maj/5' when 'R' then 'D:sus4(b7)' else 'N' end as payload_value
+  from orders_ o cross join grid g left join cover c on c.annotation = o.annotation and c.k = g.obs_index left join spans s on s.annotation = c.annotation and s.obs_index = c.i""")
+def times_fill_chord(spark, sf_dir):
+    """Gaps in chords, with a fill that the chord grammar allows."""
+    spans = A.intervals(spark, sf_dir).observations
+    chord = F.element_at(F.create_map(*[F.lit(x) for x in ("A", "A:min", "N", "G:maj/5", "R", "D:sus4(b7)")]), F.col("payload_value"))
+    rows = spans.select("annotation", "obs_index", "extent_time", "extent_duration", chord.alias("payload_value"))
+    return to_times(A.Corpus.build(rows, "chord", "time_interval"), times=DAYS, fill_value="N").observations
+
+
 @query(f"with {SPANS} select annotation, obs_index, payload_value as \"payload:segment_open:value\", extent_time as \"extent:time_interval:time\", extent_duration as \"extent:time_interval:duration\", confidence_confidence as \"confidence:likelihood:confidence\" from spans")
 def to_long(spark, sf_dir):
     return A.intervals(spark, sf_dir).table()
@@ -241,11 +307,16 @@ def to_nested(spark, sf_dir):
     return rows.select("annotation", "media_id", "version", F.to_json("payload_value").alias("payload_value"), F.size("payload_value").cast("long").alias("n"), total.alias("total"))
 
 
-@query(f"""with {SPANS} select annotation, obs_index, 'payload_value' as field from spans where false
-  union all select user_id, row_number() over (partition by user_id order by ts, event_id) - 1, 'confidence_confidence' from events where false
-  union all select cast(null as bigint), cast(null as bigint), null where false""")
+@query(f"""with {POINTS}, {SPANS}
+  select annotation, obs_index, 'confidence_confidence' as field from points where confidence_confidence * 5 > 1
+  union all select annotation, obs_index, 'extent_duration' from spans where extent_duration - 25 < 0
+  union all select annotation, obs_index, 'confidence_confidence' from spans where annotation % 7 = 0""")
 def validate_ranges(spark, sf_dir):
-    return violations(A.points(spark, sf_dir)).unionByName(violations(A.intervals(spark, sf_dir)))
+    """Likelihoods over 1, negative durations, missing likelihoods."""
+    points, spans = A.points(spark, sf_dir), A.intervals(spark, sf_dir)
+    points = points.with_(observations=points.observations.withColumn("confidence_confidence", F.col("confidence_confidence") * 5))
+    changed = spans.observations.withColumns({"extent_duration": F.col("extent_duration") - 25, "confidence_confidence": F.when(F.col("annotation") % 7 != 0, F.col("confidence_confidence"))})
+    return violations(points).unionByName(violations(spans.with_(observations=changed)))
 
 
 @query("""select p_partkey, p_brand, regexp_matches(p_brand, '^N|([A-G][b#]?)(:(major|minor|ionian|dorian|phrygian|lydian|mixolydian|aeolian|locrian))?$') as is_key,
@@ -285,6 +356,12 @@ def intervals_from_points(spark, sf_dir):
     return scalar.intervals_from_points(A.points(spark, sf_dir).observations)
 
 
+@query("""with t as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from conversations)
+  select conv_id as annotation, turn % 2 as level, to_json(list(role order by k)) as labels from t group by all""")
+def level_groups(spark, sf_dir):
+    return scalar.by_level(A.segments(spark, sf_dir).observations).withColumn("labels", F.to_json("labels"))
+
+
 @query("select conv_id as annotation, to_json(list_sort(list_distinct(list(turn % 2)))) as levels from conversations group by conv_id")
 def hierarchy_levels(spark, sf_dir):
     return scalar.levels(A.segments(spark, sf_dir).observations).withColumn("levels", F.to_json("levels"))
@@ -305,69 +382,13 @@ def melody_sign(spark, sf_dir):
     return rows.select("annotation", "obs_index", F.round(scalar.signed_frequency(F.col("frequency"), F.col("voicing")), 6).alias("hz"))
 
 
-def _pairs(corpus, shift: int):
-    """An annotation against the one whose key is larger by shift."""
-    other = corpus.headers.withColumn("annotation", F.col("annotation") - shift).withColumn("media_id", F.concat(F.substring_index("media_id", ":", 1), F.lit(":"), F.col("annotation").cast("string")))
-    return corpus, corpus.with_(headers=other, observations=corpus.observations.withColumn("annotation", F.col("annotation") - shift))
-
-
-@query()
-def eval_onset(spark, sf_dir):
-    return evaluate(*_pairs(A.points(spark, sf_dir), 1), task="onset", window=600.0)
-
-
-@query()
-def eval_beat(spark, sf_dir):
-    return evaluate(*_pairs(A.points(spark, sf_dir), 1), task="beat")
-
-
-@query()
-def eval_transcription(spark, sf_dir):
-    corpus = A.points(spark, sf_dir)
-    rows = corpus.observations.select("annotation", "obs_index", "extent_time", F.lit(30.0).alias("extent_duration"), (F.col("confidence_confidence") * 500 + 50).alias("payload_value"))
-    notes = A.Corpus.build(rows, "note_hz", "time_interval", media="user:")
-    return evaluate(*_pairs(notes, 1), onset_tolerance=600.0, pitch_tolerance=1200.0)
-
-
-@query()
-def eval_segment(spark, sf_dir):
-    corpus = A.segments(spark, sf_dir)
-    rows = corpus.observations.select("annotation", "obs_index", "extent_time", "extent_duration", F.col("payload_label").alias("payload_value"))
-    return evaluate(*_pairs(A.Corpus.build(rows, "segment_open", "time_interval", media="conversation:"), 1))
-
-
-@query()
-def eval_hierarchy(spark, sf_dir):
-    return evaluate(*_pairs(A.segments(spark, sf_dir), 1), task="hierarchy")
-
-
-@query()
-def eval_melody(spark, sf_dir):
-    rows = A.contours(spark, sf_dir).select("annotation", "obs_index", "extent_time", F.to_json(F.struct("frequency", "voicing")).alias("payload_value"))
-    return evaluate(*_pairs(A.Corpus.build(rows, "pitch_contour", "time", media="vector:"), 1))
-
-
-@query()
-def eval_tempo(spark, sf_dir):
-    """A user's slowest and fastest tempo."""
-    rows = A.points(spark, sf_dir).observations
-    tempo = rows.groupBy("annotation").agg(F.array(F.min("confidence_confidence") * 240 + 1, F.max("confidence_confidence") * 240 + 1).alias("t"))
-    rows = tempo.select("annotation", F.posexplode("t").alias("obs_index", "payload_value")).withColumn("obs_index", F.col("obs_index").cast("long"))
-    return evaluate(*_pairs(A.Corpus.build(rows, "tempo", media="user:"), 1))
-
-
-@query()
-def eval_chord(spark, sf_dir):
-    """Event types as chords that last until the next event."""
-    rows = A.points(spark, sf_dir).observations
-    labels = F.element_at(F.create_map(*[F.lit(x) for x in ("click", "C:maj", "view", "G:7", "purchase", "A:min", "signup", "F:maj/3", "error", "N")]), F.col("payload_value"))
-    rows = rows.select("annotation", "obs_index", "extent_time", labels.alias("payload_value"))
-    return evaluate(*_pairs(A.Corpus.build(rows, "chord", "time", media="user:"), 1))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from cadenza import queries_eval, queries_io  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from cadenza import queries_eval, queries_io  # noqa: F401
+
     return dict(SQL)

@@ -43,3 +43,28 @@ def schema_of(tag: str) -> dict:
 
     fields = catalog.fields("payload", tag)
     return payload_schema(tag, f"{tag} payload", {n: one(f) if f.scalar else {"type": "array", "items": one(f)} for n, f in fields.items()}, [n for n, f in fields.items() if not f.optional])
+
+
+def from_schema(schema: dict) -> tuple[str, dict[str, catalog.Field]]:
+    """A payload's tag and fields from its JSON schema: the reverse of `schema_of`.
+
+    A field is a list if its type is array, but for pairs of integers, which are
+    fractions; without a type it is free-form.
+    """
+    kinds = {"number": "float", "integer": "int", "string": "str", "object": "dict", None: "any"}
+    pair = lambda x: x.get("type") == "array" and x.get("minItems") == x.get("maxItems") == 2
+    properties = schema.get("properties", {})
+    tag = properties.get("payload_type", {}).get("const")
+    if not tag:
+        raise BadFormat("a payload's schema names its tag")
+    out = {}
+    for name, own in properties.items():
+        if name == "payload_type":
+            continue
+        scalar = own.get("type") != "array" or pair(own)
+        one = own if scalar else own.get("items", {})
+        if not pair(one) and one.get("type") not in kinds:
+            raise BadFormat(f"{name}: type {one.get('type')!r} is not in the format")
+        kind = "fraction" if pair(one) else kinds[one.get("type")]
+        out[name] = catalog.Field(kind, one.get("minimum"), one.get("maximum"), one.get("pattern"), tuple(one["enum"]) if "enum" in one else None, scalar, name not in schema.get("required", ()))
+    return tag, out

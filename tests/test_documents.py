@@ -9,7 +9,7 @@ from cadenza.errors import BadArgument, BadFormat, InvalidAnnotation, UnequalLen
 from cadenza.functions import identity
 from cadenza.operators.validate import create, violations
 from cadenza.plans.corpus import Corpus, check_columns, from_table
-from cadenza.sources import codecs, load_corpus, read_documents, read_file, read_lines, save_corpus, write_documents, write_file
+from cadenza.sources import codecs, load_corpus, load_lines, read_documents, read_file, read_lines, save_corpus, write_documents, write_file
 
 GOLDEN = "d9a1b46c-38d5-56bc-aacb-0e8641382d1a"
 
@@ -171,6 +171,62 @@ def test_namespaces(tmp_path):
         namespaces.from_namespace({})
 
 
+def test_schemas_back():
+    from cadenza.sources import namespaces
+
+    for tag, own in catalog.CATALOG["payload"].items():
+        assert namespaces.from_schema(namespaces.schema_of(tag)) == (tag, own)
+    pair = {"type": "array", "items": {"type": "integer"}, "minItems": 2, "maxItems": 2}
+    schema = {"properties": {"payload_type": {"const": "x"}, "at": {"type": "array", "items": pair}, "one": pair}, "required": ["at"]}
+    got = namespaces.from_schema(schema)[1]
+    assert got["at"].kind == "fraction" and not got["at"].scalar and got["one"].scalar and got["one"].optional
+    for bad in ({}, {"properties": {"payload_type": {"const": "x"}, "a": {"type": "array", "items": {"type": "null"}}}}):
+        with pytest.raises(BadFormat):
+            namespaces.from_schema(bad)
+
+
+@pytest.mark.parametrize("make", DOCS)
+def test_backends(make):
+    import pandas as pd
+
+    doc = make()
+    for backend in ("pandas", "pandas-pyarrow"):
+        table = documents.to_table(doc, backend)
+        assert documents.from_table(table) == doc
+    arrow = documents.to_table(onset(), "pandas-pyarrow")
+    assert all(isinstance(t, pd.ArrowDtype) for t in arrow.dtypes)
+    for bad in ("dask", *([] if has_polars() else ["polars"])):
+        with pytest.raises(BadArgument):
+            documents.to_table(doc, bad)
+    if has_polars():
+        assert documents.from_table(documents.to_table(doc, "polars"), documents.header(doc)) == doc
+
+
+def has_polars() -> bool:
+    from importlib.util import find_spec
+
+    return find_spec("polars") is not None
+
+
+def test_load_lines(spark, tmp_path):
+    docs = [m() for m in DOCS] + [create(media_id=f"m:{k}", payload_kind="relation", performance_id=f"p:{k}", value=["a", "b"][:k], extent_kind="time", time=[0.5, 1.5][:k]) for k in range(3)]
+    path = str(tmp_path / "lines")
+    (tmp_path / "lines").write_text("".join(codecs.to_json(d).decode() + "\n" for d in docs))
+    for kinds in (("relation", "time"), ("tag_open", "time", "agreement"), ("beat", "time"), ("object", "time", "likelihood"), ("tag_open", "score_interval"), ("chord",)):
+        one, two = load_lines(spark, path, *kinds), Corpus.of_documents(read_lines(spark, path), *kinds)
+        for table in ("headers", "observations"):
+            a, b = getattr(one, table), getattr(two, table)
+            assert a.columns == b.columns and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_report():
+    import bench
+
+    lines = ['{"queries": {"trim_a": 1.5, "load_b": 2}, "sf": "0.1", "cpus": 8}', "", '{"queries": {"trim_a": 1.25}, "sf": "0.1", "cpus": 4}']
+    got = bench.report(lines)
+    assert "## trim" in got and "| trim_a | 1.500 | 1.250 |" in got and "| load_b | 2.000 |  |" in got
+
+
 def test_lineage_ids(spark, tmp_path):
     """A golden parent, its trimmed child, and the child's child."""
     from cadenza.operators import filter_by, trim
