@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.sources.scratch import fresh
+
 # Executors need no copy of the package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules["cadenza.llm"])
 
@@ -20,26 +19,10 @@ cloudpickle.register_pickle_by_value(sys.modules["cadenza.llm"])
 ASCII_SPACE = r"\x09-\x0D\x20"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one in spark.checkpoint.dir. Where the session has none, a temporary
-    folder is made if all runs on one machine; a cluster must name one.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        master = spark.sparkContext.master
-        if not re.match(r"local(\[|$)", master):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        where = tempfile.mkdtemp(prefix="cadenza-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,14 +5,21 @@ then by the hash of their id, then by their place in the written table: no two
 keys are equal. Splitters are found by counting, in all partitions, the exact
 bytes and rows below candidate keys, and drawing new candidates from the bracket
 around each target until a splitter is within the tolerance or nothing lies in
-its bracket. Then rows are exchanged once, by the piece of a shard they fall in;
-the counts already tell how many rows of the shard come before each piece, so
-slots need no further exchange and no task holds a whole shard. A group of equal
-texts as large as a third of all rows is split like anything else.
-
-Rows: null text has no bytes; null ids are ordered first; repeated rows get a
-slot each; with fewer rows than shards some shards are empty; columns of the
-table are kept and the names added must be free.
+its bracket. Then rows are exchanged once, by shard and by one of its pieces (a
+hash of the key deals them), so no task holds a whole shard; the pieces' row
+counts, summed up within the shard, tell where each piece's slots begin. A group
+of equal texts as large as a third of all rows is split like anything else.
+
+The driver holds the splitters of the shards, the counts below the candidates and
+the candidates of each bracket, `PICKS` times 4 at most: tasks' candidates are
+thinned out by bracket before they are gathered. None of these grow with the
+rows, nor with the tasks.
+
+Rows: null text has no bytes, a very long text is only measured; null ids are
+ordered first; repeated rows get a slot each, and rows whose keys are equal in
+all but their place are ordered by that; with fewer rows than shards some shards
+are empty; an empty table gives an empty result; all columns are kept whatever
+their names, but for those called shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import tasks, total, written
+from cadenza.llm.common import free_name, tasks, total, written
 
 WIDTH = 24  # bytes of a key
 PICKS = 8  # candidates that a task draws from a bracket
@@ -64,7 +71,7 @@ def counted(rows: DataFrame, probes: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def candidates(rows: DataFrame, brackets: list[tuple[bytes | None, bytes | None]]) -> list[bytes]:
-    """Keys out of each bracket, a few from each task, evenly spaced in its order."""
+    """Keys out of each bracket, evenly spaced in what the tasks found: 4 * PICKS of a bracket at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[bytes]] = [[] for _ in brackets]
@@ -76,14 +83,28 @@ def candidates(rows: DataFrame, brackets: list[tuple[bytes | None, bytes | None]
                 if end > begin:
                     step = max(1, (end - begin) // PICKS)
                     kept[i] += keys[begin + step // 2 : end : step][: 2 * PICKS]
-        out = set()
-        for own in kept:
-            own.sort()
-            step = max(1, len(own) // PICKS)
-            out |= set(own[step // 2 :: step])
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.binary())], ["key"])
+                    if len(kept[i]) > 64 * PICKS:
+                        kept[i] = spaced(sorted(kept[i]), 32 * PICKS)
+        out = [(i, k) for i, own in enumerate(kept) for k in spaced(sorted(own), PICKS)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int32()), pa.array([k for _, k in out], pa.binary())], ["bracket", "key"])
 
-    return sorted({bytes(r[0]) for r in rows.mapInArrow(run, "key binary").distinct().collect()})
+    def thin(keys):
+        chosen = F.sequence(F.lit(0), F.least(F.size(keys), F.lit(4 * PICKS)) - 1)
+        step = F.greatest(F.size(keys) / F.lit(4.0 * PICKS), F.lit(1.0))
+        return F.transform(chosen, lambda i: keys[F.floor((i + 0.5) * step).cast("int")])
+
+    found = rows.mapInArrow(run, "bracket int, key binary")
+    # in two steps, so that no task gathers those of all tasks
+    for part in (F.pmod(F.xxhash64("key"), F.lit(64)), F.lit(0)):
+        keys = F.array_sort(F.collect_set("key"))
+        found = found.groupBy("bracket", part.alias("part")).agg(keys.alias("keys")).select("bracket", F.explode(thin(F.col("keys"))).alias("key"))
+    return sorted({bytes(r[0]) for r in found.select("key").distinct().collect()})
+
+
+def spaced(keys: list[bytes], most: int) -> list[bytes]:
+    """At most so many of sorted keys, evenly spaced."""
+    step = len(keys) / most
+    return keys if step <= 1 else [keys[int((i + 0.5) * step)] for i in range(most)]
 
 
 def splitters(rows: DataFrame, targets: list[float], tolerance: float) -> tuple[list[bytes | None], list[int]]:
@@ -123,35 +144,32 @@ def histogram_sort(df: DataFrame, shards: int, size_col: str, text_hash: str, id
 
     text_hash: a long column, equal for equal texts. tolerance: of a shard's share.
     """
-    key = {"__k1": F.coalesce(F.col(text_hash), F.lit(0)).cast("long"), "__k2": F.when(F.col(id_col).isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64(F.col(id_col).cast("string"))), "__k3": F.monotonically_increasing_id()}
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    k1, k2, k3, size, shard, piece, base = (free_name(df, n) for n in ("k1", "k2", "k3", "size_", "shard", "piece", "base"))
+    key = {k1: F.coalesce(F.col(text_hash), F.lit(0)).cast("long"), k2: F.when(F.col(id_col).isNull(), F.lit(-(1 << 63))).otherwise(F.xxhash64(F.col(id_col).cast("string"))), k3: F.monotonically_increasing_id(), size: F.col(size_col).cast("long")}
     table = written(df.withColumns(key), "keys")
-    rows = table.select("__k1", "__k2", "__k3", F.col(size_col).cast("long"))
-    size, n = total(rows, F.sum(size_col), F.count("*"))
-    rows = rows.withColumnRenamed(size_col, "size")
-    per = max(4, -(-n // (shards * piece_rows)))
-    pieces = shards * per
-    share = size / pieces
-    found, rows_below = splitters(rows, [share * i for i in range(1, pieces)], tolerance * size / shards) if n else ([], [])
+    rows = table.select(k1, k2, k3, F.col(size).alias("size"))
+    everything, n = total(rows, F.sum("size"), F.count("*"))
+    share = everything / shards
+    found, _ = splitters(rows, [share * i for i in range(1, shards)], tolerance * share) if n else ([], [])
     keys = [k for k in found if k is not None]
-    starts = [0, *rows_below[: len(keys)]]
-    # piece i holds the rows with i splitters not above them; its shard, and the shard's rows before it
-    base = [starts[i] - starts[min(i - i % per, len(keys))] for i in range(len(keys) + 1)]
-    spark = df.sparkSession
-    shipped = spark.sparkContext.broadcast((keys, base))  # shards times pieces, whatever the rows
-    schema = table.schema
+    shipped = df.sparkSession.sparkContext.broadcast(keys)  # one for each shard
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, base = shipped.value
         for b in batches:
-            at = below(keys_of(b.select(["__k1", "__k2", "__k3"])), keys)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(np.array(base, dtype=np.int64)[at])], [*b.schema.names, "__piece", "__base"])
-
-    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
-
-    out = table.mapInArrow(place, StructType([*schema.fields, StructField("__piece", IntegerType()), StructField("__base", LongType())]))
-    out = out.repartition(tasks(df, n, piece_rows), "__piece")
-    slot = F.row_number().over(Window.partitionBy("__piece").orderBy("__k1", "__k2", "__k3")) - 1 + F.col("__base")
-    return out.select(*df.columns, F.floor(F.col("__piece") / per).cast("int").alias("shard"), slot.cast("long").alias("slot"))
+            at = below(keys_of(b.select([k1, k2, k3])), shipped.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], [*b.schema.names, shard])
+
+    from pyspark.sql.types import IntegerType, StructField, StructType
+
+    pieces = max(4, -(-n // (shards * piece_rows)))
+    placed = table.mapInArrow(place, StructType([*table.schema.fields, StructField(shard, IntegerType())]))
+    placed = placed.withColumn(piece, F.pmod(F.xxhash64(k1, k2, k3), F.lit(pieces)).cast("int"))
+    before = Window.partitionBy(shard).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(shard, piece).agg(F.count("*").alias("rows")).select(shard, piece, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(base))
+    slot = F.row_number().over(Window.partitionBy(shard, piece).orderBy(k1, k2, k3)) - 1
+    out = placed.repartition(tasks(df, n, piece_rows), shard, piece).withColumn(k1, slot)
+    return out.join(written(starts, "starts"), [shard, piece]).select(*kept, F.col(shard).alias("shard"), (F.col(k1) + F.col(base)).cast("long").alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cadenza.llm import chroma, katz, shard, toxicity, urllist, wordpiece
 from cadenza.llm.queries import vocabulary
@@ -35,6 +36,11 @@ def test_shards(docs, odd):
     assert shard.sharded(odd.limit(0), 10).count() == 0
     same = shard.sharded(docs([(1, "a")] * 40), 4).collect()  # one row again and again
     assert sorted(Counter(r["shard"] for r in same).values()) == [10] * 4
+    clash = docs(rows).withColumn("shard", F.lit("s")).withColumn("k1", F.lit(1)).withColumn("piece", F.lit(2)).withColumn("h", F.xxhash64("text")).withColumn("b", F.lit(7))
+    kept = shard.histogram_sort(clash, 5, "b", "h", "doc_id")
+    assert kept.columns == [*[c for c in clash.columns if c != "shard"], "shard", "slot"] and kept.count() == len(rows)
+    counts = Counter(r["shard"] for r in kept.collect())  # equal sizes: equal counts
+    assert max(counts.values()) - min(counts.values()) <= 1 and {r["piece"] for r in kept.collect()} == {2}
 
 
 def greedy(word, pieces, longest):
