@@ -3,14 +3,23 @@
 A list is a log of dated entries (pattern, add or remove). Each addition holds
 until the pattern's next entry: that makes validity intervals [from, until). A
 pattern is a domain (it covers its subdomains) or a domain and a path (it covers
-the path and what lies below). The distinct hosts of the captures are joined
-with the list by their suffixes once; each capture then joins its host's
-intervals and takes, as of its fetch time, the longest active pattern.
+the path and what lies below). The captures' distinct pairs of host and period
+(of `period_days`) are joined with the intervals by the host's suffixes, those
+alone that hold at some time of the period; each capture then joins its host's
+intervals of its period and takes, as of its fetch time, the longest active
+pattern, of equally long ones the last in order.
+
+So a row never holds a host's history, only what holds in a period, and a host
+with a third of the captures is dealt by period; within a period the join splits
+what is large.
 
 Rows: a capture without url, host or time is evaluated too and matches nothing;
-repeated captures are each evaluated; a removal holds over an addition of the
-same time; entries without pattern or time are void; all columns of the captures
-are kept, names of the result's that clash are replaced.
+very long urls are only cut by pattern; repeated captures are each evaluated; of a
+pattern's entries of one time a removal holds over additions, and of several
+additions the one whose category comes last holds; an addition ends the addition
+before it, of whatever category; entries without pattern or time are void, and
+with an empty list nothing is blocked; an empty table gives an empty result; all
+columns of the captures are kept, names of the result's that clash are replaced.
 """
 
 from __future__ import annotations
@@ -41,20 +50,26 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("action = 'add' and (until is null or until > `from`)").drop("action")
 
 
-def temporal_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
+def temporal_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", period_days: int = 64) -> DataFrame:
     """captures with host, blocked, pattern and category (of the longest pattern active at the fetch time)."""
+    seconds = lambda t: t.cast("timestamp").cast("long")
+    period = lambda t: F.floor(seconds(t) / F.lit(period_days * 86400))
     listed = intervals(entries).select(
         F.lower(F.regexp_extract("pattern", "^[^/]+", 0)).alias("key"),
+        period(F.col("from")).alias("first"),
+        period(F.col("until")).alias("last"),
         F.struct(F.length("pattern").alias("size"), "pattern", "category", "from", "until", F.regexp_extract("pattern", "(/.*?)/?$", 1).alias("path")).alias("entry"),
     )
     base = captures.drop(*[c for c in ("host", "blocked", "pattern", "category") if c != url_col and c != time_col])
     base = base.withColumn("host", host_of(F.col(url_col)))
+    entry_col, period_col = free_name(base, "entries"), free_name(base, "period")
+    base = base.withColumn(period_col, period(F.col(time_col)))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = base.select("host").where("host is not null").distinct().select("host", F.explode(suffixes).alias("key"))
-    entry_col = free_name(base, "entries")
-    of_host = written(hosts.join(listed, "key").groupBy("host").agg(F.collect_list("entry").alias(entry_col)), "hosts")
-    joined = base.join(of_host, "host", "left")
+    asked = base.select("host", F.col(period_col).alias("period")).where("host is not null and period is not null").distinct().select("host", "period", F.explode(suffixes).alias("key"))
+    held = asked.join(listed, "key").where("first <= period and (last is null or last >= period)")
+    of_host = written(held.groupBy("host", F.col("period").alias(period_col)).agg(F.collect_list("entry").alias(entry_col)), "hosts")
+    joined = base.join(of_host, ["host", period_col], "left")
     path = path_of(F.col(url_col))
     time = F.col(time_col)
     active = F.filter(
@@ -62,4 +77,5 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, url_col: str = "url
         lambda e: (e["from"] <= time) & (e["until"].isNull() | (time < e["until"])) & ((e["path"] == "") | (path == e["path"]) | path.startswith(F.concat(e["path"], F.lit("/")))),
     )
     hit = F.array_max(active)
-    return joined.withColumn("blocked", F.coalesce(F.size(active) > 0, F.lit(False))).withColumn("pattern", hit["pattern"]).withColumn("category", hit["category"]).drop(entry_col)
+    out = joined.withColumn("blocked", F.coalesce(F.size(active) > 0, F.lit(False))).withColumn("pattern", hit["pattern"]).withColumn("category", hit["category"])
+    return out.select(*[c for c in base.columns if c not in ("host", period_col)], "host", "blocked", "pattern", "category")

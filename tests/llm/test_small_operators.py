@@ -225,6 +225,36 @@ def test_urls(spark):
         assert r["blocked"] == (want is not None) and (r["pattern"], r["category"]) == (want or (None, None))
     empty = spark.createDataFrame([], "page_id long, url string, fetched_at date")
     assert urllist.temporal_filter(empty, entries).count() == 0
+    assert not any(r["blocked"] for r in urllist.temporal_filter(spark.createDataFrame(rows[:9], "page_id long, url string, fetched_at date, category string"), entries.limit(0)).collect())
+
+
+def test_url_history(spark):
+    """A long history of a host and its subdomains, with times, ties and columns that clash, for periods of several lengths."""
+    rng = random.Random(12)
+    start = datetime.datetime(2023, 12, 25)
+    patterns = ["h.org", "a.h.org", "h.org/p", "a.h.org/p/q", "org"]
+    log = [(rng.choice(patterns), rng.choice(("add", "add", "remove")), start + datetime.timedelta(hours=rng.randint(0, 5000)), rng.choice("xyz")) for _ in range(400)]
+    log += [("h.org", "add", log[0][2], c) for c in "yxz"]
+    captures = [(k, rng.choice(("http://h.org/p", "http://a.h.org/p/q/r", "http://b.a.h.org/", "http://h.org/pp")), start + datetime.timedelta(hours=rng.randint(-50, 5050)), 1, "m") for k in range(500)]
+
+    def brute(url, when):
+        host, _, path = url.removeprefix("http://").partition("/")
+        hits = []
+        for p in patterns:
+            dom, _, rest = p.partition("/")
+            if (host == dom or host.endswith("." + dom)) and (not rest or path == rest or path.startswith(f"{rest}/")):
+                past = sorted((x for x in log if x[0] == p and x[2] <= when), key=lambda x: (x[2], x[1] == "remove", x[3]))
+                if past and past[-1][1] == "add":
+                    hits.append((len(p), p, past[-1][3]))
+        return max(hits, default=(0, None, None))[1:]
+
+    entries = spark.createDataFrame(log, "pattern string, action string, at timestamp, category string")
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp, entries int, period string")
+    for days in (1, 64, 4000):
+        out = urllist.temporal_filter(df, entries, period_days=days)
+        assert out.columns == [*df.columns, "host", "blocked", "pattern", "category"]
+        got = {r["page_id"]: (r["pattern"], r["category"]) for r in out.collect()}
+        assert got == {k: brute(u, t) for k, u, t, *_ in captures}
 
 
 def prints_of(spark, rows):
