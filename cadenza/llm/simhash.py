@@ -8,7 +8,11 @@ carry-save adders count the differing bits of 64 pairs at a time, and a word
 whose 64 counts all exceed the radius is abandoned. Of the links in a bucket
 only a spanning forest leaves the task, so a group of k copies yields k rows.
 
-With 64 bits and radius r, r + 1 bands make the search exact. Wider fingerprints
+With 64 bits and radius r the bits are cut into b > r blocks; one of the
+combinations of b - r blocks is equal then, which makes the search exact. More
+rows take more and shorter blocks, so that keys grow longer and buckets stay
+small (4 keys of 16 bits up to 4 million rows, 10 of 26 up to 2 billion, ...).
+Wider fingerprints
 are for similarity, and made of distinct shingles: the share of equal bits
 estimates the cosine of two sets. Such sets meet in buckets of equal hashes: at
 the threshold or above they share one of the smallest hashes of each (`prefix`).
@@ -20,8 +24,9 @@ linked like any other; texts of fewer words than a shingle have their whole word
 sequence as the one shingle; repeated rows each get a row. Columns beside the id
 and the text are not read. A null id is never a component's id.
 
-Buckets beyond `BUFFER` rows leave their task in chunks, and each pair of chunks
-is compared in a task of its own, so no bucket is held in one place.
+A bucket's rows are counted first, which gathers one number a task. Buckets beyond
+`CHUNK` rows are dealt into chunks, and each chunk and each pair of chunks is
+compared in a group of its own, so no bucket is held in one place.
 """
 
 from __future__ import annotations
@@ -35,12 +40,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_batch, tasks, text_or_empty, total, written
+from cadenza.llm.common import by_batch, free_name, tasks, text_or_empty, total, written
 from cadenza.llm.components import components
 
 SEED = 42
-BUFFER = 1 << 15  # rows compared together, and the largest bucket that isn't cut
-CHUNK = 1 << 13  # rows in a chunk of a larger one
+BUFFER = 1 << 15  # rows whose buckets are compared together
+CHUNK = 1 << 13  # the largest bucket that isn't cut, and the rows of a chunk
+FULL_BUCKET = 1 << 6  # rows that strangers make in a bucket, above which keys grow longer
 SETS = 1 << 12  # shingle sets compared together
 ENTRIES = 1 << 15  # words of 64 pairs counted side by side
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -249,9 +255,13 @@ class Rule:
         self.words, self.radius, self.bands, self.jaccard = words, radius, bands, jaccard
 
     @classmethod
-    def within(cls, radius: int) -> "Rule":
-        """64 bits, at most radius of them different: exact, as one of radius + 1 bands is equal then."""
-        return cls(1, radius, np.array_split(np.arange(64), radius + 1))
+    def within(cls, radius: int, rows: int = 0) -> "Rule":
+        """64 bits, at most radius of them different: exact, as one combination of blocks is equal then."""
+        blocks = radius + 1
+        while rows > FULL_BUCKET << (64 * (blocks - radius) // blocks) and blocks < 16:
+            blocks += 1
+        parts = np.array_split(np.arange(64), blocks)
+        return cls(1, radius, [np.concatenate(x) for x in itertools.combinations(parts, blocks - radius)])
 
     @classmethod
     def near(cls, jaccard: float, words: int) -> "Rule":
@@ -324,124 +334,82 @@ def in_bands(distinct: DataFrame, rule: Rule) -> DataFrame:
     return by_batch(distinct.select("node", "fp", "n"), "bucket bigint, node bigint, fp binary, n int", make)
 
 
-def shared_only(rows: DataFrame) -> DataFrame:
-    """(bucket, node), sorted by bucket within partitions: without the buckets of a single row."""
+def dealt(rows: DataFrame) -> DataFrame:
+    """(bucket, node, ...) -> the same with i, j and side, without buckets of a single row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, node, same = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the last row, and whether the row before it has its bucket
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                bucket = np.append(bucket, batch.column(0).to_numpy())
-                node = np.append(node, batch.column(1).to_numpy())
-            if not len(bucket):
-                continue
-            equal = bucket[1:] == bucket[:-1]
-            before, after = np.append(same, equal), np.append(equal, False)
-            done = len(bucket) - (batch is not None)
-            keep = np.flatnonzero((before | after)[:done])
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], names=["bucket", "node"])
-            bucket, node, same = bucket[done:], node[done:], bool(before[-1])
-
-    return rows.mapInArrow(run, "bucket bigint, node bigint")
+    A bucket of several chunks comes as each chunk (i = j) and as each pair of
+    chunks (i < j, side 0 and 1).
+    """
+    counts = written(rows.groupBy("bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "shared")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    out = rows.join(counts, "bucket").withColumn("chunk", chunk)
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return out.select(*rows.columns, F.least("chunk", "other").cast("long").alias("i"), F.greatest("chunk", "other").cast("long").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"))
 
 
 def prefix_links(nodes: DataFrame, rule: Rule) -> DataFrame:
     """nodes(node, fp, n, prefix) -> edges (a, b): enough of the links of nodes with a hash of their prefixes in common."""
     n = tasks(nodes, int(total(nodes, F.sum(F.size("prefix")))[0]), 1 << 20)
-    buckets = nodes.select(F.explode("prefix").alias("bucket"), "node").repartition(n, "bucket").sortWithinPartitions("bucket")
-    shared = written(shared_only(buckets), "shared")
-    return bucket_links(shared.join(nodes.select("node", "fp", "n"), "node").select("bucket", "node", "fp", "n"), rule, n)
+    shared = written(dealt(nodes.select(F.explode("prefix").alias("bucket"), "node")), "dealt")
+    return compared(shared.join(nodes.select("node", "fp", "n"), "node"), rule, n)
 
 
-LINKS = "a bigint, b bigint, bucket bigint, chunk int, fp binary, n int"
+LINKS = "a bigint, b bigint"
+KEYS = ["bucket", "i", "j"]
 
 
-def compare_buckets(bands: DataFrame, rule: Rule, keys: list[str], sides: bool = False) -> DataFrame:
-    """Links of rows in the same bucket, in rows (a, b); rows of a bucket beyond BUFFER also come as (a, null, bucket, chunk, fp, n).
+def compare_buckets(rows: DataFrame, rule: Rule, sides: bool) -> DataFrame:
+    """(*KEYS, side, node, fp, n) -> links (a, b) of rows with the same keys, which come sorted within partitions.
 
-    The rows of a partition come sorted by keys. sides: rows are compared only
-    with those of the other side; such buckets hold two chunks, less than BUFFER.
+    sides: rows are compared only with those of the other side.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow, width = to_arrow_schema(StructType.fromDDL(LINKS)), 8 * rule.words
-
-    def out(a, b=None, bucket=None, chunk=None, fps=None, n=None) -> pa.RecordBatch:
-        none = lambda t: pa.nulls(len(a), t)
-        return pa.RecordBatch.from_arrays([pa.array(a), none(pa.int64()) if b is None else pa.array(b), none(pa.int64()) if bucket is None else pa.array(bucket), none(pa.int32()) if chunk is None else pa.array(chunk, pa.int32()), none(pa.binary()) if fps is None else binary(fps), none(pa.int32()) if n is None else pa.array(n)], schema=arrow)
+    width = 8 * rule.words
 
     def flush(key, side, node, fps, n):
         begins = np.append(True, np.any(key[1:] != key[:-1], axis=1))
         starts = np.flatnonzero(begins)
         group = np.cumsum(begins) - 1
         ends = np.append(starts[1:], len(key))[group]
-        if sides:  # sorted by side within the bucket
+        if sides:  # sorted by side within the group
             second = starts + np.bincount(group, weights=side == 0).astype(np.int64)
             first = np.where(side == 0, second[group], ends)
         else:
             first = np.arange(1, len(key) + 1)
         a, b = forest(rule, node, fps, n, first, ends)
         if len(a):
-            yield out(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, large, chunk = None, None, 0
+        rest = None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 cols = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-                part = (np.stack([cols[k].to_numpy() for k in keys], axis=1), cols["side"].to_numpy() if sides else np.zeros(batch.num_rows, np.int32), cols["node"].to_numpy(), matrix(cols["fp"], width), cols["n"].to_numpy())
+                part = (np.stack([cols[k].to_numpy() for k in KEYS], axis=1), cols["side"].to_numpy(), cols["node"].to_numpy(), matrix(cols["fp"], width), cols["n"].to_numpy())
                 rest = part if rest is None else tuple(np.concatenate(x) for x in zip(rest, part))
-            while rest is not None and len(rest[0]):
-                key = rest[0]
-                if large is not None:  # a bucket that goes out in chunks
-                    own = len(key) if (key == large).all() else int(np.argmin((key == large).all(axis=1)))
-                    if own < CHUNK and own == len(key) and batch is not None:
-                        break
-                    take = min(own, CHUNK)
-                    if take:
-                        head = tuple(x[:take] for x in rest)
-                        yield from flush(*head)
-                        yield out(head[2], None, head[0][:, 0], np.full(take, chunk), head[3], head[4])
-                        rest, chunk = tuple(x[take:] for x in rest), chunk + 1
-                    else:
-                        large = None
-                    continue
-                if len(key) < BUFFER and batch is not None:
-                    break
-                # the buckets that are complete
-                same = (key == key[-1]).all(axis=1)
-                begin = len(key) if batch is None else 0 if same.all() else len(key) - int(np.argmin(same[::-1]))
-                if begin:
-                    yield from flush(*(x[:begin] for x in rest))
-                    rest = tuple(x[begin:] for x in rest)
-                else:
-                    large, chunk = key[0].copy(), 0
+            if rest is None or not len(rest[0]) or len(rest[0]) < BUFFER and batch is not None:
+                continue
+            # the groups that are complete; one has two chunks at most
+            same = (rest[0] == rest[0][-1]).all(axis=1)
+            end = len(same) if batch is None else 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
+            if end:
+                yield from flush(*(x[:end] for x in rest))
+                rest = tuple(x[end:] for x in rest)
+
+    return rows.mapInArrow(run, LINKS)
+
 
-    return bands.mapInArrow(run, LINKS)
+def compared(rows: DataFrame, rule: Rule, n: int) -> DataFrame:
+    """The links of `dealt` rows, in n tasks."""
+    within = rows.where("i = j").repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+    across = rows.where("i < j").repartition(n, *KEYS).sortWithinPartitions(*KEYS, "side")
+    columns = [*KEYS, "side", "node", "fp", "n"]
+    return compare_buckets(within.select(columns), rule, False).unionByName(compare_buckets(across.select(columns), rule, True))
 
 
 def links(distinct: DataFrame, rule: Rule, rows: int) -> DataFrame:
     """distinct(node, fp, n) -> edges (a, b): enough of the links that every component holds together."""
-    return bucket_links(in_bands(distinct, rule), rule, tasks(distinct, rows * len(rule.bands), 1 << 20))
-
-
-def bucket_links(bands: DataFrame, rule: Rule, n: int) -> DataFrame:
-    """(bucket, node, fp, n) -> edges (a, b) of rows in the same bucket, in n tasks."""
-    bands = bands.repartition(n, "bucket").sortWithinPartitions("bucket")
-    got = written(compare_buckets(bands, rule, ["bucket"]), "links")
-    edges = got.where("b is not null").select("a", "b")
-    large = got.where("b is null").select("bucket", "chunk", F.col("a").alias("node"), "fp", "n")
-    if large.isEmpty():
-        return edges
-    # each pair of chunks of a large bucket
-    chunks = large.groupBy("bucket").agg((F.max("chunk") + 1).alias("chunks"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    pairs = large.join(chunks, "bucket").select("*", other.alias("other")).where("other <> chunk")
-    pairs = pairs.select("bucket", F.least("chunk", "other").cast("long").alias("i"), F.greatest("chunk", "other").cast("long").alias("j"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "node", "fp", "n")
-    pairs = pairs.repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    return edges.unionByName(compare_buckets(pairs, rule, ["bucket", "i", "j"], sides=True).select("a", "b"))
+    bands = written(in_bands(distinct, rule), "bands")
+    return compared(dealt(bands), rule, tasks(distinct, rows * len(rule.bands), 1 << 20))
 
 
 def similar(x: np.ndarray, sizes: np.ndarray, n: int, jaccard: float) -> np.ndarray:
@@ -538,7 +506,7 @@ def groups(prints: DataFrame, links_of: Callable[[DataFrame, int], DataFrame], i
 def simhash_components(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (64 bits in hex), component_id, links over at most `radius` differing bits."""
     prints = written(fingerprints(docs, size, 1, id_col, text_col), "prints")
-    out = groups(prints, lambda nodes, rows: links(nodes, Rule.within(radius), rows), id_col)
+    out = groups(prints, lambda nodes, rows: links(nodes, Rule.within(radius, rows), rows), id_col)
     return out.select(id_col, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -561,7 +529,7 @@ def without_near_copies(docs: DataFrame, size: int = 5, jaccard: float = 0.8, wo
     kept = grouped.groupBy("class").agg(F.min(order)["row"].alias("row")).select("row")
     times = prints.groupBy("row").agg(F.count("*").alias("times"))
     kept = written(kept.join(times, "row"), "kept")
-    key = "__row"
+    key = free_name(docs, "row")
     keyed = docs.withColumn(key, row_key(docs, id_col, text_col))
     once = kept.where("times = 1").select(F.col("row").alias(key)).hint("shuffle_hash")
     out = keyed.join(once, key, "left_semi")

@@ -62,10 +62,10 @@ def test_components_of_documents(docs, odd):
 
 
 def test_large_buckets(docs, monkeypatch):
-    """A bucket beyond the buffer goes out in chunks, and nothing is lost."""
+    """A bucket of many chunks is compared in pairs of them, and nothing is lost."""
     monkeypatch.setattr(simhash, "BUFFER", 64)
     monkeypatch.setattr(simhash, "CHUNK", 16)
-    monkeypatch.setattr(simhash.Rule, "within", classmethod(lambda cls, radius: cls(1, radius, [np.arange(0, 1)])))
+    monkeypatch.setattr(simhash.Rule, "within", classmethod(lambda cls, radius, rows=0: cls(1, radius, [np.arange(0, 1)])))
     rows = copies(300, 150, seed=1)
     got = simhash.simhash_components(docs(rows)).collect()
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
@@ -86,6 +86,29 @@ def test_large_buckets(docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in ids}
 
 
+@pytest.mark.parametrize("rows", [1 << 23, 1 << 34])
+def test_longer_keys(docs, monkeypatch, rows):
+    """More rows take more combinations of shorter blocks: the same links."""
+    assert [len(simhash.Rule.within(3, n).bands) for n in (0, 1 << 22, 1 << 23, 1 << 34)] == [4, 4, 10, 20]
+    within = simhash.Rule.within
+    monkeypatch.setattr(simhash.Rule, "within", lambda radius, n: within(radius, rows))
+    texts = copies(240, 120, seed=2)
+    got = simhash.simhash_components(docs(texts)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(texts, 3)[0]
+
+
+def test_near_copies_in_chunks(docs, monkeypatch):
+    """Groups of near copies dealt into chunks, and columns that clash."""
+    rows = copies(200, 200, seed=6)
+    want = {r["doc_id"] for r in simhash.without_near_copies(docs(rows)).collect()}
+    monkeypatch.setattr(simhash, "BUFFER", 32)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash, "SETS", 8)
+    clash = docs(rows).withColumnRenamed("node", "row").withColumnRenamed("source", "bucket")
+    got = simhash.without_near_copies(clash)
+    assert got.columns == clash.columns and {r["doc_id"] for r in got.collect()} == want and len(want) < 150
+
+
 @pytest.mark.parametrize(("words", "radius"), [(1, 3), (1, 0), (4, 60), (16, 170)])
 def test_close_pairs(words, radius):
     rng = np.random.default_rng(radius)
