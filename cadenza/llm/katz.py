@@ -1,67 +1,77 @@
-"""LM scoring: a Katz backoff model of word pairs, counted and evaluated in partitions.
+"""LM scoring: a Katz backoff model of word triples, counted and looked up in partitions.
 
 Tokens are runs without ASCII white space, A-Z in lower case, then one end. The
-probability of a token w after v (a start before the first) is, recursively,
+probability of a token w after u, v (a start stands before the first token, whose
+context is the start alone) is, recursively,
 
-    P(w | v) = d(c(v,w)) c(v,w) / c(v)    if the training texts hold the pair,
-             = a(v) P(w)                  else; a(v) = 1 if they don't hold v,
-    P(w)     = d'(c(w)) c(w) / N          if they hold w,
-             = what that leaves           else: all words never seen are one class.
+    P(w | u, v) = d3(c(u,v,w)) c(u,v,w) / c(u,v)    if the training texts hold the triple,
+                = a(u,v) P(w | v)                   else; a(u,v) = 1 if they don't hold u, v,
+    P(w | v)    = d2(c(v,w)) c(v,w) / c(v)          if they hold the pair,
+                = a(v) P(w)                         else; a(v) = 1 if they don't hold v,
+    P(w)        = d1(c(w)) c(w) / N                 if they hold w,
+                = what that leaves                  else: all words never seen are one class.
 
 d(r) for r up to 5 is the Good-Turing ratio with Katz's correction, from the
 counts of counts of the whole training part (a ratio outside of (0, 1) becomes
 (r - 0.5) / r); larger counts keep TRUSTED of themselves, so that every context
-leaves something. a(v) is normalised exactly: what the seen pairs leave, over
-what P leaves without their words.
-
-Plan: a task turns its texts into blocks of some million tokens and sends each
-distinct pair once, with the places it occurs, to the bucket of its second word;
-tokens never travel one by one, half of the buckets at a time, and a frequent word's pairs are spread over buckets by their first word. A
-bucket then knows c(v,w) and c(w). Sums by document leave it as one vector a
-block; sums by context are a table of their own, (context, count, a), joined
-with the occurrences of pairs never seen. The word table and the context table
-are written in the shared folder; discounts are a few numbers on the driver.
+leaves something. Backoff weights are normalised exactly: what the seen words of
+a context leave, over what the lower order leaves without them.
+
+Plan. The texts are cut once into blocks of some million tokens, a table of their
+own: the words' hashes and the tokens as places among them. What a block holds
+distinct of each order is counted in exchanges: a block sends its n-grams, each
+once with its count, packed, to buckets; a bucket adds up the blocks' counts and
+answers each block in the block's own order. So words get their counts and
+numbers (1), then pairs and triples theirs (2), and contexts that some text backs
+off from their weights (3). The answers are tables partitioned by block, the same
+way as the blocks, so they meet without moving the tokens; with them a block
+evaluates the recursion for each of its tokens. No exchange sends tokens one by
+one, and what is sent grows as the texts.
+
+A bucket gets n-grams by a hash of their context; contexts that may occur HOT times
+are spread over buckets by the last word. The same n-gram comes at most once from
+a block. A weight's sums come from the first block that holds an n-gram, by
+context summed up, for contexts in use.
+
+The driver holds a few numbers: tokens, words, counts of counts.
 
 Rows: a null text is empty (one end token); a null id trains (its crc32 counts as
-0); repeated rows count and are scored each on its own; without training texts
-every probability is that of the unknown class, which is then 1.
+0); repeated rows count and are scored each on its own; a text longer than a block
+is a block of its own, whole in its task; without training texts every probability
+is that of the unknown class, which is then 1; an empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import partial
-from zlib import crc32
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_batch, slices, text_or_empty, total, written
+from cadenza.llm.common import slices, text_or_empty, total, written
+from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
-BUCKET_TOKENS = 2_000_000
-PASSES = 2  # over the texts: each sends its part of the buckets, so that less lies on disk at a time
-HOT = 250_000  # tokens of a word whose pairs share a bucket
-START, END = np.uint64(1), np.uint64(2)  # no word hashes to these but by chance of 2^-63
-
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 100_000
+BUCKET_ROWS = 2_000_000  # n-grams of blocks that a bucket gets, about
+HOT = 1_000_000  # occurrences of a context whose n-grams share a bucket
+END = np.uint64(2)  # no word hashes to it but by chance of 2^-63
+RANKS = 2 * (LOW + 1)  # numbers summed up for a weight
 
-def hashes(words: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+BLOCKS = "block bigint, ids array<string>, held array<boolean>, sizes binary, words binary, counts binary, tokens binary, n_words bigint, n_tokens bigint, n_starts bigint"
+ASKED = pa.schema([("q", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+ANSWERS = "kind string, block bigint, q int, blob binary"
+ANSWERED = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("q", pa.int32()), ("blob", pa.binary())])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; the bytes of a number's places stand together."""
-    import pickle
-
     import zstandard
 
     parts = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"") for a in arrays]
@@ -69,8 +79,6 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    import pickle
-
     import zstandard
 
     out = []
@@ -85,6 +93,40 @@ def smallest(a: np.ndarray) -> np.ndarray:
     return a.astype(np.min_scalar_type(int(a.max(initial=0))))
 
 
+def steps(a: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences."""
+    return np.diff(a, prepend=a.dtype.type(0))
+
+
+def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, ascending; which of them each is; one place of each)."""
+    order = np.argsort(code)
+    ordered = code[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(code)]
+    of = np.empty(len(code), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of, order[new]
+
+
+def mixed(*gids: np.ndarray) -> np.ndarray:
+    """A hash of words' numbers."""
+    h = np.zeros(len(gids[0]), dtype=np.uint64)
+    for g in gids:
+        h = (h ^ g.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    n = len(columns[0])
+    new = np.zeros(n, dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def discounts(of_counts: dict[int, int]) -> np.ndarray:
     """d(1) .. d(LOW) from how many n-grams have which count, and TRUSTED for all above."""
     n = [of_counts.get(r, 0) for r in range(LOW + 2)]
@@ -96,27 +138,13 @@ def discounts(of_counts: dict[int, int]) -> np.ndarray:
     return np.array([*out, TRUSTED])
 
 
-class HotWords:
-    """The words of HOT tokens or more, with their counts: at most a word for each HOT tokens."""
+def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts, for counts of 1 or more."""
+    return d[np.minimum(c, LOW + 1) - 1] * c
 
-    def __init__(self, rows: list[tuple[int, int]]):
-        words = np.array([w for w, _ in rows], dtype=np.int64).view(np.uint64)
-        order = np.argsort(words)
-        self.words = np.append(words[order], np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.n = np.append(np.array([n for _, n in rows], dtype=np.int64)[order], 0)
 
-    def counts(self, words: np.ndarray) -> np.ndarray:
-        """The count of each word, 0 for those that aren't hot."""
-        at = np.searchsorted(self.words, words)
-        at = np.minimum(at, len(self.words) - 1)
-        return np.where(self.words[at] == words, self.n[at], 0)
-
-    def parts(self, words: np.ndarray) -> np.ndarray:
-        return (self.counts(words) // HOT + 1).astype(np.uint64)
-
-
-class Block:
-    """Texts side by side, cut into the rows that go to the buckets."""
+class Cutter:
+    """Texts side by side, until they make a block."""
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
@@ -128,129 +156,292 @@ class Block:
     def add(self, key, held: bool, text: str) -> None:
         words = text.encode().lower().split()
         get = self.words.setdefault
-        self.tokens.append(np.fromiter((get(w, len(self.words) + 2) for w in words), dtype=np.int64, count=len(words)))
+        self.tokens += [np.fromiter((get(w, len(self.words) + 1) for w in words), dtype=np.int64, count=len(words)), np.zeros(1, np.int64)]
         self.ids.append(key)
         self.held.append(held)
         self.n += len(words) + 1
 
-    def rows(self, buckets: int, hot: "HotWords") -> Iterator[tuple[int, bytes]]:
-        """(bucket, packed pairs): second words' hashes, pairs of each, first words' hashes, occurrences of each, those in training texts, documents, documents in the block."""
-        hashed = np.concatenate([np.array([START, END]), hashes(list(self.words))])
-        sizes = np.array([len(t) + 1 for t in self.tokens])
-        ends = np.cumsum(sizes) - 1
-        after = np.ones(self.n, dtype=np.int64)  # ends
-        inner = np.ones(self.n, dtype=bool)
-        inner[ends] = False
-        after[inner] = np.concatenate(self.tokens)
-        before = np.append(0, after[:-1])
-        before[ends[:-1] + 1] = 0
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        # a frequent second word's pairs are spread by their first word
-        part = (hashed[before] >> np.uint64(7)) % hot.parts(hashed)[after]
-        bucket = (((hashed >> np.uint64(7))[after] % np.uint64(buckets) + part * np.uint64(7919)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(hashed)
-        place = np.empty_like(order)
+    def row(self, block: int) -> list:
+        import xxhash
+
+        hashes = np.array([int(END), *(xxhash.xxh64_intdigest(w) for w in self.words)], dtype=np.uint64)
+        order = np.argsort(hashes)
+        place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        n = len(order)
-        code = (bucket * n + place[after]) * n + before
-        by_code = np.argsort(code, kind="stable")
-        code, doc = code[by_code], doc[by_code]
-        begin = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        times = np.diff(begin, append=len(code))
-        second, first = np.divmod(code[begin], n)
-        of, second = np.divmod(second, n)
-        second = order[second]
-        cuts = np.searchsorted(of, np.arange(buckets + 1))
-        trains = np.append(0, np.cumsum(~np.array(self.held)[doc]))
-        train = trains[begin + times] - trains[begin]
-        for q in range(buckets):
-            a, b = cuts[q], cuts[q + 1]
-            if a == b:
-                continue
-            w = second[a:b]
-            new = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-            d0, d1 = begin[a], begin[b - 1] + times[b - 1]
-            yield q, pack(hashed[w[new]], smallest(np.diff(new, append=len(w))), hashed[first[a:b]], smallest(times[a:b]), smallest(train[a:b]), smallest(doc[d0:d1]), smallest(np.array([len(self.ids)])))
-
-
-class Bucket:
-    """All pairs of a bucket's second words, counted."""
-
-    def __init__(self, blobs: list[bytes], hot: HotWords):
-        parts = [unpack(x) for x in blobs]
-        self.base = np.cumsum([0, *(int(p[6][0]) for p in parts)])
-        kind = smallest(self.base[-1:]).dtype.type
-        self.w = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        self.v = np.concatenate([p[2] for p in parts])
-        self.times = np.concatenate([p[3].astype(np.int64) for p in parts])
-        train = np.concatenate([p[4].astype(np.int64) for p in parts])
-        self.doc = np.concatenate([p[5].astype(kind) + kind(base) for base, p in zip(self.base, parts)])  # a row for each occurrence
-        # the same pair of all blocks, and the same second word
-        order = np.lexsort((self.v, self.w))
-        w, v = self.w[order], self.v[order]
-        new_w = np.append(True, w[1:] != w[:-1])
-        new = new_w | np.append(True, v[1:] != v[:-1])
-        pair, word = np.cumsum(new) - 1, np.cumsum(new_w) - 1
-        pair_count = np.bincount(pair, weights=train[order]).astype(np.int64)
-        word_count = np.bincount(word, weights=train[order]).astype(np.int64)
-        known = hot.counts(w[new_w])  # of a hot word only a part is here
-        word_count = np.where(known > 0, known, word_count)
-        self.c = np.empty(len(order), dtype=np.int64)
-        self.c[order] = pair_count[pair]
-        self.c_w = np.empty(len(order), dtype=np.int64)
-        self.c_w[order] = word_count[word]
-        # distinct pairs of the training part
-        seen = pair_count > 0
-        self.pair_v, self.pair_c, self.pair_c_w = v[new][seen], pair_count[seen], word_count[word[new]][seen]
-
-
-class Unigrams:
-    """P(w) by a word's count, its discounts, and the part of words never seen."""
+        tokens = place[np.concatenate(self.tokens)]
+        sizes = np.array([len(t) + 1 for t in self.tokens[::2]])
+        trains = ~np.repeat(np.array(self.held), sizes)
+        counts = np.bincount(tokens[trains], minlength=len(order))
+        return [block, self.ids, self.held, pack(smallest(sizes)), pack(steps(hashes[order])), pack(smallest(counts)), pack(smallest(tokens)), len(order), len(tokens), int((~np.array(self.held)).sum())]
+
+
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, held, t) -> blocks."""
+    from pyspark import TaskContext
+
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), *[pa.binary()] * 4, *[pa.int64()] * 3]
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    number, cutter = TaskContext.get().partitionId() << 32, Cutter()
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cutter.row(number), kinds)], names)
+    for batch in batches:
+        for part in slices(batch):
+            for key, held, t in zip(*(c.to_pylist() for c in part.columns)):
+                cutter.add(key, held, t)
+                if cutter.n >= BLOCK_TOKENS or len(cutter.ids) >= BLOCK_DOCS:
+                    yield flush()
+                    number, cutter = number + 1, Cutter()
+    if cutter.ids:
+        yield flush()
+
+
+def asked(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ASKED)], schema=ASKED)
+
+
+def answers(rows: list[tuple[str, int, int, bytes]]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ANSWERED)], schema=ANSWERED)
+
+
+def cuts_of(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by bucket, and where each bucket begins in it."""
+    order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.uint32), kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))])
+
+
+# words
+
+
+def ask_words(row: dict, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """The hashes of a block's words, in ranges, with their training counts."""
+    hashes, counts = np.cumsum(unpack(row["words"])[0], dtype=np.uint64), unpack(row["counts"])[0]
+    edges = np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
+    ends = [0, *np.searchsorted(hashes, edges).tolist(), len(hashes)]
+    for q in range(n):
+        a, b = ends[q], ends[q + 1]
+        if b > a:
+            yield q, row["block"], pack(steps(hashes[a:b]), smallest(counts[a:b]))
+
+
+def answer_words(q: int, blocks: list[int], blobs: list[bytes], n: int) -> list[tuple]:
+    """Numbers (frequent words have small ones; 0 is the start) and counts of the words; tokens, words and counts of counts."""
+    parts = [unpack(x) for x in blobs]
+    ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+    _, of, _ = distinct(np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts]))
+    count = np.bincount(of, weights=np.concatenate([p[1].astype(np.int64) for p in parts])).astype(np.int64)
+    rank = np.empty(len(count), dtype=np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    gid = 1 + rank * n + q
+    out = [("words", b, q, pack(smallest(gid[of[i:j]]), smallest(count[of[i:j]]))) for b, i, j in zip(blocks, ends[:-1], ends[1:])]
+    tally = np.bincount(np.minimum(count, LOW + 2), minlength=LOW + 3)
+    return [*out, ("tally1", -1, q, pack(np.append(tally, count.sum())))]
+
+
+# pairs and triples
+
+
+class Block:
+    """A block with its words' numbers and counts, and its distinct pairs and triples.
+
+    A token's pair is it and the token before, or the start (place W of gid and
+    c1); its triple is the pair before it and itself, which the first has not.
+    """
+
+    def __init__(self, row: dict, starts: int):
+        self.number = row["block"]
+        self.sizes = unpack(row["sizes"])[0].astype(np.int64)
+        self.tokens = unpack(row["tokens"])[0].astype(np.int64)
+        answered = sorted((x for x in row["answers"] if x["kind"] == "words"), key=lambda x: x["q"])
+        words = [unpack(x["blob"]) for x in answered]
+        self.gid = np.concatenate([*(w[0].astype(np.int64) for w in words), [0]])
+        self.c1 = np.concatenate([*(w[1].astype(np.int64) for w in words), [starts]])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.trains = ~np.repeat(np.array(row["held"], dtype=bool), self.sizes)
+        start, width = len(self.gid) - 1, len(self.gid)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = start
+        code, self.pair_of, _ = distinct(before * width + self.tokens)
+        self.v, self.w = np.divmod(code, width)
+        inner = np.ones(len(self.tokens), dtype=bool)
+        inner[self.first] = False
+        self.inner = np.flatnonzero(inner)
+        code, self.triple_of, place = distinct(self.pair_of[self.inner - 1] * width + self.tokens[self.inner])
+        self.uv, self.w3 = np.divmod(code, width)
+        self.vw = self.pair_of[self.inner[place]]  # the pair at the end of a triple
+        self.hot2 = self.c1[self.v] >= HOT
+        self.bound3 = np.minimum(self.c1[self.v[self.uv]], self.c1[self.w[self.uv]])  # of the count of its context
+        self.hot3 = self.bound3 >= HOT
+
+    def buckets2(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        spread = mixed(self.gid[self.w]) % (self.c1[self.v] // HOT + 1).astype(np.uint64)
+        return cuts_of(((mixed(self.gid[self.v]) + spread) % np.uint64(n)).astype(np.int64), n)
+
+    def buckets3(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        spread = mixed(self.gid[self.w3]) % (self.bound3 // HOT + 1).astype(np.uint64)
+        context = mixed(self.gid[self.v], self.gid[self.w])[self.uv]
+        return cuts_of(((context + spread) % np.uint64(n)).astype(np.int64), n)
+
+    def ask(self, n2: int, n3: int) -> Iterator[tuple[int, int, bytes]]:
+        """Its pairs to the first n2 buckets, its triples to n3 others: contexts, words of each, words, training counts."""
+        counts = np.bincount(self.pair_of[self.trains], minlength=len(self.v))
+        order, cuts = self.buckets2(n2)
+        for q in range(n2):
+            at = order[cuts[q] : cuts[q + 1]]
+            if len(at):
+                new = runs(self.v[at])
+                yield q, self.number, pack(smallest(self.gid[self.v[at[new]]]), smallest(np.diff(new, append=len(at))), smallest(self.gid[self.w[at]]), smallest(counts[at]))
+        counts = np.bincount(self.triple_of[self.trains[self.inner]], minlength=len(self.uv))
+        order, cuts = self.buckets3(n3)
+        for q in range(n3):
+            at = order[cuts[q] : cuts[q + 1]]
+            if len(at):
+                new = runs(self.uv[at])
+                pair = self.uv[at[new]]
+                yield n2 + q, self.number, pack(smallest(self.gid[self.v[pair]]), smallest(self.gid[self.w[pair]]), smallest(np.diff(new, append=len(at))), smallest(self.gid[self.w3[at]]), smallest(counts[at]))
+
+    def look_up(self, row: dict, n2: int, n3: int) -> None:
+        """Takes the counts c2 and c3, and the marks (see `answer_ngrams`), from the answers."""
+        for level, n, (order, cuts) in ((2, n2, self.buckets2(n2)), (3, n3, self.buckets3(n3))):
+            c, mark = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.uint8)
+            for x in row["answers"]:
+                if x["kind"] == f"counts{level}":
+                    at = order[cuts[x["q"]] : cuts[x["q"] + 1]]
+                    c[at], mark[at] = unpack(x["blob"])
+            setattr(self, f"c{level}", c)
+            setattr(self, f"mark{level}", mark)
+
+    def contexts(self) -> tuple[tuple, tuple]:
+        """What its texts back off from: places of words, and of pairs, whose weights are needed."""
+        two = np.unique(self.v[(self.c2 == 0) & (self.c1[self.v] > 0)])
+        three = np.unique(self.uv[(self.c3 == 0) & (self.c2[self.uv] > 0)])
+        return two, three
+
+    def ask_weights(self, n: int) -> Iterator[tuple[int, int, bytes]]:
+        """Sums of the n-grams that it is first to hold, by context, and the contexts that it needs, to n buckets for each order."""
+        need2, need3 = self.contexts()
+        own = np.flatnonzero((self.mark2 & 1 > 0) & ((self.mark2 & 2 > 0) | self.hot2))
+        sums2 = sums(self.v[own], self.c2[own], self.c1[self.w[own]])
+        own = np.flatnonzero((self.mark3 & 1 > 0) & ((self.mark3 & 2 > 0) | self.hot3))
+        sums3 = sums(self.uv[own], self.c3[own], self.c2[self.vw[own]])
+        names2 = lambda x: (self.gid[x],)
+        names3 = lambda x: (self.gid[self.v[x]], self.gid[self.w[x]])
+        for base, names, (context, table), need in ((0, names2, sums2, need2), (n, names3, sums3, need3)):
+            (o, a), (p, b) = (cuts_of((mixed(*names(x)) % np.uint64(n)).astype(np.int64), n) for x in (context, need))
+            for q in range(n):
+                i, j = o[a[q] : a[q + 1]], p[b[q] : b[q + 1]]
+                if len(i) or len(j):
+                    yield base + q, self.number, pack(*(smallest(x) for x in (*names(context[i]), *table[:, i], *names(need[j]))))
+
+    def scores(self, row: dict, n: int, words: "Words", d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each text the tokens known, the add-one score and the model's."""
+        need2, need3 = self.contexts()
+        a2, a3 = np.ones(len(self.gid)), np.ones(len(self.v))
+        names3 = (self.gid[self.v[need3]], self.gid[self.w[need3]])
+        for level, need, names in ((2, need2, (self.gid[need2],)), (3, need3, names3)):
+            order, cuts = cuts_of((mixed(*names) % np.uint64(n)).astype(np.int64), n)
+            for x in row["answers"]:
+                if x["kind"] == f"weights{level}":
+                    at = need[order[cuts[x["q"]] : cuts[x["q"] + 1]]]
+                    seen, lower = unpack(x["blob"])
+                    if level == 2:
+                        a2[at] = (1 - seen / self.c1[at]) / np.maximum(1 - lower / words.n, 1e-12)
+                    else:
+                        a3[at] = (1 - seen / self.c2[at]) / np.maximum(1 - lower / self.c1[self.w[at]], 1e-12)
+        one = np.log10(words.p(self.c1))
+        two = log_kept(self.c2, d2) - np.log10(np.maximum(self.c1[self.v], 1))
+        two = np.where(self.c2 > 0, two, np.log10(a2[self.v]) + one[self.w])
+        three = log_kept(self.c3, d3) - np.log10(np.maximum(self.c2[self.uv], 1))
+        three = np.where(self.c3 > 0, three, np.log10(a3[self.uv]) + two[self.vw])
+        score = two[self.pair_of]
+        score[self.inner] = three[self.triple_of]
+        base = np.log10((self.c1 + 1) / (words.n + words.v + 1))[self.tokens]
+        by_text = lambda x: np.add.reduceat(x, self.first)
+        return by_text((self.c1 > 0)[self.tokens].astype(np.int64)), by_text(base), by_text(score)
+
+
+def log_kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.log10(kept(np.maximum(c, 1), d))
+
+
+def sums(context: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, RANKS sums of each): how many of its n-grams have count 1 .. LOW, the sum of larger counts; the same of their lower orders. context ascends."""
+    at = runs(context) if len(context) else np.zeros(0, np.int64)
+    out = np.zeros((RANKS, len(at)), dtype=np.int64)
+    for k, x in enumerate((c, lower)):
+        for r in range(1, LOW + 2):
+            if len(at):
+                out[k * (LOW + 1) + r - 1] = np.add.reduceat((x == r).astype(np.int64) if r <= LOW else np.where(x > LOW, x, 0), at)
+    return context[at], out
+
+
+def weighted(table: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discounted counts that LOW + 1 rows of such sums stand for."""
+    return (table * (d * np.append(np.arange(1, LOW + 1), 1))[:, None]).sum(axis=0)
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers under 2^32: as they are, or their ranks."""
+    return x if not len(x) or int(x.max()) < 1 << 32 else np.unique(x, return_inverse=True)[1]
+
+
+def answer_ngrams(level: int, q: int, blocks: list[int], blobs: list[bytes]) -> list[tuple]:
+    """Counts of the pairs or triples of a bucket, and marks: 1 the first block to hold a training n-gram, 2 its context has n-grams that no training text holds."""
+    parts = [unpack(x) for x in blobs]
+    join = lambda i: np.concatenate([p[i].astype(np.int64) for p in parts])
+    ends = np.cumsum([0, *(len(p[-1]) for p in parts)])
+    context = narrow(join(0))
+    if level == 3:
+        _, context, _ = distinct(context.astype(np.uint64) << np.uint64(32) | narrow(join(1)).astype(np.uint64))
+    context = np.repeat(context, join(level - 1))
+    code = context.astype(np.uint64) << np.uint64(32) | narrow(join(level)).astype(np.uint64)
+    order = np.argsort(code, kind="stable")  # blocks in turn within an n-gram
+    train = join(level + 1)
+    at = runs(code[order])
+    count = np.add.reduceat(train[order], at)
+    of = np.empty(len(code), dtype=np.int64)
+    of[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(code)))
+    holds = order[train[order] > 0]
+    first = holds[runs(of[holds])] if len(holds) else holds
+    back_off = np.unique(context[order[at]][count == 0])
+    mark = np.zeros(len(code), dtype=np.uint8)
+    mark[first] = 1
+    place = np.searchsorted(back_off, context[first])
+    mark[first[(place < len(back_off)) & (back_off[np.minimum(place, len(back_off) - 1)] == context[first])] if len(back_off) else first[:0]] = 3
+    c = count[of]
+    out = [(f"counts{level}", b, q, pack(smallest(c[i:j]), mark[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:])]
+    return [*out, (f"tally{level}", -1, q, pack(np.bincount(np.minimum(count[count > 0], LOW + 2), minlength=LOW + 3)))]
+
+
+def answer_weights(level: int, q: int, blocks: list[int], blobs: list[bytes], d: np.ndarray, lower: np.ndarray) -> list[tuple]:
+    """For each context needed, the discounted counts of its words and those of their lower orders."""
+    parts = [[x.astype(np.int64) for x in unpack(b)] for b in blobs]
+    width = level - 1  # numbers in a context
+    name = lambda p, i: p[i] if width == 1 else None
+    held, wanted = ([np.concatenate([p[i + k] for p in parts]) for k in range(width)] for i in (0, width + RANKS))
+    both = [narrow(np.concatenate([h, w])).astype(np.uint64) for h, w in zip(held, wanted)]
+    code = both[0] if width == 1 else both[0] << np.uint64(32) | both[1]
+    _, of, _ = distinct(code)
+    n = len(held[0])
+    table = np.stack([np.bincount(of[:n], weights=np.concatenate([p[width + k] for p in parts]), minlength=int(of.max(initial=-1)) + 1) for k in range(RANKS)])
+    want = of[n:]
+    if not (table[:, want].sum(axis=0) > 0).all():
+        raise RuntimeError("a context is needed of which no block holds a word")
+    seen, low = weighted(table[: LOW + 1, want], d), weighted(table[LOW + 1 :, want], lower)
+    ends = np.cumsum([0, *(len(p[width + RANKS]) for p in parts)])
+    return [(f"weights{level}", b, q, pack(seen[i:j], low[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:]) if j > i]
+
+
+class Words:
+    """P(w) by a word's count: n tokens of v words, their discounts, and the part of words never seen."""
 
     def __init__(self, n: int, v: int, of_counts: dict[int, int]):
-        """n tokens of v words; of_counts: how many words have which count, up to LOW + 1."""
         self.n, self.v, self.d = n, v, discounts(of_counts)
         low = [r * of_counts.get(r, 0) for r in range(1, LOW + 1)]
-        kept = sum(x * y for x, y in zip(low, self.d)) + (n - sum(low)) * self.d[LOW]
-        self.unknown = 1 - kept / n if n else 1.0
-
-    def mass(self, c):
-        return self.d[np.minimum(c, LOW + 1) - 1] * c / max(self.n, 1)
+        held = sum(x * y for x, y in zip(low, self.d)) + (n - sum(low)) * self.d[LOW]
+        self.unknown = 1 - held / n if n else 1.0
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.mass(np.maximum(c, 1)), self.unknown)
-
-
-def bucket_rows(blocks: list[str], blobs: list[bytes], words: Unigrams, hot: HotWords) -> Iterator[tuple[str, str, bytes]]:
-    """(kind, block, packed) of a bucket: sums by document, occurrences of unseen pairs, sums by context, counts of counts."""
-    b = Bucket(blobs, hot)
-    seen, end = b.c > 0, b.w == END
-    value = np.where(seen, np.log10(np.maximum(b.c, 1)), np.log10(words.p(b.c_w)))
-    # each token but the end is the context of the next: its count goes under the pair that follows
-    value -= np.where(~end & (b.c_w > 0), np.log10(np.maximum(b.c_w, 1)), 0)
-    ranks = np.minimum(b.c, LOW + 1)
-    docs, place = np.unique(b.doc, return_inverse=True)
-    # a sum at a time: each is spread over the occurrences
-    spread = (np.bincount(place, weights=np.repeat(x, b.times), minlength=len(docs)) for x in (value, np.log10(b.c_w + 1), b.c_w > 0, *(ranks == r for r in range(1, LOW + 2))))
-    sums = [x if i < 2 else smallest(x.astype(np.int64)) for i, x in enumerate(spread)]
-    lost = np.repeat(~seen, b.times)
-    lost_v, lost_doc = np.repeat(b.v, b.times)[lost], b.doc[lost]
-    order = np.argsort(lost_doc, kind="stable")
-    lost_v, lost_doc = lost_v[order], lost_doc[order]
-    cuts, lost_cuts = np.searchsorted(docs, b.base), np.searchsorted(lost_doc, b.base)
-    for i, block in enumerate(blocks):
-        part = slice(cuts[i], cuts[i + 1])
-        yield "docs", block, pack(smallest(docs[part] - b.base[i]), *[x[part] for x in sums])
-        part = slice(lost_cuts[i], lost_cuts[i + 1])
-        if part.stop > part.start:
-            yield "lost", block, pack(lost_v[part], smallest(lost_doc[part] - b.base[i]))
-    if len(b.pair_v):
-        order = np.argsort(b.pair_v, kind="stable")
-        pv, pc, low = b.pair_v[order], b.pair_c[order], words.mass(b.pair_c_w[order])
-        at = np.flatnonzero(np.append(True, pv[1:] != pv[:-1]))
-        by = lambda x: np.add.reduceat(x, at)
-        yield "contexts", "", pack(pv[at], by(low), smallest(by(np.where(pc > LOW, pc, 0))), *[smallest(by((pc == r).astype(np.int64))) for r in range(1, LOW + 1)])
-        yield "counts", "", pack(np.bincount(np.minimum(b.pair_c, LOW + 2), minlength=LOW + 3))
+        return np.where(c > 0, kept(np.maximum(c, 1), self.d) / max(self.n, 1), self.unknown)
 
 
 def training(id_col: str):
@@ -258,165 +449,100 @@ def training(id_col: str):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 7 != 2, F.lit(True))
 
 
-@contextmanager
-def same_splits(df: DataFrame):
-    """Within, files are split alike however many executors are left."""
-    conf, key = df.sparkSession.conf, "spark.sql.files.minPartitionNum"
-    before = conf.get(key, None)
-    conf.set(key, str(max(1, df.rdd.getNumPartitions())))
-    try:
-        yield
-    finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+def by_block(df: DataFrame, name: str, n: int) -> DataFrame:
+    """df written in n parts by block: tables of as many parts meet without an exchange."""
+    table = f"katz_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, "block").option("path", fresh(df.sparkSession, name)).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
-def release(df: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of queries that are over."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def exchanged(rows: DataFrame, answer: Callable[[int, list[int], list[bytes]], list[tuple]], name: str) -> DataFrame:
+    """(q, block, blob) -> the answers of the buckets q, written."""
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        return answers(answer(table.column("q")[0].as_py(), table.column("block").to_pylist(), table.column("blob").to_pylist()))
 
-def word_table(rows: DataFrame) -> DataFrame:
-    """rows(id, held, t) -> (word hash, count) of the training part, ends included."""
+    return written(rows.groupBy("q").applyInArrow(run, ANSWERS), name)
 
-    def make():
-        def batch(b: pa.RecordBatch) -> dict:
-            count: dict[bytes, int] = {}
-            n = 0
-            for held, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if not held:
-                    n += 1
-                    for w in t.encode().lower().split():
-                        count[w] = count.get(w, 0) + 1
-            return {"word": np.append(hashes(list(count)), END).view(np.int64), "n": np.array([*count.values(), n], dtype=np.int64)}
 
-        return batch
+def tallies(answered: DataFrame, kind: str) -> np.ndarray:
+    """The sum of a few numbers from each bucket."""
 
-    return by_batch(rows, "word bigint, n bigint", make).groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = 0
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                k = k + unpack(blob)[0]
+        if np.ndim(k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(k))), pa.array(k.astype(np.int64))], ["r", "k"])
+
+    got = {r: k for r, k in answered.where(F.col("kind") == kind).select("blob").mapInArrow(run, "r bigint, k bigint").groupBy("r").agg(F.sum("k")).collect()}
+    return np.array([got.get(r, 0) for r in range(LOW + 4)])
 
 
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz)."""
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz, three words)."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), (~training(id_col)).alias("held"), text_or_empty(text_col).alias("t"))
+    parts = max(8, 2 * rows.rdd.getNumPartitions())
+    blocks = by_block(rows.mapInArrow(cut, BLOCKS), "blocks", parts)
+    n_words, n_tokens, starts = total(blocks, F.sum("n_words"), F.sum("n_tokens"), F.sum("n_starts"))
+
+    def returned(answered: DataFrame, name: str) -> DataFrame:
+        """The answers of each block in a row."""
+        own = answered.where("block >= 0").repartition(parts, "block").groupBy("block")
+        return by_block(own.agg(F.collect_list(F.struct("kind", "q", "blob")).alias("answers")), name, parts)
+
+    def each(tables: list[DataFrame], use: Callable[[dict], Iterator[tuple]]) -> DataFrame:
+        """(q, block, blob) of what `use` makes of each block with its answers."""
+        joined = blocks
+        for k, t in enumerate(tables):
+            joined = joined.join(t.withColumnRenamed("answers", f"answers{k}"), "block")
+        columns, n = ["block", "held", "sizes", "words", "counts", "tokens"], len(tables)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
+                    row["answers"] = [x for i in range(n) for x in row.pop(f"answers{i}")]
+                    yield asked(list(use(row)))
+
+        return joined.select(*columns, *[f"answers{k}" for k in range(n)]).mapInArrow(run, "q int, block bigint, blob binary")
+
+    n1 = max(8, -(-n_words // BUCKET_ROWS))
+    answered = exchanged(each([], lambda row: ask_words(row, n1)), lambda q, b, x: answer_words(q, b, x, n1), "words")
+    tally = tallies(answered, "tally1")
+    words = Words(int(tally[-1]), int(tally[1:-1].sum()), dict(enumerate(tally[: LOW + 2].tolist())))
+    numbered = returned(answered, "numbered")
+
+    # about seven tenths of the tokens are pairs, and nine tenths triples, that their block holds once
+    n2, n3 = (max(8, -(-n_tokens * tenths // 10 // BUCKET_ROWS)) for tenths in (7, 9))
+    answered = exchanged(each([numbered], lambda row: Block(row, starts).ask(n2, n3)), lambda q, b, x: answer_ngrams(2 if q < n2 else 3, q if q < n2 else q - n2, b, x), "ngrams")
+    d2, d3 = (discounts(dict(enumerate(tallies(answered, f"tally{k}").tolist()))) for k in (2, 3))
+    counted = returned(answered, "counted")
+
+    n4 = max(8, -(-n_tokens * 3 // 10 // BUCKET_ROWS))
+
+    def known(row: dict) -> Block:
+        block = Block(row, starts)
+        block.look_up(row, n2, n3)
+        return block
+
+    d_of = {2: (d2, words.d), 3: (d3, d2)}
+    answered = exchanged(each([numbered, counted], lambda row: known(row).ask_weights(n4)), lambda q, b, x: answer_weights(2 if q < n4 else 3, q % n4, b, x, *d_of[2 if q < n4 else 3]), "weights")
+    weights = returned(answered, "weights")
+
     kind = docs.schema[id_col].dataType.simpleString()
-    words = written(word_table(rows), "words")
-    few = [F.count(F.when(F.col("n") == r, True)) for r in range(1, LOW + 2)]
-    n, v, *of_counts = total(words, F.sum("n"), F.count("*"), *few)
-    uni = Unigrams(n, v, dict(enumerate(of_counts, 1)))
-    starts = rows.where("not held").count()
-    shipped = docs.sparkSession.sparkContext.broadcast(HotWords([tuple(r) for r in words.where(F.col("n") >= HOT).collect()]))
-    release(docs)
-
-    names = ["q", "block", "blob", "ids", "n_tokens", "held"]
-    buckets = max(8, -(-int(uni.n * 1.2) // BUCKET_TOKENS))
-
-    def cut(turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number, block = 0, Block()
-        name = f"{TaskContext.get().partitionId()}"
-
-        def flush():
-            # the name also tells what the block holds: a pass that cut the texts otherwise would not go unseen
-            label = f"{name}-{number}-{crc32(repr((block.n, block.ids)).encode())}"
-            none = lambda t: pa.nulls(1, pa.list_(t))
-            for q, blob in block.rows(buckets, shipped.value):
-                if q % PASSES == turn:
-                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.array([blob], pa.binary()), none(pa.string()), none(pa.int64()), none(pa.bool_())], names)
-            # who is who in the block, to a bucket that does nothing else
-            q = -1 - (int(name) * 31 + number) % buckets
-            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([label]), pa.nulls(1, pa.binary()), pa.array([block.ids], pa.list_(pa.string())), pa.array([[len(t) + 1 for t in block.tokens]], pa.list_(pa.int64())), pa.array([block.held], pa.list_(pa.bool_()))], names)
+    joined = blocks.join(numbered.withColumnRenamed("answers", "a"), "block").join(counted.withColumnRenamed("answers", "b"), "block").join(weights.withColumnRenamed("answers", "c"), "block", "left")
 
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                for key, held, t in zip(*(c.to_pylist() for c in part.columns)):
-                    block.add(key, held, t)
-                    if block.n >= BLOCK_TOKENS or len(block.ids) >= BLOCK_DOCS:
-                        yield from flush()
-                        number, block = number + 1, Block()
-        if block.ids:
-            yield from flush()
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = int(pdf["q"].iloc[0])
-        if q < 0:
-            return pd.DataFrame({"kind": "who", "block": pdf["block"], "blob": None, "ids": pdf["ids"], "n_tokens": pdf["n_tokens"], "held": pdf["held"]})
-        pdf = pdf.sort_values("block")
-        got = list(bucket_rows(pdf["block"].tolist(), pdf["blob"].tolist(), uni, shipped.value))
-        return pd.DataFrame({"kind": [x[0] for x in got], "block": [x[1] for x in got], "blob": [x[2] for x in got], "ids": None, "n_tokens": None, "held": None})
-
-    passes = []
-    with same_splits(rows):
-        for turn in range(PASSES):
-            sent = rows.mapInArrow(partial(cut, turn), "q int, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>")
-            passes.append(written(sent.groupBy("q").applyInPandas(count, "kind string, block string, blob binary, ids array<string>, n_tokens array<bigint>, held array<boolean>"), "counted"))
-            release(docs)
-    who = [p.where("kind = 'who'").select("block") for p in passes]
-    if any(not who[0].exceptAll(w).isEmpty() or not w.exceptAll(who[0]).isEmpty() for w in who[1:]):
-        raise RuntimeError("the texts were read in another order by a later pass: write them to a table first")
-    counted = passes[0]
-    for p in passes[1:]:
-        counted = counted.unionByName(p.where("kind <> 'who'"))
-
-    # counts of counts of pairs: a few numbers from each bucket
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = np.zeros(LOW + 3, dtype=np.int64)
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                k += unpack(blob)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LOW + 3)), pa.array(k)], ["r", "k"])
-
-    of_pairs = counted.where("kind = 'counts'").select("blob").mapInArrow(tally, "r bigint, k bigint").groupBy("r").agg(F.sum("k")).collect()
-    d = discounts({r: k for r, k in of_pairs})
-
-    # contexts: what their seen pairs take, and what P gives the same words
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                v, low, high, *few = unpack(blob)
-                c = high.astype(np.int64) + sum((r + 1) * x.astype(np.int64) for r, x in enumerate(few))
-                kept = high * d[LOW] + sum((r + 1) * d[r] * x for r, x in enumerate(few))
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c), pa.array(kept.astype(np.float64)), pa.array(low)], ["v", "c", "kept", "low"])
-
-    def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, blob in zip(*(x.to_pylist() for x in b.columns)):
-                v, doc = unpack(blob)
-                code, times = np.unique(np.stack([v.view(np.int64), doc.astype(np.int64)]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(code[0]), pa.array([block] * len(times)), pa.array(code[1].astype(np.int32)), pa.array(times.astype(np.int32))], ["v", "block", "doc", "times"])
-
-    sums = counted.where("kind = 'contexts'").select("blob").mapInArrow(spread, "v bigint, c bigint, kept double, low double").groupBy("v").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept"), F.sum("low").alias("low"))
-    left = (1 - F.col("kept") / F.col("c")) / F.greatest(1 - F.col("low"), F.lit(1e-12))
-    contexts = written(sums.select("v", "c", left.alias("a")), "contexts")
-    lost = counted.where("kind = 'lost'").select("block", "blob").mapInArrow(unseen, "v bigint, block string, doc int, times int")
-    # the seen pair's denominator was taken off under every pair: give it back, and back off
-    back = lost.join(contexts, "v").groupBy("block", "doc").agg(F.sum(F.col("times") * (F.log10("c") + F.log10("a"))).alias("x"))
-    back = back.groupBy("block").agg(F.collect_list(F.struct("doc", "x")).alias("back"))  # a block's documents: BLOCK_DOCS at most
-
-    log_d = np.log10(d)
-    start = np.log10(starts) if starts else 0.0
-    n_all, base_n = uni.n, np.log10(uni.n + uni.v + 1)
-
-    parts = counted.where("kind = 'docs'").select("block", "blob")
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(blob) for blob in pdf["blob"]]
-        doc = np.concatenate([p[0].astype(np.int64) for p in parts])
-        got = [np.bincount(doc, weights=np.concatenate([p[i] for p in parts])) for i in range(1, LOW + 5)]
-        score = got[0] + sum(log_d[r] * got[3 + r] for r in range(LOW + 1)) - start
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "score": [score], "base": [got[1]], "known": [got[2].astype(np.int64)]})
-
-    sums = parts.groupBy("block").applyInPandas(added, "block string, score array<double>, base array<double>, known array<bigint>")
-    who = counted.where("kind = 'who'").select("block", "ids", "n_tokens", "held")
-    joined = who.join(sums, "block").join(back, "block", "left")
-    doc = F.posexplode(F.arrays_zip("ids", "n_tokens", "held", "score", "base", "known"))
-    flat = joined.withColumn("more", F.map_from_entries(F.coalesce("back", F.array().cast("array<struct<doc:int,x:double>>")))).select("more", doc.alias("at", "d"))
-    return flat.select(
-        F.col("d.ids").cast(kind).alias(id_col),
-        F.col("d.held").alias("held_out"),
-        F.col("d.n_tokens").alias("n_tokens"),
-        F.col("d.known").alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("d.base") - F.col("d.n_tokens") * float(base_n)).alias("base_score"),
-        (F.col("d.score") + F.coalesce(F.try_element_at("more", F.col("at")), F.lit(0.0))).alias("score"),
-    )
+            for k in range(batch.num_rows):
+                row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
+                row["answers"] = [x for c in "abc" for x in row[c] or ()]
+                block = known(row)
+                got = block.scores(row, n4, words, d2, d3)
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.string()), pa.array(row["held"], pa.bool_()), *(pa.array(x) for x in (block.sizes, *got))], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = joined.select("block", "ids", "held", "sizes", "tokens", "a", "b", "c").mapInArrow(finish, "id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select(F.col("id").cast(kind).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(words.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -73,53 +73,72 @@ def test_token_counts(odd):
 def brute_katz(rows):
     toks = lambda t: [*(t or "").encode().lower().split(), 0]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, ctx = Counter(), Counter(), Counter()
+    one, two, three, ctx = Counter(), Counter(), Counter(), Counter()
     for i, t in rows:
         if not held(i):
-            v = None
-            for w in toks(t):
+            u = v = None
+            for k, w in enumerate(toks(t)):
                 one[w] += 1
                 two[v, w] += 1
                 ctx[v] += 1
-                v = w
+                if k:
+                    three[u, v, w] += 1
+                u, v = v, w
     n, v_all = sum(one.values()), len(one)
-    d1, d2 = katz.discounts(Counter(one.values())), katz.discounts(Counter(two.values()))
+    d1, d2, d3 = (katz.discounts(Counter(x.values())) for x in (one, two, three))
     d = lambda x, c: x[min(c, katz.LOW + 1) - 1]
-    unknown = 1 - sum(d(d1, c) * c for c in one.values()) / n
+    unknown = 1 - sum(d(d1, c) * c for c in one.values()) / n if n else 1.0
     p1 = lambda w: d(d1, one[w]) * one[w] / n if w in one else unknown
-    kept, low = Counter(), Counter()
+    left2, low2, left3, low3 = Counter(), Counter(), Counter(), Counter()
     for (v, w), c in two.items():
-        kept[v] += d(d2, c) * c
-        low[v] += p1(w)
-    a = {v: (1 - kept[v] / ctx[v]) / (1 - low[v]) for v in ctx}
-    p = lambda v, w: d(d2, two[v, w]) * two[v, w] / ctx[v] if (v, w) in two else a.get(v, 1) * p1(w)
-    for v in ctx:  # what the model gives all words and the unknown class
-        assert math.isclose(sum(p(v, w) for w in one) + a[v] * unknown, 1, rel_tol=1e-9)
+        left2[v] += d(d2, c) * c / ctx[v]
+        low2[v] += p1(w)
+    a2 = {v: (1 - left2[v]) / (1 - low2[v]) for v in ctx}
+    p2 = lambda v, w: d(d2, two[v, w]) * two[v, w] / ctx[v] if (v, w) in two else a2.get(v, 1) * p1(w)
+    for (u, v, w), c in three.items():
+        left3[u, v] += d(d3, c) * c / two[u, v]
+        low3[u, v] += p2(v, w)
+    a3 = {x: (1 - left3[x]) / (1 - low3[x]) for x in left3}
+    p3 = lambda u, v, w: d(d3, three[u, v, w]) * three[u, v, w] / two[u, v] if (u, v, w) in three else a3.get((u, v), 1) * p2(v, w)
+    for v in list(ctx)[:40]:  # what the model gives all words and the unknown class
+        assert math.isclose(sum(p2(v, w) for w in one) + a2[v] * unknown, 1, rel_tol=1e-9)
+    for u, v in list(a3)[:40]:
+        assert math.isclose(sum(p3(u, v, w) for w in one) + a3[u, v] * a2[v] * unknown, 1, rel_tol=1e-9)
     out = []
     for i, t in rows:
-        v, score, base, known = None, 0.0, 0.0, 0
-        for w in toks(t):
-            score += math.log10(p(v, w))
+        u, v, score, base, known = None, None, 0.0, 0.0, 0
+        for k, w in enumerate(toks(t)):
+            score += math.log10(p3(u, v, w) if k else p2(None, w))
             base += math.log10((one.get(w, 0) + 1) / (n + v_all + 1))
             known += w in one
-            v = w
+            u, v = v, w
         out.append((i, held(i), len(toks(t)), known, n, base, score))
     return out
 
 
-@pytest.mark.parametrize("hot", [250_000, 20])
-def test_katz(docs, odd, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "block", "bucket"), [(1_000_000, 2_000_000, 2_000_000), (20, 700, 300), (1, 200, 100)])
+def test_katz(docs, odd, monkeypatch, hot, block, bucket):
+    """Scores against the recursion by hand: in one block and in many, with contexts spread over buckets."""
     monkeypatch.setattr(katz, "HOT", hot)
-    monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(katz, "BUCKET_ROWS", bucket)
     rng = random.Random(2)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(r["doc_id"], r["text"]) for r in odd.collect()]
+    rows += [(400 + i, t) for i, (_, t) in enumerate(rows[:60])]  # texts that occur twice
     got = sorted(map(tuple, katz.katz_scores(docs(rows)).collect()), key=str)
     want = sorted(brute_katz(rows), key=str)
     key = lambda x: (str(x[0]), x[2])
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert g[:5] == w[:5]
         assert math.isclose(g[5], w[5], rel_tol=1e-9) and math.isclose(g[6], w[6], rel_tol=1e-9)
+
+
+def test_katz_empty(docs, odd):
     assert katz.katz_scores(odd.limit(0)).count() == 0
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = katz.katz_scores(docs([(i, "a b a") for i in held])).collect()  # no training text
+    assert {(r["train_tokens"], r["n_known"], r["score"]) for r in got} == {(0, 0, 0.0)}
+    assert sorted(map(tuple, katz.katz_scores(docs([(held[0], ""), (1, None)])).collect())) == sorted(brute_katz([(held[0], ""), (1, None)]))
 
 
 BAD = ["idiot", "scum", "trash", "moron", "loser", "clown", "stupid", "worthless"]
