@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import slices, text_or_empty, total, written
+from cadenza.llm.common import slices, text_or_empty, total
 from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
@@ -66,6 +66,7 @@ RANKS = 2 * (LOW + 1)  # numbers summed up for a weight
 
 BLOCKS = "block bigint, ids array<string>, held array<boolean>, sizes binary, words binary, counts binary, tokens binary, n_words bigint, n_tokens bigint, n_starts bigint"
 ASKED = pa.schema([("q", pa.int32()), ("block", pa.int64()), ("blob", pa.binary())])
+#: kind: what the blob has; block: whose it is, below 0 for a bucket's counts of counts.
 ANSWERS = "kind string, block bigint, q int, blob binary"
 ANSWERED = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("q", pa.int32()), ("blob", pa.binary())])
 
@@ -233,7 +234,7 @@ def answer_words(q: int, blocks: list[int], blobs: list[bytes], n: int) -> list[
     gid = 1 + rank * n + q
     out = [("words", b, q, pack(smallest(gid[of[i:j]]), smallest(count[of[i:j]]))) for b, i, j in zip(blocks, ends[:-1], ends[1:])]
     tally = np.bincount(np.minimum(count, LOW + 2), minlength=LOW + 3)
-    return [*out, ("tally1", -1, q, pack(np.append(tally, count.sum())))]
+    return [*out, ("tally1", -1 - q, q, pack(np.append(tally, count.sum())))]
 
 
 # pairs and triples
@@ -316,8 +317,8 @@ class Block:
         three = np.unique(self.uv[(self.c3 == 0) & (self.c2[self.uv] > 0)])
         return two, three
 
-    def ask_weights(self, n: int) -> Iterator[tuple[int, int, bytes]]:
-        """Sums of the n-grams that it is first to hold, by context, and the contexts that it needs, to n buckets for each order."""
+    def ask_weights(self, n: int, tokens: int) -> Iterator[tuple[int, int, bytes]]:
+        """Sums of the n-grams that it is first to hold, by context, and the contexts that it needs with their counts and their ends', to n buckets for each order."""
         need2, need3 = self.contexts()
         own = np.flatnonzero((self.mark2 & 1 > 0) & ((self.mark2 & 2 > 0) | self.hot2))
         sums2 = sums(self.v[own], self.c2[own], self.c1[self.w[own]])
@@ -325,12 +326,14 @@ class Block:
         sums3 = sums(self.uv[own], self.c3[own], self.c2[self.vw[own]])
         names2 = lambda x: (self.gid[x],)
         names3 = lambda x: (self.gid[self.v[x]], self.gid[self.w[x]])
-        for base, names, (context, table), need in ((0, names2, sums2, need2), (n, names3, sums3, need3)):
+        counts2 = (self.c1[need2], np.full(len(need2), tokens))
+        counts3 = (self.c2[need3], self.c1[self.w[need3]])
+        for base, names, (context, table), need, counts in ((0, names2, sums2, need2, counts2), (n, names3, sums3, need3, counts3)):
             (o, a), (p, b) = (cuts_of((mixed(*names(x)) % np.uint64(n)).astype(np.int64), n) for x in (context, need))
             for q in range(n):
                 i, j = o[a[q] : a[q + 1]], p[b[q] : b[q + 1]]
                 if len(i) or len(j):
-                    yield base + q, self.number, pack(*(smallest(x) for x in (*names(context[i]), *table[:, i], *names(need[j]))))
+                    yield base + q, self.number, pack(*(smallest(x) for x in (*names(context[i]), *table[:, i], *names(need[j]), counts[0][j], counts[1][j])))
 
     def scores(self, row: dict, n: int, words: "Words", d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text the tokens known, the add-one score and the model's."""
@@ -342,11 +345,7 @@ class Block:
             for x in row["answers"]:
                 if x["kind"] == f"weights{level}":
                     at = need[order[cuts[x["q"]] : cuts[x["q"] + 1]]]
-                    seen, lower = unpack(x["blob"])
-                    if level == 2:
-                        a2[at] = (1 - seen / self.c1[at]) / np.maximum(1 - lower / words.n, 1e-12)
-                    else:
-                        a3[at] = (1 - seen / self.c2[at]) / np.maximum(1 - lower / self.c1[self.w[at]], 1e-12)
+                    (a2 if level == 2 else a3)[at] = unpack(x["blob"])[0]
         one = np.log10(words.p(self.c1))
         two = log_kept(self.c2, d2) - np.log10(np.maximum(self.c1[self.v], 1))
         two = np.where(self.c2 > 0, two, np.log10(a2[self.v]) + one[self.w])
@@ -409,14 +408,13 @@ def answer_ngrams(level: int, q: int, blocks: list[int], blobs: list[bytes]) ->
     mark[first[(place < len(back_off)) & (back_off[np.minimum(place, len(back_off) - 1)] == context[first])] if len(back_off) else first[:0]] = 3
     c = count[of]
     out = [(f"counts{level}", b, q, pack(smallest(c[i:j]), mark[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:])]
-    return [*out, (f"tally{level}", -1, q, pack(np.bincount(np.minimum(count[count > 0], LOW + 2), minlength=LOW + 3)))]
+    return [*out, (f"tally{level}", -1 - q, q, pack(np.bincount(np.minimum(count[count > 0], LOW + 2), minlength=LOW + 3)))]
 
 
 def answer_weights(level: int, q: int, blocks: list[int], blobs: list[bytes], d: np.ndarray, lower: np.ndarray) -> list[tuple]:
-    """For each context needed, the discounted counts of its words and those of their lower orders."""
+    """The weight of each context needed: what its words leave, over what the lower order leaves without them."""
     parts = [[x.astype(np.int64) for x in unpack(b)] for b in blobs]
     width = level - 1  # numbers in a context
-    name = lambda p, i: p[i] if width == 1 else None
     held, wanted = ([np.concatenate([p[i + k] for p in parts]) for k in range(width)] for i in (0, width + RANKS))
     both = [narrow(np.concatenate([h, w])).astype(np.uint64) for h, w in zip(held, wanted)]
     code = both[0] if width == 1 else both[0] << np.uint64(32) | both[1]
@@ -426,9 +424,10 @@ def answer_weights(level: int, q: int, blocks: list[int], blobs: list[bytes], d:
     want = of[n:]
     if not (table[:, want].sum(axis=0) > 0).all():
         raise RuntimeError("a context is needed of which no block holds a word")
-    seen, low = weighted(table[: LOW + 1, want], d), weighted(table[LOW + 1 :, want], lower)
+    count, below = (np.concatenate([p[2 * width + RANKS + k] for p in parts]) for k in (0, 1))
+    weight = (1 - weighted(table[: LOW + 1, want], d) / count) / np.maximum(1 - weighted(table[LOW + 1 :, want], lower) / below, 1e-12)
     ends = np.cumsum([0, *(len(p[width + RANKS]) for p in parts)])
-    return [(f"weights{level}", b, q, pack(seen[i:j], low[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:]) if j > i]
+    return [(f"weights{level}", b, q, pack(weight[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:]) if j > i]
 
 
 class Words:
@@ -456,14 +455,19 @@ def by_block(df: DataFrame, name: str, n: int) -> DataFrame:
     return df.sparkSession.table(table)
 
 
-def exchanged(rows: DataFrame, answer: Callable[[int, list[int], list[bytes]], list[tuple]], name: str) -> DataFrame:
-    """(q, block, blob) -> the answers of the buckets q, written."""
+def exchanged(rows: DataFrame, answer: Callable[[int, list[int], list[bytes]], list[tuple]], name: str, parts: int) -> DataFrame:
+    """(q, block, blob) -> the answers of the buckets q, a table by block."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
         return answers(answer(table.column("q")[0].as_py(), table.column("block").to_pylist(), table.column("blob").to_pylist()))
 
-    return written(rows.groupBy("q").applyInArrow(run, ANSWERS), name)
+    return by_block(rows.groupBy("q").applyInArrow(run, ANSWERS).repartition(parts, "block"), name, parts)
+
+
+def gathered(answered: DataFrame) -> DataFrame:
+    """The answers of each block in a row."""
+    return answered.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("kind", "q", "blob")).alias("answers"))
 
 
 def tallies(answered: DataFrame, kind: str) -> np.ndarray:
@@ -488,16 +492,11 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocks = by_block(rows.mapInArrow(cut, BLOCKS), "blocks", parts)
     n_words, n_tokens, starts = total(blocks, F.sum("n_words"), F.sum("n_tokens"), F.sum("n_starts"))
 
-    def returned(answered: DataFrame, name: str) -> DataFrame:
-        """The answers of each block in a row."""
-        own = answered.where("block >= 0").repartition(parts, "block").groupBy("block")
-        return by_block(own.agg(F.collect_list(F.struct("kind", "q", "blob")).alias("answers")), name, parts)
-
     def each(tables: list[DataFrame], use: Callable[[dict], Iterator[tuple]]) -> DataFrame:
         """(q, block, blob) of what `use` makes of each block with its answers."""
         joined = blocks
         for k, t in enumerate(tables):
-            joined = joined.join(t.withColumnRenamed("answers", f"answers{k}"), "block")
+            joined = joined.join(gathered(t).withColumnRenamed("answers", f"answers{k}"), "block")
         columns, n = ["block", "held", "sizes", "words", "counts", "tokens"], len(tables)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -510,30 +509,28 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return joined.select(*columns, *[f"answers{k}" for k in range(n)]).mapInArrow(run, "q int, block bigint, blob binary")
 
     n1 = max(8, -(-n_words // BUCKET_ROWS))
-    answered = exchanged(each([], lambda row: ask_words(row, n1)), lambda q, b, x: answer_words(q, b, x, n1), "words")
-    tally = tallies(answered, "tally1")
+    numbered = exchanged(each([], lambda row: ask_words(row, n1)), lambda q, b, x: answer_words(q, b, x, n1), "numbered", parts)
+    tally = tallies(numbered, "tally1")
     words = Words(int(tally[-1]), int(tally[1:-1].sum()), dict(enumerate(tally[: LOW + 2].tolist())))
-    numbered = returned(answered, "numbered")
 
     # about seven tenths of the tokens are pairs, and nine tenths triples, that their block holds once
     n2, n3 = (max(8, -(-n_tokens * tenths // 10 // BUCKET_ROWS)) for tenths in (7, 9))
-    answered = exchanged(each([numbered], lambda row: Block(row, starts).ask(n2, n3)), lambda q, b, x: answer_ngrams(2 if q < n2 else 3, q if q < n2 else q - n2, b, x), "ngrams")
-    d2, d3 = (discounts(dict(enumerate(tallies(answered, f"tally{k}").tolist()))) for k in (2, 3))
-    counted = returned(answered, "counted")
+    counted = exchanged(each([numbered], lambda row: Block(row, starts).ask(n2, n3)), lambda q, b, x: answer_ngrams(2 if q < n2 else 3, q if q < n2 else q - n2, b, x), "counted", parts)
+    d2, d3 = (discounts(dict(enumerate(tallies(counted, f"tally{k}").tolist()))) for k in (2, 3))
 
-    n4 = max(8, -(-n_tokens * 3 // 10 // BUCKET_ROWS))
+    n4, d_of, n_all = max(8, -(-n_tokens * 3 // 10 // BUCKET_ROWS)), {2: (d2, words.d), 3: (d3, d2)}, words.n
 
     def known(row: dict) -> Block:
         block = Block(row, starts)
         block.look_up(row, n2, n3)
         return block
 
-    d_of = {2: (d2, words.d), 3: (d3, d2)}
-    answered = exchanged(each([numbered, counted], lambda row: known(row).ask_weights(n4)), lambda q, b, x: answer_weights(2 if q < n4 else 3, q % n4, b, x, *d_of[2 if q < n4 else 3]), "weights")
-    weights = returned(answered, "weights")
+    weights = exchanged(each([numbered, counted], lambda row: known(row).ask_weights(n4, n_all)), lambda q, b, x: answer_weights(2 if q < n4 else 3, q % n4, b, x, *d_of[2 if q < n4 else 3]), "weights", parts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = blocks.join(numbered.withColumnRenamed("answers", "a"), "block").join(counted.withColumnRenamed("answers", "b"), "block").join(weights.withColumnRenamed("answers", "c"), "block", "left")
+    joined = blocks
+    for name, t in zip("abc", (numbered, counted, weights)):
+        joined = joined.join(gathered(t).withColumnRenamed("answers", name), "block", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
