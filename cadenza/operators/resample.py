@@ -1,7 +1,8 @@
 """Values at given times: as-of, nearest and interval-covering joins with gap fill.
 
-Points use running windows over the union of observations and grid, ordered by
-time within an annotation. Intervals find the grid points they cover without a
+Points go into the slots between grid points by a partial aggregate, so that no
+task sorts a long annotation; a running window over the slots that hold something
+then serves the grid. Intervals find the grid points they cover without a
 join: each observation is exploded over them, and the pick among overlapping
 ones is a partial aggregate. An explicit grid is an argument of the call, so its
 size doesn't grow with the data; a uniform one is computed by annotation.
@@ -9,6 +10,7 @@ size doesn't grow with the data; a uniform one is computed by annotation.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 
@@ -58,7 +60,8 @@ def to_times(corpus: Corpus, *, times: list[float] | None = None, sample_rate: f
         only = obs.where("obs_index = 0").select("annotation", value.alias("v"))
         found = grid.join(only, "annotation", "left")
     elif corpus.extent_type in POINTS:
-        found = _as_of(obs, grid, names) if method == "previous" else _nearest(obs, grid, names)
+        slots = _slotted(corpus, times, sample_rate)
+        found = _as_of(slots, grid, names) if method == "previous" else _nearest(slots, grid, names)
     else:
         covered = _covers(corpus, times, sample_rate, value)
         if overlap != "multiple":
@@ -116,8 +119,11 @@ def _wrong_fill(name: str, field: catalog.Field, x) -> str | None:
 
 def _explicit(corpus: Corpus, times: list[float]) -> DataFrame:
     """The same times for every annotation, in the caller's order, repeats kept."""
-    points = F.array(*[F.lit(float(t)) for t in times]) if times else F.array().cast("array<double>")
-    return corpus.headers.select("annotation", F.posexplode(points).alias("grid_index", "t"))
+    order = _ordered(times)
+    # a point that is no number has nothing at or before it
+    points = [F.struct(F.lit(float(t)).alias("t"), F.lit(-1 if math.isnan(t) else bisect.bisect_left(order, t)).alias("slot")) for t in times]
+    points = F.array(*points) if times else F.array().cast("array<struct<t:double,slot:int>>")
+    return corpus.headers.select("annotation", F.posexplode(points).alias("grid_index", "p")).select("annotation", "grid_index", "p.t", "p.slot")
 
 
 def _bounds(corpus: Corpus, rate: float) -> DataFrame:
@@ -134,37 +140,58 @@ def _bounds(corpus: Corpus, rate: float) -> DataFrame:
 def _uniform(corpus: Corpus, rate: float) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))
     rows = _bounds(corpus, rate).where("n > 0").select("annotation", "t0", at.alias("grid_index"))
-    return rows.select("annotation", F.col("grid_index").cast("int").alias("grid_index"), (F.col("t0") + F.col("grid_index") * F.lit(1.0 / rate)).alias("t"))
+    index = F.col("grid_index").cast("int")
+    return rows.select("annotation", index.alias("grid_index"), (F.col("t0") + F.col("grid_index") * F.lit(1.0 / rate)).alias("t"), index.alias("slot"))
 
 
-def _merged(obs: DataFrame, grid: DataFrame, value: Column) -> DataFrame:
-    """Observations and grid points in one table: is_grid tells which."""
-    none = F.lit(None)
-    a = obs.select("annotation", F.col("extent_time").alias("t"), F.lit(0).alias("is_grid"), none.cast("int").alias("grid_index"), value.alias("v"))
-    b = grid.select("annotation", "t", F.lit(1).alias("is_grid"), "grid_index", none.cast(a.schema["v"].dataType).alias("v"))
-    return a.where(~F.isnan("t")).unionByName(b)
+def _slotted(corpus: Corpus, times: list[float] | None, rate: float | None) -> DataFrame:
+    """Observations with their slot: the number of grid points before them. Grid points have one too, so t <= point where slot <= its slot."""
+    obs = corpus.observations.where(~F.isnan("extent_time"))
+    t = F.col("extent_time")
+    if times is not None:
+        points = F.array(*[F.lit(x) for x in _ordered(times)]).cast("array<double>")
+        return obs.withColumn("slot", F.size(F.filter(points, lambda p: p < t)))
+    t0, step = F.col("t0"), F.lit(1.0 / rate)
+    least = F.greatest(F.floor((t - t0) / step) - 1, F.lit(0).cast("long"))
+    before = [(t0 + (least + k) * step < t).cast("long") for k in range(3)]  # rounding moves it by one at most
+    rows = obs.join(_bounds(corpus, rate), "annotation").withColumn("slot", F.least(least + before[0] + before[1] + before[2], F.col("n")).cast("int"))
+    return rows.drop("t0", "n")
+
+
+def _ordered(times: list[float]) -> list[float]:
+    return sorted(float(t) for t in times if not math.isnan(t))
+
+
+def _over_slots(held: DataFrame, grid: DataFrame, **picks: tuple[str, bool]) -> DataFrame:
+    """Grid points with the largest of what the slots up to theirs hold, or behind it (True): columns name = (column, behind)."""
+    rows = grid.unionByName(held, allowMissingColumns=True)
+    own = F.col("grid_index").isNotNull().cast("int")  # up to a slot: what it holds comes first
+    window = Window.partitionBy("annotation")
+    order = {False: window.orderBy("slot", own), True: window.orderBy(F.desc("slot"), F.desc(own))}
+    found = {n: F.max(c).over(order[behind].rowsBetween(Window.unboundedPreceding, 0)) for n, (c, behind) in picks.items()}
+    return rows.withColumns(found).where("grid_index is not null")
+
+
+def _as_of(slots: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
+    """The highest index so far, by time."""
+    held = slots.groupBy("annotation", "slot").agg(F.max(F.struct("obs_index", *names)).alias("x"))
+    return _over_slots(held, grid, v=("x", False)).select("annotation", "grid_index", "t", "v")
 
 
-def _as_of(obs: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
-    """The highest index so far, by time: a running maximum."""
-    sofar = Window.partitionBy("annotation").orderBy("t", "is_grid").rowsBetween(Window.unboundedPreceding, 0)
-    rows = _merged(obs, grid, F.struct("obs_index", *names))
-    return rows.withColumn("v", F.max("v").over(sofar)).where("is_grid = 1").select("annotation", "grid_index", "t", "v")
+def _nearest(slots: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
+    """The last of those not after the point, the first of those after, and of the two the closer; of equal times the lowest index."""
+    value, index = F.struct("obs_index", *names).alias("v"), (-F.col("obs_index")).alias("i")
+    last = F.max(F.struct(F.col("extent_time").alias("k"), index, value)).alias("x")
+    first = F.max(F.struct((-F.col("extent_time")).alias("k"), index, value)).alias("y")
+    held = slots.groupBy("annotation", "slot").agg(last, first)
+    return _over_slots(held, grid, b=("x", False), a=("y", True)).select("annotation", "grid_index", "t", _closer().alias("v"))
 
 
-def _nearest(obs: DataFrame, grid: DataFrame, names: list[str]) -> DataFrame:
-    """The later of those before, the earlier of those after, and of the two the closer."""
-    rows = _merged(obs, grid, F.struct("obs_index", *names))
-    at, index = F.when(F.col("is_grid") == 0, F.col("t")), -F.col("v.obs_index")
-    seen = F.col("is_grid") == 0
-    rows = rows.withColumn("b", F.when(seen, F.struct(at.alias("k"), index.alias("i"), "v"))).withColumn("a", F.when(seen, F.struct((-at).alias("k"), index.alias("i"), "v")))
-    before = Window.partitionBy("annotation").orderBy("t", "is_grid").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("annotation").orderBy(F.desc("t"), "is_grid").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("b", F.max("b").over(before)).withColumn("a", F.max("a").over(after)).where("is_grid = 1")
+def _closer() -> Column:
+    """Of b (the last before) and a (the first behind) the one closer to t, of two as close the lower index."""
     d_b, d_a = F.abs(F.col("b.k") - F.col("t")), F.abs(-F.col("a.k") - F.col("t"))
     closer = F.col("b").isNull() | (d_a < d_b) | ((d_a == d_b) & (F.col("a.i") > F.col("b.i")))
-    v = F.when(F.col("a").isNull(), F.col("b.v")).when(closer, F.col("a.v")).otherwise(F.col("b.v"))
-    return rows.select("annotation", "grid_index", "t", v.alias("v"))
+    return F.when(F.col("a").isNull(), F.col("b.v")).when(closer, F.col("a.v")).otherwise(F.col("b.v"))
 
 
 def _covers(corpus: Corpus, times: list[float] | None, rate: float | None, value: Column) -> DataFrame:
