@@ -5,11 +5,15 @@ still undo it (`Merges.lookahead`). A long piece is read in windows; the tokens
 that end so far before the window's end are stable and go out, and reading goes
 on behind them. This is whole BPE: no merge crosses a boundary of the final
 result, so what stands left and right of one is encoded independently. Memory
-is a window, the vocabulary and a bounded cache of short pieces. Decoding is an
-incremental machine from bytes to text: a token may end inside a character.
+is a window, the vocabulary and a bounded cache of short pieces, beside the text
+itself, which a task reads whole, and its longest piece, which the pattern cuts
+out of it whole (a piece is a run of letters, of digits, of signs or of white
+space). Decoding is an incremental machine from bytes to text: a token may end
+inside a character.
 
 Rows: null text counts as empty (no ids); repeated rows are encoded each on its
-own; columns beside the id and the text are passed over.
+own; an empty table gives an empty result; columns beside the id and the text are
+passed over, whatever their names.
 """
 
 from __future__ import annotations

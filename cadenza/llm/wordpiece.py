@@ -6,8 +6,10 @@ on once the longest piece on the path is popped) and the number of pieces popped
 on the way there, so a word's token count comes from one pass over its bytes and
 no piece is ever built. Every byte is a piece, so nothing is unknown.
 
-Rows: a null or empty text has no words and no tokens; repeated rows are counted
-each on its own; columns beside the id and the text are not read.
+Rows: a null or empty text has no words and no tokens; a very long text is read
+whole in its task; repeated rows are counted each on its own; an empty table gives
+an empty result; columns beside the id and the text are not read, whatever their
+names.
 """
 
 from __future__ import annotations
