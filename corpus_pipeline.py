@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns the rows that stay, with the
 columns of documents; the last returns the tokens. Each is written as Parquet
 and read back before the next.
+
+Rows: a null text counts as empty in every stage: clean, a copy of other texts
+without words, without benchmark passages, without tokens. A null id stays a row.
+Repeated rows are judged alike; of near copies the row with the smallest id stays,
+of rows with one id the one whose text's hash is smallest, one row of those equal
+in both. Very long texts are read whole. Columns of any name are kept up to the
+last stage. An empty table gives an empty result.
 """
 
 from __future__ import annotations
