@@ -13,11 +13,12 @@ the texts' lengths. Of several texts of an id the one with the smallest hash
 counts, of several labels the largest grade.
 
 Labels of more than two grades are fitted as they are. Where labels tell toxic
-from clean only, `refined` splits the toxic texts into grades 1 to 3 by evidence
-that doesn't come from the text itself: the sample is cut in two by id, a model of
-two grades is fitted on each half, and each toxic text is graded by the other
-half's score of it, a third of them in each grade. The first threshold is thus
-that of the labels; the others order the toxic texts by how sure a stranger is.
+from clean only, `refined` grades the toxic texts 1 to 3 by evidence that doesn't
+come from their own labels: the sample is cut in two by id, and a toxic text is
+graded by how many of its words the other half knows from toxic texts alone (up to
+2, up to 4, more; known are words that at least 3 toxic texts and no clean one
+hold). The first threshold is thus that of the labels; the others order the toxic
+texts by how much a stranger would find in them.
 
 Rows: a null or empty text gets the severity of a text without features; a very
 long text is held whole in its task, its features are its distinct words; a label
@@ -115,24 +116,20 @@ class OrdinalModel:
         return cls({int(ids[use[j]]): float(w[j]) for j in np.flatnonzero(w)}, theta.tolist())
 
 
-def refined(toxic: np.ndarray, half: np.ndarray, rows: np.ndarray, cols: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 for labels that are 0 or 1: thirds of the toxic texts of each half by the other half's model.
+def refined(toxic: np.ndarray, half: np.ndarray, rows: np.ndarray, cols: np.ndarray, size: int) -> np.ndarray:
+    """Grades 0 to 3 for labels that are 0 or 1: of the toxic texts, by how many of their words the other half knows from toxic texts alone.
 
-    half: the half that a text is in; rows, cols, ids as in `OrdinalModel.fit`.
+    half: the half that a text is in; rows, cols: which text holds which of `size` words.
     """
     out = np.where(toxic > 0, 1, 0)
     for h in (0, 1):
-        learn = half[rows] != h
-        number = np.cumsum(half != h) - 1
-        model = OrdinalModel.fit(toxic[half != h], number[rows[learn]], cols[learn], ids)
-        weight = np.zeros(len(ids))
-        if model.weights:
-            place = {x: k for k, x in enumerate(ids.tolist())}
-            weight[[place[x] for x in model.weights]] = list(model.weights.values())
-        score = np.bincount(rows, weights=weight[cols], minlength=len(toxic))
-        own = np.flatnonzero((toxic > 0) & (half == h))
-        low, high = np.quantile(score[own], [1 / 3, 2 / 3]) if len(own) else (0.0, 0.0)
-        out[own] = 1 + (score[own] > low) + (score[own] > high)
+        strange = half[rows] != h
+        bad = np.bincount(cols[strange & (toxic[rows] > 0)], minlength=size)
+        clean = np.bincount(cols[strange & (toxic[rows] == 0)], minlength=size)
+        own = (bad >= 3) & (clean == 0)
+        hits = np.bincount(rows[own[cols]], minlength=len(toxic))
+        at = (toxic > 0) & (half == h)
+        out[at] += (hits[at] > 2).astype(int) + (hits[at] > 4)
     return out
 
 
@@ -166,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, max_f
     ids, cols = np.unique(words, return_inverse=True)
     cols = cols.astype(np.int32)
     if len(np.unique(grades)) == 2:
-        grades = refined((grades > grades.min()).astype(int), half, rows, cols, ids)
+        grades = refined((grades > grades.min()).astype(int), half, rows, cols, len(ids))
     return OrdinalModel.fit(grades, rows, cols, ids)
 
 
