@@ -58,8 +58,8 @@ from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 100_000
-BUCKET_ROWS = 2_000_000  # n-grams of blocks that a bucket gets, about
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 100_000
+BUCKET_ROWS = 1_000_000  # n-grams of blocks that a bucket gets, about
 HOT = 1_000_000  # occurrences of a context whose n-grams share a bucket
 END = np.uint64(2)  # no word hashes to it but by chance of 2^-63
 RANKS = 2 * (LOW + 1)  # numbers summed up for a weight
@@ -451,7 +451,9 @@ def training(id_col: str):
 def by_block(df: DataFrame, name: str, n: int) -> DataFrame:
     """df written in n parts by block: tables of as many parts meet without an exchange."""
     table = f"katz_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "block").option("path", fresh(df.sparkSession, name)).saveAsTable(table)
+    # the values are large and compressed: small row groups keep them out of memory, a dictionary has no use
+    options = {"path": fresh(df.sparkSession, name), "parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}
+    df.write.bucketBy(n, "block").options(**options).saveAsTable(table)
     return df.sparkSession.table(table)
 
 
