@@ -89,6 +89,28 @@ def eval_transcription(spark, sf_dir):
     return _rounded(evaluate(*_pairs(_notes(spark, sf_dir)), onset_tolerance=600.0, pitch_tolerance=1200.0))
 
 
+@query("""with own as (select user_id, event_id, epoch_us(ts) / 1e6 as s, epoch_us(ts) / 1e6 + 30.0 as e, event_id % 11 = 0 as gone, cast(event_id % 5 as double) * 0.02 as late, cast(event_id % 3 as double) * 40 <= 50 as pitch, cast(event_id % 7 as double) as longer from events),
+  pairs as (select *, not gone and round(late, 9) <= 0.05 as onset_, not gone and round(late + longer, 9) <= 6.0 as stop, (30.0 - late) / (30.0 + late + longer) as share from own),
+  n as (select user_id, count(*) as n_ref, count(*) filter (where not gone) as n_est, count(*) filter (where onset_) as on_, count(*) filter (where stop) as off_, count(*) filter (where onset_ and pitch) as plain,
+    count(*) filter (where onset_ and pitch and stop) as whole, coalesce(avg(share) filter (where onset_ and pitch), 0.0) as share_plain, coalesce(avg(share) filter (where onset_ and pitch and stop), 0.0) as share_whole from pairs group by user_id),
+  m as (select user_id, k.post, k.pre, case k.kind when 0 then whole when 1 then plain when 2 then on_ else off_ end as hits, case k.kind when 0 then share_whole else share_plain end as share, k.kind, n_ref, n_est
+    from n, (values (0, '', ''), (1, '', '_no_offset'), (2, 'Onset_', ''), (3, 'Offset_', '')) k(kind, pre, post))
+  select 'user:' || user_id as media_id, 'transcription' as task, pre || f.name || post as metric, round(case f.name when 'Precision' then case when n_est > 0 then hits / n_est else 0.0 end when 'Recall' then hits / n_ref
+    when 'F-measure' then case when hits > 0 then 2.0 * hits / (n_ref + n_est) else 0.0 end else share end, 6) as value
+  from m, (values ('Precision'), ('Recall'), ('F-measure'), ('Average_Overlap_Ratio')) f(name) where f.name <> 'Average_Overlap_Ratio' or kind < 2""")
+def eval_notes_moved(spark, sf_dir):
+    """Notes hours apart against themselves, some late, longer, out of tune or gone: each has one partner at most."""
+    events = A.with_index(A.read(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    time = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / F.lit(1e6)
+    k = F.col("event_id")
+    rows = events.select(F.col("user_id").alias("annotation"), "obs_index", time.alias("t"), k)
+    ref = rows.select("annotation", "obs_index", F.col("t").alias("extent_time"), F.lit(30.0).alias("extent_duration"), F.lit(440.0).alias("payload_value"))
+    late, longer = (k % 5).cast("double") * 0.02, (k % 7).cast("double")
+    est = rows.where(k % 11 != 0).select("annotation", "obs_index", (F.col("t") + late).alias("extent_time"), (longer + 30.0).alias("extent_duration"), (F.lit(440.0) * F.pow(F.lit(2.0), (k % 3).cast("double") * 40 / 1200)).alias("payload_value"))
+    headers = Corpus.build(ref, "note_hz", "time_interval", media="user:").headers
+    return _rounded(evaluate(*(Corpus.build(x, "note_hz", "time_interval", headers=headers) for x in (ref, est))))
+
+
 @query(f"""with recursive {USERS}, {_walk("w", 600.0)}
   select media_id, 'transcription' as task, 'Onset_Precision' as metric, round(p, 6) as value from prf_w
   union all select media_id, 'transcription', 'Onset_Recall', round(r, 6) from prf_w
@@ -142,7 +164,23 @@ def eval_segment(spark, sf_dir):
     return _rounded(scores).withColumn("value", F.col("value") + 0.0)
 
 
-@query()
+def _triplets(name: str, a: str, b: str) -> str:
+    """For each turn q as query (ten equal frames), pairs of frames that depth a ranks and the share that b ranks alike, as the mean over q's frames."""
+    return f"""{name} as (select conv_id, avg(hit / every) as x from (
+    select l.conv_id, l.q, sum(l.w * h.w) as every, sum(case when l.{b} < h.{b} then l.w * h.w else 0 end) as hit from depths l join depths h on h.conv_id = l.conv_id and h.q = l.q and l.{a} < h.{a} group by l.conv_id, l.q) s
+    group by conv_id)"""
+
+
+@query(f"""with turns as (select a.conv_id, a.turn, a.role as r, b.role as e from conversations a left join conversations b on b.conv_id = a.conv_id + 1 and b.turn = a.turn where a.conv_id + 1 in (select conv_id from conversations)),
+  depths as (select q.conv_id, q.turn as q, 10.0 - (i.turn = q.turn)::int as w, case when i.turn = q.turn then 1 + q.turn % 2 else 0 end as tr, case when i.turn = q.turn and q.e is not null then 1 + q.turn % 2 else 0 end as te,
+      case when i.turn % 2 = q.turn % 2 and i.r = q.r then 1 + q.turn % 2 else 0 end as lr, case when i.turn % 2 = q.turn % 2 and i.e = q.e then 1 + q.turn % 2 else 0 end as le
+    from turns q join turns i on i.conv_id = q.conv_id),
+  {_triplets("t_recall", "tr", "te")}, {_triplets("t_precision", "te", "tr")}, {_triplets("l_recall", "lr", "le")}, {_triplets("l_precision", "le", "lr")},
+  both_ as (select c.conv_id, coalesce(tr.x, 0.0) as tr, coalesce(tp.x, 0.0) as tp, coalesce(lr.x, 0.0) as lr, coalesce(lp.x, 0.0) as lp from (select distinct conv_id from turns) c
+    left join t_recall tr on tr.conv_id = c.conv_id left join t_precision tp on tp.conv_id = c.conv_id left join l_recall lr on lr.conv_id = c.conv_id left join l_precision lp on lp.conv_id = c.conv_id)
+  select 'conversation:' || conv_id as media_id, 'hierarchy' as task, n.name as metric, round(case when n.name like 'T-P%' then tp when n.name like 'T-R%' then tr when n.name like 'T-M%' then case when tp + tr > 0 then 2 * tp * tr / (tp + tr) else 0.0 end
+    when n.name = 'L-Precision' then lp when n.name = 'L-Recall' then lr else case when lp + lr > 0 then 2 * lp * lr / (lp + lr) else 0.0 end end, 6) as value
+  from both_, (values ('T-Precision reduced'), ('T-Recall reduced'), ('T-Measure reduced'), ('T-Precision full'), ('T-Recall full'), ('T-Measure full'), ('L-Precision'), ('L-Recall'), ('L-Measure')) n(name)""")
 def eval_hierarchy(spark, sf_dir):
     return _rounded(evaluate(*_pairs(A.segments(spark, sf_dir)), task="hierarchy"))
 
