@@ -99,12 +99,25 @@ def steps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=a.dtype.type(0))
 
 
+def climbs(a: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers that ascend from each start to the next, as differences; at a start as they are."""
+    out = np.diff(a, prepend=a.dtype.type(0))
+    out[starts] = a[starts]
+    return out
+
+
+def climbed(d: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers that `climbs` made differences of."""
+    total = np.cumsum(d)
+    return total - np.repeat(total[starts] - d[starts], sizes)
+
+
 def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, ascending; which of them each is; one place of each)."""
     order = np.argsort(code)
     ordered = code[order]
     new = np.append(True, ordered[1:] != ordered[:-1])[: len(code)]
-    of = np.empty(len(code), dtype=np.int64)
+    of = np.empty(len(code), dtype=np.int32 if len(code) < 1 << 31 else np.int64)
     of[order] = np.cumsum(new) - 1
     return ordered[new], of, order[new]
 
@@ -243,54 +256,64 @@ def answer_words(q: int, blocks: list[int], blobs: list[bytes], n: int) -> list[
 class Block:
     """A block with its words' numbers and counts, and its distinct pairs and triples.
 
-    A token's pair is it and the token before, or the start (place W of gid and
-    c1); its triple is the pair before it and itself, which the first has not.
+    Words stand in the order of their numbers, behind the start. A token's pair is
+    it and the token before, or the start; its triple is the pair before it and
+    itself, which the first has not.
     """
 
     def __init__(self, row: dict, starts: int):
         self.number = row["block"]
         self.sizes = unpack(row["sizes"])[0].astype(np.int64)
-        self.tokens = unpack(row["tokens"])[0].astype(np.int64)
         answered = sorted((x for x in row["answers"] if x["kind"] == "words"), key=lambda x: x["q"])
         words = [unpack(x["blob"]) for x in answered]
-        self.gid = np.concatenate([*(w[0].astype(np.int64) for w in words), [0]])
-        self.c1 = np.concatenate([*(w[1].astype(np.int64) for w in words), [starts]])
+        gid = np.concatenate([w[0].astype(np.int64) for w in words])
+        order = np.argsort(gid)
+        self.gid = np.append(0, gid[order])
+        self.c1 = np.append(starts, np.concatenate([w[1].astype(np.int64) for w in words])[order])
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(1, len(order) + 1)
+        self.tokens = place[unpack(row["tokens"])[0]]
         self.first = np.cumsum(self.sizes) - self.sizes
         self.trains = ~np.repeat(np.array(row["held"], dtype=bool), self.sizes)
-        start, width = len(self.gid) - 1, len(self.gid)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[self.first] = start
-        code, self.pair_of, _ = distinct(before * width + self.tokens)
-        self.v, self.w = np.divmod(code, width)
+        width = len(self.gid)
+        before = np.append(np.int32(0), self.tokens[:-1])
+        before[self.first] = 0
+        code, self.pair_of, _ = distinct(before.astype(np.int64) * width + self.tokens)
+        self.v, self.w = (x.astype(np.int32) for x in np.divmod(code, width))
         inner = np.ones(len(self.tokens), dtype=bool)
         inner[self.first] = False
         self.inner = np.flatnonzero(inner)
-        code, self.triple_of, place = distinct(self.pair_of[self.inner - 1] * width + self.tokens[self.inner])
-        self.uv, self.w3 = np.divmod(code, width)
-        self.vw = self.pair_of[self.inner[place]]  # the pair at the end of a triple
+        code, self.triple_of, at = distinct(self.pair_of[self.inner - 1].astype(np.int64) * width + self.tokens[self.inner])
+        self.uv, self.w3 = (x.astype(np.int32) for x in np.divmod(code, width))
+        self.vw = self.pair_of[self.inner[at]]  # the pair at the end of a triple
         self.hot2 = self.c1[self.v] >= HOT
-        self.bound3 = np.minimum(self.c1[self.v[self.uv]], self.c1[self.w[self.uv]])  # of the count of its context
-        self.hot3 = self.bound3 >= HOT
+        self.bound = np.minimum(self.c1[self.v], self.c1[self.w])  # of a pair's count
+        self.hot3 = self.bound[self.uv] >= HOT
+
+    def spread(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """A part of those that a word or pair of so many occurrences is dealt into, by words x."""
+        return mixed(self.gid[x]) % (count // HOT + 1).astype(np.uint64)
 
     def buckets2(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        spread = mixed(self.gid[self.w]) % (self.c1[self.v] // HOT + 1).astype(np.uint64)
-        return cuts_of(((mixed(self.gid[self.v]) + spread) % np.uint64(n)).astype(np.int64), n)
+        return cuts_of(((mixed(self.gid[self.v]) + self.spread(self.w, self.c1[self.v])) % np.uint64(n)).astype(np.int64), n)
+
+    def of_pairs(self) -> np.ndarray:
+        """A hash of pairs' first words; a frequent one's pairs are dealt by their second."""
+        return mixed(self.gid[self.v]) + self.spread(self.w, self.c1[self.v])
 
     def buckets3(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        spread = mixed(self.gid[self.w3]) % (self.bound3 // HOT + 1).astype(np.uint64)
-        context = mixed(self.gid[self.v], self.gid[self.w])[self.uv]
-        return cuts_of(((context + spread) % np.uint64(n)).astype(np.int64), n)
+        spread = self.spread(self.w3, self.bound[self.uv]) * np.uint64(7919)
+        return cuts_of(((self.of_pairs()[self.uv] + spread) % np.uint64(n)).astype(np.int64), n)
 
     def ask(self, n2: int, n3: int) -> Iterator[tuple[int, int, bytes]]:
-        """Its pairs to the first n2 buckets, its triples to n3 others: contexts, words of each, words, training counts."""
+        """Its pairs to the first n2 buckets, its triples to n3 others: words and pairs in order, how many follow each, training counts."""
         counts = np.bincount(self.pair_of[self.trains], minlength=len(self.v))
         order, cuts = self.buckets2(n2)
         for q in range(n2):
             at = order[cuts[q] : cuts[q + 1]]
             if len(at):
                 new = runs(self.v[at])
-                yield q, self.number, pack(smallest(self.gid[self.v[at[new]]]), smallest(np.diff(new, append=len(at))), smallest(self.gid[self.w[at]]), smallest(counts[at]))
+                yield q, self.number, pack(smallest(steps(self.gid[self.v[at[new]]])), smallest(np.diff(new, append=len(at))), smallest(climbs(self.gid[self.w[at]], new)), smallest(counts[at]))
         counts = np.bincount(self.triple_of[self.trains[self.inner]], minlength=len(self.uv))
         order, cuts = self.buckets3(n3)
         for q in range(n3):
@@ -298,7 +321,11 @@ class Block:
             if len(at):
                 new = runs(self.uv[at])
                 pair = self.uv[at[new]]
-                yield n2 + q, self.number, pack(smallest(self.gid[self.v[pair]]), smallest(self.gid[self.w[pair]]), smallest(np.diff(new, append=len(at))), smallest(self.gid[self.w3[at]]), smallest(counts[at]))
+                head = runs(self.v[pair])
+                yield n2 + q, self.number, pack(
+                    smallest(steps(self.gid[self.v[pair[head]]])), smallest(np.diff(head, append=len(pair))), smallest(climbs(self.gid[self.w[pair]], head)),
+                    smallest(np.diff(new, append=len(at))), smallest(climbs(self.gid[self.w3[at]], new)), smallest(counts[at]),
+                )
 
     def look_up(self, row: dict, n2: int, n3: int) -> None:
         """Takes the counts c2 and c3, and the marks (see `answer_ngrams`), from the answers."""
@@ -317,6 +344,10 @@ class Block:
         three = np.unique(self.uv[(self.c3 == 0) & (self.c2[self.uv] > 0)])
         return two, three
 
+    def buckets4(self, contexts: np.ndarray, pairs: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
+        hashed = self.of_pairs()[contexts] if pairs else mixed(self.gid[contexts])
+        return cuts_of((hashed % np.uint64(n)).astype(np.int64), n)
+
     def ask_weights(self, n: int, tokens: int) -> Iterator[tuple[int, int, bytes]]:
         """Sums of the n-grams that it is first to hold, by context, and the contexts that it needs with their counts and their ends', to n buckets for each order."""
         need2, need3 = self.contexts()
@@ -329,19 +360,18 @@ class Block:
         counts2 = (self.c1[need2], np.full(len(need2), tokens))
         counts3 = (self.c2[need3], self.c1[self.w[need3]])
         for base, names, (context, table), need, counts in ((0, names2, sums2, need2, counts2), (n, names3, sums3, need3, counts3)):
-            (o, a), (p, b) = (cuts_of((mixed(*names(x)) % np.uint64(n)).astype(np.int64), n) for x in (context, need))
+            (o, a), (p, b) = (self.buckets4(x, base > 0, n) for x in (context, need))
             for q in range(n):
                 i, j = o[a[q] : a[q + 1]], p[b[q] : b[q + 1]]
                 if len(i) or len(j):
-                    yield base + q, self.number, pack(*(smallest(x) for x in (*names(context[i]), *table[:, i], *names(need[j]), counts[0][j], counts[1][j])))
+                    yield base + q, self.number, pack(*(smallest(x) for x in (*stairs(*names(context[i])), *table[:, i], *stairs(*names(need[j])), counts[0][j], counts[1][j])))
 
     def scores(self, row: dict, n: int, words: "Words", d2: np.ndarray, d3: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of each text the tokens known, the add-one score and the model's."""
         need2, need3 = self.contexts()
         a2, a3 = np.ones(len(self.gid)), np.ones(len(self.v))
-        names3 = (self.gid[self.v[need3]], self.gid[self.w[need3]])
-        for level, need, names in ((2, need2, (self.gid[need2],)), (3, need3, names3)):
-            order, cuts = cuts_of((mixed(*names) % np.uint64(n)).astype(np.int64), n)
+        for level, need in ((2, need2), (3, need3)):
+            order, cuts = self.buckets4(need, level == 3, n)
             for x in row["answers"]:
                 if x["kind"] == f"weights{level}":
                     at = need[order[cuts[x["q"]] : cuts[x["q"] + 1]]]
@@ -358,6 +388,23 @@ class Block:
         return by_text((self.c1 > 0)[self.tokens].astype(np.int64)), by_text(base), by_text(score)
 
 
+def stairs(first: np.ndarray, second: np.ndarray | None = None) -> list[np.ndarray]:
+    """Ascending numbers, or pairs of them, as differences: the first ones, how many follow each, the second ones."""
+    if second is None:
+        return [steps(first)]
+    at = runs(first) if len(first) else np.zeros(0, np.int64)
+    return [steps(first[at]), np.diff(at, append=len(first)), climbs(second, at)]
+
+
+def unstairs(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """What `stairs` made differences of."""
+    first = np.cumsum(parts[0])
+    if len(parts) == 1:
+        return [first]
+    starts = np.cumsum(parts[1]) - parts[1]
+    return [np.repeat(first, parts[1]), climbed(parts[2], starts, parts[1])]
+
+
 def log_kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.log10(kept(np.maximum(c, 1), d))
 
@@ -385,22 +432,24 @@ def narrow(x: np.ndarray) -> np.ndarray:
 
 def answer_ngrams(level: int, q: int, blocks: list[int], blobs: list[bytes]) -> list[tuple]:
     """Counts of the pairs or triples of a bucket, and marks: 1 the first block to hold a training n-gram, 2 its context has n-grams that no training text holds."""
-    parts = [unpack(x) for x in blobs]
-    join = lambda i: np.concatenate([p[i].astype(np.int64) for p in parts])
-    ends = np.cumsum([0, *(len(p[-1]) for p in parts)])
-    context = narrow(join(0))
-    if level == 3:
-        _, context, _ = distinct(context.astype(np.uint64) << np.uint64(32) | narrow(join(1)).astype(np.uint64))
-    context = np.repeat(context, join(level - 1))
-    code = context.astype(np.uint64) << np.uint64(32) | narrow(join(level)).astype(np.uint64)
-    order = np.argsort(code, kind="stable")  # blocks in turn within an n-gram
-    train = join(level + 1)
+    parts = []
+    for blob in blobs:
+        *heads, sizes, last, train = (x.astype(np.int64) for x in unpack(blob))
+        heads = unstairs(heads)
+        parts.append(([np.repeat(h, sizes) for h in heads], climbed(last, np.cumsum(sizes) - sizes, sizes), train))
+    ends = np.cumsum([0, *(len(p[2]) for p in parts)])
+    context, *more = (narrow(np.concatenate([p[0][k] for p in parts])) for k in range(level - 1))
+    if more:
+        _, context, _ = distinct(context.astype(np.uint64) << np.uint64(32) | more[0].astype(np.uint64))
+    last, train = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    code = context.astype(np.uint64) << np.uint64(32) | narrow(last).astype(np.uint64)
+    order = np.argsort(code)
     at = runs(code[order])
     count = np.add.reduceat(train[order], at)
     of = np.empty(len(code), dtype=np.int64)
     of[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(code)))
-    holds = order[train[order] > 0]
-    first = holds[runs(of[holds])] if len(holds) else holds
+    first = np.minimum.reduceat(np.where(train[order] > 0, order, len(code)), at)
+    first = first[first < len(code)]
     back_off = np.unique(context[order[at]][count == 0])
     mark = np.zeros(len(code), dtype=np.uint8)
     mark[first] = 1
@@ -413,8 +462,12 @@ def answer_ngrams(level: int, q: int, blocks: list[int], blobs: list[bytes]) ->
 
 def answer_weights(level: int, q: int, blocks: list[int], blobs: list[bytes], d: np.ndarray, lower: np.ndarray) -> list[tuple]:
     """The weight of each context needed: what its words leave, over what the lower order leaves without them."""
-    parts = [[x.astype(np.int64) for x in unpack(b)] for b in blobs]
     width = level - 1  # numbers in a context
+    stair = 2 * width - 1  # arrays that they come as
+    parts = []
+    for blob in blobs:
+        got = [x.astype(np.int64) for x in unpack(blob)]
+        parts.append([*unstairs(got[:stair]), *got[stair : stair + RANKS], *unstairs(got[stair + RANKS : -2]), *got[-2:]])
     held, wanted = ([np.concatenate([p[i + k] for p in parts]) for k in range(width)] for i in (0, width + RANKS))
     both = [narrow(np.concatenate([h, w])).astype(np.uint64) for h, w in zip(held, wanted)]
     code = both[0] if width == 1 else both[0] << np.uint64(32) | both[1]
