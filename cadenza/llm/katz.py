@@ -122,12 +122,10 @@ def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], of, order[new]
 
 
-def mixed(*gids: np.ndarray) -> np.ndarray:
+def mixed(gid: np.ndarray) -> np.ndarray:
     """A hash of words' numbers."""
-    h = np.zeros(len(gids[0]), dtype=np.uint64)
-    for g in gids:
-        h = (h ^ g.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+    h = gid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(11)
 
 
@@ -157,11 +155,19 @@ def kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(c, LOW + 1) - 1] * c
 
 
+class Numbers(dict):
+    """Words and their numbers from 1 on, in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 class Cutter:
     """Texts side by side, until they make a block."""
 
     def __init__(self):
-        self.words: dict[bytes, int] = {}
+        self.words = Numbers()
         self.tokens: list[np.ndarray] = []
         self.ids: list = []
         self.held: list[bool] = []
@@ -169,8 +175,7 @@ class Cutter:
 
     def add(self, key, held: bool, text: str) -> None:
         words = text.encode().lower().split()
-        get = self.words.setdefault
-        self.tokens += [np.fromiter((get(w, len(self.words) + 1) for w in words), dtype=np.int64, count=len(words)), np.zeros(1, np.int64)]
+        self.tokens += [np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words)), np.zeros(1, np.int64)]
         self.ids.append(key)
         self.held.append(held)
         self.n += len(words) + 1
@@ -270,6 +275,7 @@ class Block:
         order = np.argsort(gid)
         self.gid = np.append(0, gid[order])
         self.c1 = np.append(starts, np.concatenate([w[1].astype(np.int64) for w in words])[order])
+        self.mixed = mixed(self.gid)
         place = np.empty(len(order), dtype=np.int32)
         place[order] = np.arange(1, len(order) + 1)
         self.tokens = place[unpack(row["tokens"])[0]]
@@ -290,20 +296,22 @@ class Block:
         self.bound = np.minimum(self.c1[self.v], self.c1[self.w])  # of a pair's count
         self.hot3 = self.bound[self.uv] >= HOT
 
-    def spread(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """A part of those that a word or pair of so many occurrences is dealt into, by words x."""
-        return mixed(self.gid[x]) % (count // HOT + 1).astype(np.uint64)
+    def dealt(self, words: np.ndarray, n: int, *spread: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Buckets by a hash of words; spread: (other words, counts), what occurs HOT times is dealt by the other words as well."""
+        bucket = (self.mixed % np.uint64(n)).astype(np.int64)[words]
+        for other, count in spread:
+            hot = np.flatnonzero(count >= HOT)
+            part = self.mixed[other[hot]] % (count[hot] // HOT + 1).astype(np.uint64)
+            bucket[hot] = (bucket[hot] + part.astype(np.int64) * 7919) % n
+        return bucket
 
     def buckets2(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        return cuts_of(((mixed(self.gid[self.v]) + self.spread(self.w, self.c1[self.v])) % np.uint64(n)).astype(np.int64), n)
-
-    def of_pairs(self) -> np.ndarray:
-        """A hash of pairs' first words; a frequent one's pairs are dealt by their second."""
-        return mixed(self.gid[self.v]) + self.spread(self.w, self.c1[self.v])
+        return cuts_of(self.dealt(self.v, n, (self.w, self.c1[self.v])), n)
 
     def buckets3(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        spread = self.spread(self.w3, self.bound[self.uv]) * np.uint64(7919)
-        return cuts_of(((self.of_pairs()[self.uv] + spread) % np.uint64(n)).astype(np.int64), n)
+        """By the first word, so that pairs that begin alike stand together."""
+        v, w = self.v[self.uv], self.w[self.uv]
+        return cuts_of(self.dealt(v, n, (w, self.c1[v]), (self.w3, self.bound[self.uv])), n)
 
     def ask(self, n2: int, n3: int) -> Iterator[tuple[int, int, bytes]]:
         """Its pairs to the first n2 buckets, its triples to n3 others: words and pairs in order, how many follow each, training counts."""
@@ -345,8 +353,10 @@ class Block:
         return two, three
 
     def buckets4(self, contexts: np.ndarray, pairs: bool, n: int) -> tuple[np.ndarray, np.ndarray]:
-        hashed = self.of_pairs()[contexts] if pairs else mixed(self.gid[contexts])
-        return cuts_of((hashed % np.uint64(n)).astype(np.int64), n)
+        if pairs:
+            v = self.v[contexts]
+            return cuts_of(self.dealt(v, n, (self.w[contexts], self.c1[v])), n)
+        return cuts_of(self.dealt(contexts, n), n)
 
     def ask_weights(self, n: int, tokens: int) -> Iterator[tuple[int, int, bytes]]:
         """Sums of the n-grams that it is first to hold, by context, and the contexts that it needs with their counts and their ends', to n buckets for each order."""
@@ -448,13 +458,13 @@ def answer_ngrams(level: int, q: int, blocks: list[int], blobs: list[bytes]) ->
     count = np.add.reduceat(train[order], at)
     of = np.empty(len(code), dtype=np.int64)
     of[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(code)))
+    # n-grams of a context stand together
+    starts = runs(context[order[at]])
+    back_off = np.repeat(np.logical_or.reduceat(count == 0, starts), np.diff(starts, append=len(at)))
     first = np.minimum.reduceat(np.where(train[order] > 0, order, len(code)), at)
-    first = first[first < len(code)]
-    back_off = np.unique(context[order[at]][count == 0])
+    seen = count > 0
     mark = np.zeros(len(code), dtype=np.uint8)
-    mark[first] = 1
-    place = np.searchsorted(back_off, context[first])
-    mark[first[(place < len(back_off)) & (back_off[np.minimum(place, len(back_off) - 1)] == context[first])] if len(back_off) else first[:0]] = 3
+    mark[first[seen]] = 1 + 2 * back_off[seen]
     c = count[of]
     out = [(f"counts{level}", b, q, pack(smallest(c[i:j]), mark[i:j])) for b, i, j in zip(blocks, ends[:-1], ends[1:])]
     return [*out, (f"tally{level}", -1 - q, q, pack(np.bincount(np.minimum(count[count > 0], LOW + 2), minlength=LOW + 3)))]
