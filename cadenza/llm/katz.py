@@ -58,8 +58,9 @@ from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 100_000
-BUCKET_ROWS = 1_000_000  # n-grams of blocks that a bucket gets, about
+BLOCK_TOKENS, BLOCK_DOCS = 700_000, 100_000
+BUCKET_ROWS = 600_000  # n-grams of blocks that a bucket gets, about
+PARTS = 4  # of the tables by block, for each partition of the texts: a block or none in most
 HOT = 1_000_000  # occurrences of a context whose n-grams share a bucket
 END = np.uint64(2)  # no word hashes to it but by chance of 2^-63
 RANKS = 2 * (LOW + 1)  # numbers summed up for a weight
@@ -553,7 +554,7 @@ def tallies(answered: DataFrame, kind: str) -> np.ndarray:
 def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (Katz, three words)."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), (~training(id_col)).alias("held"), text_or_empty(text_col).alias("t"))
-    parts = max(8, 2 * rows.rdd.getNumPartitions())
+    parts = max(8, PARTS * rows.rdd.getNumPartitions())
     blocks = by_block(rows.mapInArrow(cut, BLOCKS), "blocks", parts)
     n_words, n_tokens, starts = total(blocks, F.sum("n_words"), F.sum("n_tokens"), F.sum("n_starts"))
 
@@ -561,7 +562,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """(q, block, blob) of what `use` makes of each block with its answers."""
         joined = blocks
         for k, t in enumerate(tables):
-            joined = joined.join(gathered(t).withColumnRenamed("answers", f"answers{k}"), "block")
+            joined = joined.join(gathered(t).withColumnRenamed("answers", f"answers{k}").hint("shuffle_hash"), "block")
         columns, n = ["block", "held", "sizes", "words", "counts", "tokens"], len(tables)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -595,7 +596,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kind = docs.schema[id_col].dataType.simpleString()
     joined = blocks
     for name, t in zip("abc", (numbered, counted, weights)):
-        joined = joined.join(gathered(t).withColumnRenamed("answers", name), "block", "left")
+        joined = joined.join(gathered(t).withColumnRenamed("answers", name).hint("shuffle_hash"), "block", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
