@@ -39,7 +39,7 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 SPACES = frozenset(c for c in map(chr, range(0x3001)) if re.match(f"[{SPACE}]", c))
 
 SLICE = 1 << 16  # characters read at a time
-CACHED = 600_000  # pieces remembered by a task at most
+CACHED = 250_000  # pieces remembered by a task at most
 LONG = 64  # longer pieces aren't remembered
 
 

@@ -55,7 +55,7 @@ def by_batch(df: DataFrame, schema, make: Callable[[], Callable[[pa.RecordBatch]
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes: very long texts come in small parts."""
     rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for i in range(0, batch.num_rows, rows):
