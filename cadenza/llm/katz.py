@@ -58,8 +58,8 @@ from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 700_000, 100_000
-BUCKET_ROWS = 600_000  # n-grams of blocks that a bucket gets, about
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 100_000
+BUCKET_ROWS = 1_000_000  # n-grams of blocks that a bucket gets, about
 PARTS = 4  # of the tables by block, for each partition of the texts: a block or none in most
 HOT = 1_000_000  # occurrences of a context whose n-grams share a bucket
 END = np.uint64(2)  # no word hashes to it but by chance of 2^-63
@@ -388,10 +388,10 @@ class Block:
                     at = need[order[cuts[x["q"]] : cuts[x["q"] + 1]]]
                     (a2 if level == 2 else a3)[at] = unpack(x["blob"])[0]
         one = np.log10(words.p(self.c1))
-        two = log_kept(self.c2, d2) - np.log10(np.maximum(self.c1[self.v], 1))
-        two = np.where(self.c2 > 0, two, np.log10(a2[self.v]) + one[self.w])
-        three = log_kept(self.c3, d3) - np.log10(np.maximum(self.c2[self.uv], 1))
-        three = np.where(self.c3 > 0, three, np.log10(a3[self.uv]) + two[self.vw])
+        low, of_context = np.log10(a2), np.log10(np.maximum(self.c1, 1))
+        two = np.where(self.c2 > 0, log_kept(self.c2, d2) - of_context[self.v], low[self.v] + one[self.w])
+        low, of_context = np.log10(a3), np.log10(np.maximum(self.c2, 1))
+        three = np.where(self.c3 > 0, log_kept(self.c3, d3) - of_context[self.uv], low[self.uv] + two[self.vw])
         score = two[self.pair_of]
         score[self.inner] = three[self.triple_of]
         base = np.log10((self.c1 + 1) / (words.n + words.v + 1))[self.tokens]
@@ -417,7 +417,12 @@ def unstairs(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def log_kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return np.log10(kept(np.maximum(c, 1), d))
+    """Logarithms of discounted counts; most counts are small, and looked up."""
+    few = np.append(0.0, np.log10(kept(np.arange(1, 256), d)))
+    out = few[np.minimum(c, 255)]
+    many = np.flatnonzero(c > 255)
+    out[many] = np.log10(kept(c[many], d))
+    return out
 
 
 def sums(context: np.ndarray, c: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
