@@ -58,8 +58,8 @@ from cadenza.sources.scratch import fresh
 
 LOW = 5  # counts up to this one are discounted by Good-Turing
 TRUSTED = 0.999  # what larger counts keep
-BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 100_000
-BUCKET_ROWS = 1_000_000  # n-grams of blocks that a bucket gets, about
+BLOCK_TOKENS, BLOCK_DOCS = 850_000, 100_000
+BUCKET_ROWS = 800_000  # n-grams of blocks that a bucket gets, about
 PARTS = 4  # of the tables by block, for each partition of the texts: a block or none in most
 HOT = 1_000_000  # occurrences of a context whose n-grams share a bucket
 END = np.uint64(2)  # no word hashes to it but by chance of 2^-63
