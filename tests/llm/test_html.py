@@ -110,3 +110,29 @@ def test_hosts(spark):
     assert [r["text"][:11] for r in got[-1]] == ["Head & line"] * 2 and got[-1][0]["by_markup"]
     assert got[-2][0]["text"] == got[-3][0]["text"] == got[-6][0]["text"] == "" and got[-4][0]["text"] == "short" and got[-5][0]["n_chars"] == 499999
     assert H.extract_text(df.limit(0)).count() == 0
+
+
+def test_common_prefixes():
+    """Whole suffixes in order, also beyond min_run, and what neighbours have in common."""
+    rng = np.random.default_rng(6)
+    for _ in range(150):
+        streams = [rng.integers(0, 2, rng.integers(1, 40)).astype(np.uint64) for _ in range(rng.integers(1, 6))]
+        run = int(rng.integers(1, 6))
+        order, same = H.suffix_array(streams, run)
+        text = [tuple(s[i:].tolist()) for s in streams for i in range(len(s))]
+        whole = [text[k] for k in order]
+        common = [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(whole, whole[1:])]
+        assert whole == sorted(whole) and same.tolist() == [False, *(n >= run for n in common)][: len(whole)]
+
+
+def test_articles_in_arrays(spark):
+    """Articles go through the host's arrays too: what these take is given back there, and cut from pages without an article."""
+    run = " ".join(f"r{i}" for i in range(10))
+    page = lambda k, body: (k, f"http://a.org/{k}", body)
+    rows = [page(k, f"<article><p>own {k}</p><p>{run}</p></article>") for k in range(2)]
+    rows += [page(2, f"<div>own 2</div><div>{run}</div>"), page(3, "<article>alone</article>")]
+    rows += [(4, "http://b.org/4", f"<div>other {run}</div>"), (5, "http://b.org/5", f"<article>{run}</article>")]
+    got = {r["page_id"]: r for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[2]["text"] == "own 2" and got[2]["repeated_words"] == 10 and got[2]["restored_words"] == 0
+    assert [got[k]["text"] for k in (0, 1, 3, 4, 5)] == [f"own 0 {run}", f"own 1 {run}", "alone", f"other {run}", run]
+    assert [got[k]["restored_words"] for k in (0, 1, 3, 4, 5)] == [10, 10, 0, 0, 0] and not any(got[k]["repeated_words"] for k in (0, 1, 3, 4, 5))
